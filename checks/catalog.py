@@ -1,4 +1,4 @@
 """Import every query module so that it registers."""
 
-from . import panels, posts, sources  # noqa: F401
+from . import forecasts, panels, posts, sources, tables  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

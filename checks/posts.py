@@ -126,15 +126,16 @@ def _(v):
     return v.lineitem.select("l_orderkey", "l_linenumber", F.col("l_discount").alias("p"), reporting.stars(F.col("l_discount")).alias("stars"))
 
 
-@query("format_report", """SELECT date, bank, format('{:.2f}', risk_receiving * 1e2::DOUBLE) AS tax, format('{:.3f}', covar) AS covar,
-  format('{:.1f}%', ps) AS quantity, coalesce(format('{:.2f}', CASE WHEN pc > 0.05 THEN pc END), '') AS discount,
-  replace(concat(format('{:.3f}', ps), ' ***'), ' ', '') AS marked FROM p_panel""")
-def _(v):
-    c = F.col
-    return v.p_panel.select(
-        "date", "bank", reporting.fixed(c("risk_receiving"), 2, 1e2).alias("tax"), reporting.fixed(c("covar"), 3).alias("covar"),
-        reporting.fixed(c("ps"), 1, suffix="%").alias("quantity"), reporting.fixed(F.when(c("pc") > 0.05, c("pc")), 2).alias("discount"),
-        reporting.squeeze(F.concat(reporting.fixed(c("ps"), 3), F.lit(" ***"))).alias("marked"))
+@query("format_report", """SELECT o_orderkey, format('{:.1f}', o_totalprice) AS one, format('{:.2f}', o_totalprice / 1e4::DOUBLE * 1e2::DOUBLE) AS scaled,
+  format('{:.3f}%', (250000 - o_totalprice) / 1e5::DOUBLE) AS share, CASE WHEN o_orderstatus = 'F' THEN '' ELSE format('{:.2f}', o_totalprice / 7::DOUBLE) END AS gap,
+  concat(format('{:.3f}', o_totalprice / 8::DOUBLE), '***') AS marked FROM orders""")
+def _(v):
+    price = F.col("o_totalprice")
+    return v.orders.select(
+        "o_orderkey", reporting.fixed(price, 1).alias("one"), reporting.fixed(price / 1e4, 2, 1e2).alias("scaled"),
+        reporting.fixed((250000 - price) / 1e5, 3, suffix="%").alias("share"),
+        reporting.fixed(F.when(F.col("o_orderstatus") != "F", price / 7), 2).alias("gap"),
+        reporting.squeeze(F.concat(reporting.fixed(price / 8, 3), F.lit(" ***"))).alias("marked"))
 
 
 @query("repair_mse", f"SELECT bank, spec, iteration, {r('RMSE * RMSE')} AS MSE FROM p_metrics")

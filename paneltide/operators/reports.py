@@ -145,8 +145,8 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float] =
     edges = values.agg(F.array_distinct(F.percentile_approx("v", [k / EDGES for k in range(1, EDGES)], 10000)).alias("e")).scalar()
     total = values.agg(F.count(F.lit(1)).alias("n")).scalar()
     tallies = values.groupBy("v").agg(F.count(F.lit(1)).alias("rows"))
-    bin_ = F.size(F.filter(F.coalesce(edges, F.array().cast("array<double>")), lambda e: e <= F.col("v")))
-    counted = running_total(tallies, "rows", "v", bin_, "upto").withColumn("total", total)
+    tallies = tallies.withColumn("edges", edges)
+    counted = running_total(tallies, "rows", "v", F.size(F.filter("edges", lambda e: e <= F.col("v"))), "upto").withColumn("total", total)
     ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("total") - 1)).alias("h")) for p in probabilities])
     hit = counted.select("v", "rows", "upto", F.inline(ranks))
     low, high = F.floor("h"), F.ceil("h")

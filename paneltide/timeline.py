@@ -73,7 +73,7 @@ def shift_rows(df: DataFrame, columns: Mapping[str, str], k: int, index: str, se
     def lagged(name):
         return lambda window: F.lag(name, k).over(window)
 
-    return in_blocks(df, index, series, {out: lagged(src) for src, out in columns.items()},
+    return in_blocks(df, index, series, {out: lagged(src) for out, src in columns.items()},
                      before=max(k, 0), after=max(-k, 0), block_rows=max(block_rows, abs(k)))
 
 
