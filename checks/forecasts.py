@@ -9,7 +9,7 @@ from paneltide.plans import comparison
 from paneltide.timeline import row_index
 
 from .registry import cols, query, r
-from .sql_parts import ar_path, archive, predictions, samples
+from .sql_parts import ar_path, archive, predictions, samples, t_test_p
 
 FIT = "cast(floor(n * 0.7::DOUBLE) AS bigint)"
 
@@ -327,7 +327,7 @@ def _(v):
     return ev.dm_statistics(wide(v, 10, 5), "TRUE", "Informer_pred", PREDS[1:])
 
 
-@query("dm_p_value")
+@query("dm_p_value", f"WITH {dm_sql(10, 5)} SELECT criterion, model, n, {r('statistic')} AS statistic, {r(t_test_p('statistic', 'n - 1'))} AS p_value FROM dm")
 def _(v):
     return ev.dm_tests(wide(v, 10, 5), "TRUE", "Informer_pred", PREDS[1:])
 

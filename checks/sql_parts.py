@@ -106,3 +106,11 @@ def prf_classes(source: str, by: str = "") -> str:
    coalesce(coalesce(x.hits, 0) / nullif(q.predicted, 0), 0) AS precision, coalesce(coalesce(x.hits, 0) / nullif(x.support, 0), 0) AS recall,
    coalesce(2.0::double * coalesce(x.hits, 0) / nullif(coalesce(x.support, 0) + coalesce(q.predicted, 0), 0), 0) AS f1
    FROM seen c LEFT JOIN lab x ON {on} LEFT JOIN prd q ON {on.replace("x.", "q.")})"""
+
+
+def t_test_p(t: str, df: str) -> str:
+    """Two-sided Student-t p-value by Simpson's rule on the density."""
+    density = f"pow(1 + pow(abs({t}) * k / 2000.0::DOUBLE, 2) / ({df}), -(({df}) + 1) / 2.0::DOUBLE)"
+    weight = "CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    factor = f"exp(lgamma((({df}) + 1) / 2.0::DOUBLE) - lgamma(({df}) / 2.0::DOUBLE)) / sqrt(({df}) * pi())"
+    return f"1 - 2 * {factor} * abs({t}) / 6000.0::DOUBLE * list_sum(list_transform(range(0, 2001), lambda k: {weight} * {density}))"

@@ -9,7 +9,7 @@ from paneltide.operators.scaling import standardize
 
 from .forecasts import METRICS, PREDS, dm_sql, long, wide
 from .registry import cols, query, r
-from .sql_parts import predictions
+from .sql_parts import predictions, t_test_p
 
 AVG = """avg_m AS (SELECT bank, spec, avg(MSE) AS MSE, avg(MAE) AS MAE, avg(RMSE) AS RMSE, avg(R2) AS R2 FROM p_metrics WHERE split = 'test' GROUP BY ALL)"""
 
@@ -36,7 +36,9 @@ def _(v):
     return rp.lagged_correlation(v.p_series_sent, ["sr", "feature2"], ["skew", "posts"], 1)
 
 
-@query("correlation_p_value")
+@query("correlation_p_value", f"""WITH {CORR}, c AS (SELECT risk_variable, lagged_variable, count(*) AS n, corr(a, b) AS c FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+  t AS (SELECT *, c * sqrt((n - 2) / (1 - c * c)) AS t FROM c)
+  SELECT risk_variable, lagged_variable, n, {r('c')} AS correlation, {r(t_test_p('t', 'n - 2'))} AS p_value FROM t""")
 def _(v):
     return rp.with_correlation_p(rp.lagged_correlation(v.p_series_sent, ["sr", "feature2"], ["skew", "posts"], 1))
 

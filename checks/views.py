@@ -18,7 +18,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 VIEWS = {
     "p_map": """
         SELECT bank_code, concat('B', lpad(cast(bank_code AS string), 2, '0')) AS bank, bank_code AS ord
-        FROM (SELECT DISTINCT s_suppkey % 14 AS bank_code FROM {supplier}) t""",
+        FROM (SELECT DISTINCT c_custkey % 14 AS bank_code FROM {customer}) t""",
     "p_events": """
         SELECT event_id, user_id, ts, event_type, regexp_extract(props, '([0-9]+)', 1) AS k FROM {events}""",
     "p_posts": """

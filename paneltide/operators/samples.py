@@ -133,21 +133,23 @@ def prepare_samples(df: DataFrame, axis: DataFrame, target: str, features: Seque
     """
     if not 0.0 < train_ratio < 1.0 or lags < 1:
         raise ValueError("train_ratio must lie between zero and one and lags must be positive")
-    channels = [target, *[f for f in features if f != target]]
-    indexed = row_index(df.select(*series, "date", *channels), "date", series, "i", total="n")
-    rows = calendar_position(indexed, axis, on_unknown=on_unknown)
+    names = [target, *[f for f in features if f != target]]
+    channels = [f"__c{k}" for k in range(len(names))]
+    values = df.select(*series, "date", *[F.col(c).alias(a) for c, a in zip(names, channels)])
+    rows = calendar_position(row_index(values, "date", series, "i", total="n"), axis, on_unknown=on_unknown)
     cut = (lookback_windows(rows, channels, lags, series) if windows
-           else contiguous_history(rows, lags, series).where("contiguous").drop("contiguous"))
+           else contiguous_history(rows, lags, series).where("contiguous"))
+    origins = cut.select(*series, F.col("date").alias("origin_date"), "i", "n", share(F.col("n"), train_ratio).alias("fit_end"),
+                         "pos", F.col(channels[0]).alias("x"), *(["window"] if windows else []))
     ahead = rows.select(*series, (F.col("pos") - lead).alias("pos"), F.col("date").alias("target_date"),
-                        F.col("i").alias("target_i"), F.col(target).alias("target"))
-    joined = cut.join(ahead, [*series, "pos"]).withColumn("fit_end", share(F.col("n"), train_ratio))
+                        F.col("i").alias("target_i"), F.col(channels[0]).alias("target"))
     if ways == 2:
         split = embargo_two_way(F.col("i"), F.col("target_i"), F.col("fit_end"))
     else:
         split = embargo_three_way(F.col("i"), F.col("target_i"), F.col("fit_end"), F.col("n") - share(F.col("n"), test_ratio))
-    out = joined.withColumn("split", split).where("split is not null")
-    return out.select(*series, F.col("date").alias("origin_date"), "i", "n", "fit_end", "pos", F.col(target).alias("x"),
-                      "target_date", "target_i", "target", "split", *(["window"] if windows else []))
+    out = origins.join(ahead, [*series, "pos"]).withColumn("split", split).where("split is not null")
+    return out.select(*series, "origin_date", "i", "n", "fit_end", "pos", "x", "target_date", "target_i", "target", "split",
+                      *(["window"] if windows else []))
 
 
 def future_stamps(df: DataFrame, freq: str, seq_len: int, pred_len: int, series: Sequence[str] = (),
