@@ -53,19 +53,19 @@ def _(v):
 
 
 @query("exact_lead_target", f"""WITH pos AS (SELECT s.*, c.pos FROM p_series5 s JOIN p_calendar c ON c.date = s.date)
-  SELECT h.series, h.date, t.date AS target_date, {r('t.sr')} AS target FROM pos h JOIN pos t ON t.series = h.series AND t.pos = h.pos + 5""")
+  SELECT h.series, h.date, t.date AS target_date, {r('t.sr')} AS target FROM pos h JOIN pos t ON t.series = h.series AND t.pos = h.pos + 5""", stage=("p_series5",))
 def _(v):
     rows = sm.calendar_position(v.p_series5, v.axis)
     return sm.exact_lead(rows, {"target_date": "date", "target": "sr"}, 5, ["series"]).select("series", "date", "target_date", "target")
 
 
-@query("contiguous_history", f"WITH {samples(5, 1, 'p_series5', 'series')} SELECT series, date, pos, coalesce(ok, false) AS contiguous FROM hist")
+@query("contiguous_history", f"WITH {samples(5, 1, 'p_series5', 'series')} SELECT series, date, pos, coalesce(ok, false) AS contiguous FROM hist", stage=("p_series5",))
 def _(v):
     return sm.contiguous_history(positioned(v, True), 5, ["series"]).select("series", "date", "pos", "contiguous")
 
 
 @query("lookback_windows", f"""WITH {samples(4, 1, 'p_series5', 'series')} SELECT h.series, h.pos, h.pos - p.pos AS back, {r('p.sr')} AS sr, {r('p.feature')} AS feature
-  FROM hist h JOIN pos p ON p.series = h.series AND p.pos BETWEEN h.pos - 3 AND h.pos WHERE h.ok""")
+  FROM hist h JOIN pos p ON p.series = h.series AND p.pos BETWEEN h.pos - 3 AND h.pos WHERE h.ok""", stage=("p_series5",))
 def _(v):
     cut = sm.lookback_windows(positioned(v, True), ["sr", "feature"], 4, ["series"])
     return cut.select("series", "pos", F.posexplode("window").alias("k", "row")).select(
@@ -93,21 +93,21 @@ def _embargo(series, lags, lead):
     return f"""WITH {samples(lags, lead, 'p_series5' if series else 'p_series', 'series' if series else '')}"""
 
 
-@query("embargo_split", f"{_embargo(True, 5, 1)} SELECT series, origin_date, target_date, i, target_i, fit_end, split, {r('target')} AS target FROM samples")
+@query("embargo_split", f"{_embargo(True, 5, 1)} SELECT series, origin_date, target_date, i, target_i, fit_end, split, {r('target')} AS target FROM samples", stage=("p_series5",))
 def _(v):
     return prepared(v, series=["series"]).select("series", "origin_date", "target_date", "i", "target_i", "fit_end", "split", "target")
 
 
 @query("embargo_split_three_way", f"""WITH {samples(4, 5)}, b AS (SELECT *, n - cast(floor(n * 0.2::DOUBLE) AS bigint) AS ts FROM smp)
   SELECT origin_date, target_date, split FROM (SELECT *, CASE WHEN target_i < fit_end THEN 'train' WHEN target_i < ts THEN CASE WHEN i >= fit_end - 1 THEN 'val' END
-    WHEN i >= ts - 1 THEN 'test' END AS split FROM b) WHERE split IS NOT NULL""")
+    WHEN i >= ts - 1 THEN 'test' END AS split FROM b) WHERE split IS NOT NULL""", stage=("p_series",))
 def _(v):
     return prepared(v, 4, 5, ways=3).select("origin_date", "target_date", "split")
 
 
 @query("future_dates", """WITH idx AS (SELECT series, date, row_number() OVER (PARTITION BY series ORDER BY date DESC) AS k FROM p_series5)
   SELECT series, date, false AS generated FROM idx WHERE k <= 5 UNION ALL
-  SELECT series, cast(date + to_days(cast(j AS int)) AS date), true FROM idx, (SELECT unnest(range(1, 8)) AS j) WHERE k = 1""")
+  SELECT series, cast(date + to_days(cast(j AS int)) AS date), true FROM idx, (SELECT unnest(range(1, 8)) AS j) WHERE k = 1""", stage=("p_series5",))
 def _(v):
     return sm.future_stamps(v.p_series5, "d", 5, 7, ["series"])
 
@@ -115,7 +115,7 @@ def _(v):
 @query("scaler_fit", f"""WITH idx AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM p_series5),
   s AS (SELECT series, min(sr) AS a, max(sr) - min(sr) AS b, min(feature) AS c, max(feature) - min(feature) AS d FROM idx WHERE i < floor(n * 0.7::DOUBLE) GROUP BY series)
   SELECT idx.series, date, {r('(sr - a) / CASE WHEN b = 0 THEN 1 ELSE b END')} AS sr_scaled, {r('(feature - c) / CASE WHEN d = 0 THEN 1 ELSE d END')} AS feature_scaled
-  FROM idx JOIN s ON s.series = idx.series""")
+  FROM idx JOIN s ON s.series = idx.series""", stage=("p_series5",))
 def _(v):
     rows = row_index(v.p_series5, "date", ["series"], "i", total="n")
     stats = scaling.fit_scaler(rows.where(F.col("i") < sm.share(F.col("n"), 0.7)), ["sr", "feature"], "minmax", ["series"])
@@ -123,7 +123,7 @@ def _(v):
 
 
 @query("scaler_standard", f"""WITH idx AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM p_series),
-  s AS (SELECT avg(sr) AS a, stddev_pop(sr) AS b FROM idx WHERE i < floor(n * 0.7::DOUBLE)) SELECT date, {r('(sr - a) / b')} AS sr_scaled FROM idx, s""")
+  s AS (SELECT avg(sr) AS a, stddev_pop(sr) AS b FROM idx WHERE i < floor(n * 0.7::DOUBLE)) SELECT date, {r('(sr - a) / b')} AS sr_scaled FROM idx, s""", stage=("p_series",))
 def _(v):
     rows = row_index(v.p_series, "date", total="n")
     stats = scaling.fit_scaler(rows.where(F.col("i") < sm.share(F.col("n"), 0.7)), ["sr"], "standard")
@@ -132,7 +132,7 @@ def _(v):
 
 @query("forecast_identity", f"""WITH idx AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM p_series)
   SELECT w.i AS window_id, first.date AS forecast_start, f.i - w.i AS horizon, f.date, {r('f.sr')} AS pred FROM idx w JOIN idx f ON f.i BETWEEN w.i + 1 AND w.i + 5
-  JOIN idx first ON first.i = w.i + 1 WHERE w.i + 5 < w.n""")
+  JOIN idx first ON first.i = w.i + 1 WHERE w.i + 5 < w.n""", stage=("p_series",))
 def _(v):
     return sm.forecast_identity(joint(v))
 
@@ -147,7 +147,7 @@ def joint(v):
 
 
 @query("recover_horizons", """WITH idx AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM p_series)
-  SELECT f.date, w.i AS window_id, f.i - w.i AS horizon FROM idx w JOIN idx f ON f.i BETWEEN w.i + 1 AND w.i + 5 WHERE w.i + 5 < w.n""")
+  SELECT f.date, w.i AS window_id, f.i - w.i AS horizon FROM idx w JOIN idx f ON f.i BETWEEN w.i + 1 AND w.i + 5 WHERE w.i + 5 < w.n""", stage=("p_series",))
 def _(v):
     flat = joint(v).select(F.explode("forecast").alias("f")).select(F.col("f.date").alias("date"))
     return sm.recover_horizons(flat, 5)
@@ -157,19 +157,19 @@ def _(v):
 
 @query("ar1_fit", f"""WITH idx AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM p_series5),
   p AS (SELECT series, sr AS y, lag(sr) OVER (PARTITION BY series ORDER BY i) AS x FROM idx WHERE i < floor(n * 0.7::DOUBLE))
-  SELECT series, {r('regr_intercept(y, x)')} AS intercept, {r('regr_slope(y, x)')} AS slope FROM p WHERE x IS NOT NULL GROUP BY series""")
+  SELECT series, {r('regr_intercept(y, x)')} AS intercept, {r('regr_slope(y, x)')} AS slope FROM p WHERE x IS NOT NULL GROUP BY series""", stage=("p_series5",))
 def _(v):
     return fc.fit_ar1(fc.training_rows(v.p_series5, "sr", ["series"]), "sr", ["series"])
 
 
-@query("forecast_persistence", f"{_embargo(True, 5, 1)} SELECT series, origin_date, target_date, {r('x')} AS Persistence_pred FROM samples WHERE split = 'test'")
+@query("forecast_persistence", f"{_embargo(True, 5, 1)} SELECT series, origin_date, target_date, {r('x')} AS Persistence_pred FROM samples WHERE split = 'test'", stage=("p_series5",))
 def _(v):
     return fc.persistence(prepared(v, series=["series"]).where("split = 'test'")).select("series", "origin_date", "target_date", "Persistence_pred")
 
 
 @query("forecast_ar1", f"""WITH {samples(5, 1, 'p_series5', 'series')}, ar AS (SELECT series, regr_intercept(y, x) AS c, regr_slope(y, x) AS phi FROM
     (SELECT series, sr AS y, lag(sr) OVER (PARTITION BY series ORDER BY i) AS x FROM idx WHERE i < floor(n * 0.7::DOUBLE)) WHERE x IS NOT NULL GROUP BY series)
-  SELECT s.series, s.origin_date, s.target_date, {r(ar_path(1))} AS AR1_pred FROM samples s JOIN ar ON ar.series = s.series WHERE split = 'test'""")
+  SELECT s.series, s.origin_date, s.target_date, {r(ar_path(1))} AS AR1_pred FROM samples s JOIN ar ON ar.series = s.series WHERE split = 'test'""", stage=("p_series5",))
 def _(v):
     rows = fc.training_rows(v.p_series5, "sr", ["series"])
     made = fc.ar1_forecast(prepared(v, series=["series"]).where("split = 'test'"), fc.fit_ar1(rows, "sr", ["series"]), 1, ["series"])
@@ -184,27 +184,27 @@ def levels_sql(alpha: float, series: str = "") -> str:
 
 
 @query("forecast_ets", f"""WITH RECURSIVE {samples(5, 1, 'p_series5', 'series')}, {levels_sql(0.3, 'series')}
-  SELECT s.series, s.origin_date, s.target_date, {r('l.level')} AS ETS_pred FROM samples s JOIN levels l ON l.series = s.series AND l.i = s.i WHERE split = 'test'""")
+  SELECT s.series, s.origin_date, s.target_date, {r('l.level')} AS ETS_pred FROM samples s JOIN levels l ON l.series = s.series AND l.i = s.i WHERE split = 'test'""", stage=("p_series5",))
 def _(v):
     rows = fc.training_rows(v.p_series5, "sr", ["series"])
     made = fc.ets_forecast(prepared(v, series=["series"]).where("split = 'test'"), rows, "sr", ["series"], alpha=0.3)
     return made.select("series", "origin_date", "target_date", "ETS_pred")
 
 
-@query("forecast_ets_fitted")
+@query("forecast_ets_fitted", stage=("p_series5",))
 def _(v):
     rows = fc.training_rows(v.p_series5, "sr", ["series"])
     return fc.ets_forecast(prepared(v, series=["series"]).where("split = 'test'"), rows, "sr", ["series"]).select("series", "origin_date", "target_date", "ETS_pred")
 
 
-@query("forecast_gbr")
+@query("forecast_gbr", stage=("p_series",))
 def _(v):
     made = comparison.forecasts(v.p_series, v.axis, "sr", ["feature", "feature2"], 1, 5, ["GBR"])
     return made.select("origin_date", "date", "lead", "TRUE", "GBR_pred")
 
 
 @query("prediction_frame", f"""WITH {samples(5, 5)}, s AS (SELECT min(sr) AS a, max(sr) - min(sr) AS b FROM idx WHERE i < floor(n * 0.7::DOUBLE))
-  SELECT origin_date, target_date AS date, cast(5 AS bigint) AS lead, {r('((x - a) / b * 0.5) * b + a')} AS half_pred FROM samples, s WHERE split = 'test'""")
+  SELECT origin_date, target_date AS date, cast(5 AS bigint) AS lead, {r('((x - a) / b * 0.5) * b + a')} AS half_pred FROM samples, s WHERE split = 'test'""", stage=("p_series",))
 def _(v):
     rows = fc.training_rows(v.p_series, "sr")
     stats = scaling.fit_scaler(rows.where("i < fit_end"), ["sr"])
@@ -215,7 +215,7 @@ def _(v):
 
 @query("run_comparison", f"""WITH RECURSIVE {archive(5, 1)}, {levels_sql(0.3)}
   SELECT origin_date, date, date AS target_date, lead, cast(1 AS bigint) AS horizon, 'direct' AS forecast_mode, {r('actual')} AS "TRUE", {r('base')} AS Informer_pred,
-    {r('x')} AS Persistence_pred, {r(ar_path(1))} AS AR1_pred, {r('level')} AS ETS_pred FROM archive JOIN levels ON levels.i = archive.i, ar""")
+    {r('x')} AS Persistence_pred, {r(ar_path(1))} AS AR1_pred, {r('level')} AS ETS_pred FROM archive JOIN levels ON levels.i = archive.i, ar""", stage=("p_series", "p_days",))
 def _(v):
     raw = stand_in(v).drop("i", "x")
     return comparison.run_comparison(v.p_series, raw, v.axis, "sr", 1, 5, ["Persistence", "AR(1)", "ETS"], provenance="direct_terminal_target", ets_alpha=0.3)
@@ -235,7 +235,7 @@ def flawed(v):
 
 @query("validate_series", f"""WITH {archive()}, bad AS (SELECT date, CASE WHEN i % 71 <> 0 THEN base END AS base FROM archive UNION ALL SELECT date, base FROM archive WHERE i % 73 = 0)
   SELECT 'duplicate_dates' AS rule, count(*) - count(DISTINCT date) AS violations FROM bad UNION ALL SELECT 'missing_dates', 0
-  UNION ALL SELECT 'nonfinite_TRUE', 0 UNION ALL SELECT 'nonfinite_Informer_pred', count(*) - count(base) FROM bad""")
+  UNION ALL SELECT 'nonfinite_TRUE', 0 UNION ALL SELECT 'nonfinite_Informer_pred', count(*) - count(base) FROM bad""", stage=("p_series", "p_days",))
 def _(v):
     good = stand_in(v).select("i", "date", "TRUE", "Informer_pred")
     bad = good.withColumn("Informer_pred", F.when(F.col("i") % 71 != 0, F.col("Informer_pred"))).unionByName(good.where("i % 73 = 0"))
@@ -247,19 +247,19 @@ def _(v):
   UNION ALL SELECT 'date_alias_conflict', 0 UNION ALL SELECT 'origin_on_calendar', count(*) FILTER (WHERE i % 53 = 0) FROM f UNION ALL SELECT 'finite_values', 0
   UNION ALL SELECT 'target_on_calendar', 0 UNION ALL SELECT 'target_in_data', 0 UNION ALL SELECT 'origin_in_data', 0
   UNION ALL SELECT 'actual_matches_data', count(*) FILTER (WHERE i % 67 = 0) FROM f UNION ALL SELECT 'unique_origin', count(*) - count(DISTINCT o) FROM f
-  UNION ALL SELECT 'unique_target', 0 UNION ALL SELECT 'not_empty', 0""")
+  UNION ALL SELECT 'unique_target', 0 UNION ALL SELECT 'not_empty', 0""", stage=("p_series", "p_days",))
 def _(v):
     return arch.audit_rules(flawed(v), v.p_series, v.axis, 1, "sr")
 
 
-@query("merge_one_to_one", f"WITH {archive()} SELECT origin_date, date, lead, {r('base')} AS Informer_pred, {r('x')} AS Persistence_pred FROM archive")
+@query("merge_one_to_one", f"WITH {archive()} SELECT origin_date, date, lead, {r('base')} AS Informer_pred, {r('x')} AS Persistence_pred FROM archive", stage=("p_series",))
 def _(v):
     base = stand_in(v)
     addition = fc.persistence(prepared(v).where("split = 'test'")).select("origin_date", F.col("target_date").alias("date"), F.lit(1).alias("lead"), "Persistence_pred")
     return arch.merge_one_to_one(base.select("origin_date", "date", "lead", "Informer_pred"), addition, ["origin_date", "date", "lead"], "Persistence_pred", "Persistence")
 
 
-@query("keys_contained", f"WITH {samples(5, 1)} SELECT origin_date, target_date AS date FROM samples WHERE split = 'train' AND i % 10 = 0")
+@query("keys_contained", f"WITH {samples(5, 1)} SELECT origin_date, target_date AS date FROM samples WHERE split = 'train' AND i % 10 = 0", stage=("p_series",))
 def _(v):
     all_samples = prepared(v).withColumnRenamed("target_date", "date")
     claimed = all_samples.where("split = 'test' or i % 10 = 0")
@@ -267,12 +267,12 @@ def _(v):
 
 
 @query("actuals_within_tolerance", f"""WITH {archive()}, a AS (SELECT *, actual + CASE WHEN i % 67 = 0 THEN 1 ELSE 0 END AS t FROM archive)
-  SELECT a.date, {r('a.t')} AS "TRUE", {r('s.sr')} AS data_value, abs(s.sr - t) <= 1e-8 + 1e-6 * abs(t) AS within FROM a JOIN p_series s ON s.date = a.date""")
+  SELECT a.date, {r('a.t')} AS "TRUE", {r('s.sr')} AS data_value, abs(s.sr - t) <= 1e-8 + 1e-6 * abs(t) AS within FROM a JOIN p_series s ON s.date = a.date""", stage=("p_series",))
 def _(v):
     return arch.actuals_within_tolerance(flawed(v), v.p_series, "sr").select("date", "TRUE", "data_value", "within")
 
 
-@query("sort_by_keys", f"WITH {archive()} SELECT date, origin_date, {r('actual')} AS \"TRUE\" FROM archive ORDER BY date, origin_date")
+@query("sort_by_keys", f"WITH {archive()} SELECT date, origin_date, {r('actual')} AS \"TRUE\" FROM archive ORDER BY date, origin_date", stage=("p_series",))
 def _(v):
     return stand_in(v).select("date", "origin_date", "TRUE").orderBy("date", "origin_date")
 
@@ -283,7 +283,7 @@ METRICS = f"""count(*) AS n, {r('avg((y - p) * (y - p))')} AS "MSE", {r('sqrt(av
   {r('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))')} AS "R2" """
 
 
-@query("error_metrics", f"WITH {predictions()} SELECT model, {METRICS} FROM long GROUP BY model")
+@query("error_metrics", f"WITH {predictions()} SELECT model, {METRICS} FROM long GROUP BY model", stage=("p_series",))
 def _(v):
     return ev.error_metrics(long(v))
 
@@ -294,23 +294,23 @@ SAFE = "CASE WHEN y = 0 THEN 1e-9 ELSE y END"
 @query("error_metrics_pct", f"""WITH {predictions()}, z AS (SELECT model, CASE WHEN day(date) = 31 THEN 'val' ELSE 'test' END AS split,
     CASE WHEN day(date) % 29 = 0 THEN 0 ELSE y END AS y, p FROM long)
   SELECT model, split, {r('avg((y - p) * (y - p))')} AS "MSE", {r('avg(abs(y - p))')} AS "MAE", {r('sqrt(avg((y - p) * (y - p)))')} AS "RMSE",
-  {r('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))')} AS "R2", {r(f'round(avg(abs((y - p) / {SAFE})) * 100, 3)', 3)} AS "MAPE",
-  round(log10({f'avg(((y - p) / {SAFE}) * ((y - p) / {SAFE}))'} * 100), 6) + 0.0 AS "MSPE" FROM z GROUP BY model, split""")
+  {r('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))')} AS "R2", {r(f'log10(avg(abs((y - p) / {SAFE})) * 100)')} AS "MAPE",
+  {r(f'log10(avg(((y - p) / {SAFE}) * ((y - p) / {SAFE})) * 100)')} AS "MSPE" FROM z GROUP BY model, split""", stage=("p_series",))
 def _(v):
     z = long(v).select("model", F.when(F.dayofmonth("date") == 31, "val").otherwise("test").alias("split"),
                        F.when(F.dayofmonth("date") % 29 == 0, 0.0).otherwise(F.col("y")).alias("y"), "p")
-    return ev.error_metrics_pct(z).withColumn("MSPE", F.log10("MSPE")).withColumn("MAPE", F.round("MAPE", 3))
+    return ev.error_metrics_pct(z).withColumns({c: F.log10(c) for c in ("MAPE", "MSPE")})  # a zero actual makes both huge
 
 
 @query("error_metrics_raw", f"""WITH {predictions()} SELECT model, {r('avg(abs(y - p))')} AS "MAE", {r('avg((y - p) * (y - p))')} AS "MSE",
-  {r('sqrt(avg((y - p) * (y - p)))')} AS "RMSE", {r('avg(abs((y - p) / y))')} AS "MAPE", {r('avg(((y - p) / y) * ((y - p) / y))')} AS "MSPE" FROM long GROUP BY model""")
+  {r('sqrt(avg((y - p) * (y - p)))')} AS "RMSE", {r('avg(abs((y - p) / y))')} AS "MAPE", {r('avg(((y - p) / y) * ((y - p) / y))')} AS "MSPE" FROM long GROUP BY model""", stage=("p_series",))
 def _(v):
     return ev.error_metrics_raw(long(v))
 
 
 @query("rse_corr", f"""WITH {predictions()}, m AS (SELECT model, avg(y) AS my, avg(p) AS mp FROM long GROUP BY model)
   SELECT model, {r('sqrt(sum((y - p) * (y - p))) / sqrt(sum((y - my) * (y - my)))')} AS RSE,
-  {r('sum((y - my) * (p - mp)) / sqrt(sum((y - my) * (y - my) * (p - mp) * (p - mp)))')} AS CORR FROM long JOIN m USING (model) GROUP BY model""")
+  {r('sum((y - my) * (p - mp)) / sqrt(sum((y - my) * (y - my) * (p - mp) * (p - mp)))')} AS CORR FROM long JOIN m USING (model) GROUP BY model""", stage=("p_series",))
 def _(v):
     return ev.rse_corr(long(v))
 
@@ -322,18 +322,18 @@ def dm_sql(lags=5, lead=1) -> str:
  dm AS (SELECT criterion, model, count(*) AS n, avg(d) / sqrt(var_pop(d) / count(*)) * sqrt((count(*) - 1) / count(*)) AS statistic FROM d GROUP BY ALL)"""
 
 
-@query("dm_statistic", f"WITH {dm_sql(10, 5)} SELECT criterion, model, n, {r('statistic')} AS statistic FROM dm")
+@query("dm_statistic", f"WITH {dm_sql(10, 5)} SELECT criterion, model, n, {r('statistic')} AS statistic FROM dm", stage=("p_series",))
 def _(v):
     return ev.dm_statistics(wide(v, 10, 5), "TRUE", "Informer_pred", PREDS[1:])
 
 
-@query("dm_p_value", f"WITH {dm_sql(10, 5)} SELECT criterion, model, n, {r('statistic')} AS statistic, {r(t_test_p('statistic', 'n - 1'))} AS p_value FROM dm")
+@query("dm_p_value", f"WITH {dm_sql(10, 5)} SELECT criterion, model, n, {r('statistic')} AS statistic, {r(t_test_p('statistic', 'n - 1'))} AS p_value FROM dm", stage=("p_series",))
 def _(v):
     return ev.dm_tests(wide(v, 10, 5), "TRUE", "Informer_pred", PREDS[1:])
 
 
 @query("dm_table", f"""WITH {dm_sql()} SELECT criterion, {r("max(statistic) FILTER (WHERE model = 'Persistence')")} AS Persistence,
-  {r("max(statistic) FILTER (WHERE model = 'AR1')")} AS "AR1" FROM dm GROUP BY criterion""")
+  {r("max(statistic) FILTER (WHERE model = 'AR1')")} AS "AR1" FROM dm GROUP BY criterion""", stage=("p_series",))
 def _(v):
     tests = ev.dm_statistics(wide(v), "TRUE", "Informer_pred", PREDS[1:])
     return tests.groupBy("criterion").pivot("model", ["Persistence", "AR1"]).agg(F.first("statistic"))

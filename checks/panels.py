@@ -30,14 +30,14 @@ def macro(v):
     return panel.macro_features(v.p_panel.select("date").distinct(), macro_sources(v), MACRO_NAMES)
 
 
-@query("cap_weighted_average", f"WITH {weighted({'sr': 'covar', 'receiving': 'risk_receiving'})} SELECT date, {cols('sr', 'receiving')} FROM agg")
+@query("cap_weighted_average", f"WITH {weighted({'sr': 'covar', 'receiving': 'risk_receiving'})} SELECT date, {cols('sr', 'receiving')} FROM agg", stage=("p_panel",))
 def _(v):
     return panel.cap_weighted_average(v.p_panel, v.p_panel, v.p_map, {"sr": "covar", "receiving": "risk_receiving"})
 
 
 @query("lag_panel", f"""WITH axis AS (SELECT date, lead(date) OVER (ORDER BY date) AS nxt FROM (SELECT DISTINCT date FROM p_panel)),
   l AS (SELECT a.nxt AS date, p.bank, p.cap AS cap_lag FROM p_panel p JOIN axis a ON a.date = p.date WHERE a.nxt IS NOT NULL)
-  SELECT date, bank, {r('p.cap', 2)} AS cap, {r('l.cap_lag', 2)} AS cap_lag FROM p_panel p FULL JOIN l USING (date, bank)""", digits=2)
+  SELECT date, bank, {r('p.cap', 2)} AS cap, {r('l.cap_lag', 2)} AS cap_lag FROM p_panel p FULL JOIN l USING (date, bank)""", digits=2, stage=("p_panel",))
 def _(v):
     return panel.lag_panel(v.p_panel, "cap", "cap_lag")
 
@@ -48,7 +48,7 @@ def _(v):
 
 
 @query("assemble_bank_panel", f"""WITH {MACRO} SELECT p.date, p.bank, {r('-100.0 * covar')} AS target, {cols(*PREDICTORS)}, {cols(*MACRO_FEATURES)}
-  FROM p_panel p LEFT JOIN macro m ON m.date = p.date WHERE {NOT_NULL}""")
+  FROM p_panel p LEFT JOIN macro m ON m.date = p.date WHERE {NOT_NULL}""", stage=("p_panel",))
 def _(v):
     predictors = [v.p_panel.select("date", "bank", *PREDICTORS[:3]), v.p_panel.select("date", "bank", *PREDICTORS[3:])]
     return panel.assemble_entity_panel(v.p_panel, predictors, macro(v), "covar")
@@ -58,7 +58,7 @@ SYSTEM = weighted({"target": "covar", **{p: p for p in PREDICTORS}}, {"covar": -
 
 
 @query("assemble_system_panel", f"""WITH {SYSTEM}, {MACRO} SELECT a.date, {r('target')} AS target, {cols(*PREDICTORS)}, {cols(*MACRO_FEATURES)}
-  FROM agg a LEFT JOIN macro m ON m.date = a.date WHERE {NOT_NULL} AND target IS NOT NULL""")
+  FROM agg a LEFT JOIN macro m ON m.date = a.date WHERE {NOT_NULL} AND target IS NOT NULL""", stage=("p_panel",))
 def _(v):
     return panel.assemble_system_panel(v.p_panel, v.p_panel, v.p_map, "covar", {p: p for p in PREDICTORS}, macro(v), target_out="target")
 
@@ -78,9 +78,9 @@ def _(v):
     return panel.merge_sentiment(v.p_panel.select("date", "bank", "covar"), posts_ops.entity_sentiment(shifted_stats(v), v.p_map), ["date", "bank"])
 
 
-@query("common_entities", "SELECT bank_code, bank, ord FROM p_map WHERE bank IN (SELECT bank FROM p_panel WHERE covar < -0.05) AND bank IN (SELECT bank FROM p_panel WHERE pe > 30)")
+@query("common_entities", "SELECT bank_code, bank, ord FROM p_map WHERE bank IN (SELECT bank FROM p_panel WHERE covar < -0.05) AND bank IN (SELECT bank FROM p_panel WHERE pb > 49)")
 def _(v):
-    return panel.common_entities(v.p_map, v.p_panel.where("covar < -0.05"), v.p_panel.where("pe > 30"), strict=True).select("bank_code", "bank", "ord")
+    return panel.common_entities(v.p_map, v.p_panel.where("covar < -0.05"), v.p_panel.where("pb > 49"), strict=True).select("bank_code", "bank", "ord")
 
 
 @query("date_intersection", "SELECT DISTINCT date FROM p_panel WHERE date IN (SELECT date FROM p_macro)")
@@ -113,6 +113,6 @@ NULL_FEATURES = ", ".join(f"NULL AS {c}" for c in FEATURE_NAMES)
     UNION ALL SELECT 'with', sys.*, {", ".join("o." + c for c in FEATURE_NAMES)} FROM sys JOIN overall o ON o.day = sys.date
     UNION ALL SELECT 'legacy_without', leg.*, {NULL_FEATURES} FROM leg
     UNION ALL SELECT 'legacy_with', leg.*, {", ".join("o." + c for c in FEATURE_NAMES)} FROM leg JOIN overall o ON o.day = leg.date)
-  SELECT variant, bank, date, {cols('target', *PREDICTORS, *MACRO_FEATURES, *FEATURE_NAMES)} FROM pieces""")
+  SELECT variant, bank, date, {cols('target', *PREDICTORS, *MACRO_FEATURES, *FEATURE_NAMES)} FROM pieces""", stage=("p_panel",))
 def _(v):
     return forecasting_datasets(v.p_panel, v.p_map, shifted_stats(v), macro_sources(v), "covar", PREDICTORS, macro_names=MACRO_NAMES)

@@ -12,11 +12,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(key: str, sql: str | None = None, digits: int = 6):
+def query(key: str, sql: str | None = None, digits: int = 6, stage: tuple[str, ...] = ()):
+    """Register a query. Views named in ``stage`` feed several branches of the plan: they are aggregated once and
+    written to the shared folder, so the raw tables are not scanned again for every branch."""
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return tidy(build(Views(spark, sf_dir)), digits)
+            views = Views(spark, sf_dir)
+            for name in stage:
+                views.stage(name)
+            return tidy(build(views), digits)
 
         run.__name__ = key
         if key in QUERIES:

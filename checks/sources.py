@@ -134,7 +134,7 @@ def _(v):
 
 
 @query("resolve_aliases", f"""WITH {samples(5, 1)}
-  SELECT origin_date, target_date AS date, cast(1 AS bigint) AS lead, {r('target')} AS "TRUE", {r('x')} AS Informer_pred FROM samples WHERE split = 'test'""")
+  SELECT origin_date, target_date AS date, cast(1 AS bigint) AS lead, {r('target')} AS "TRUE", {r('x')} AS Informer_pred FROM samples WHERE split = 'test'""", stage=("p_series",))
 def _(v):
     test = prepare_samples(v.p_series, v.axis, "sr", (), 1, 5, windows=False).where("split = 'test'")
     raw = test.select(F.col("origin_date").alias("origin"), "target_date", F.lit(1).alias("horizon"), F.col("target").alias("true"), F.col("x").alias("pred"))

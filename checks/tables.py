@@ -20,7 +20,7 @@ def _(v):
     return rp.descriptive_stats(v.p_series_sent, ["sr", "skew", "posts"])
 
 
-@query("lag_feature", f"SELECT date, {r('lag(skew) OVER (ORDER BY date)')} AS skew_lag1, {r('lag(posts) OVER (ORDER BY date)')} AS posts_lag1 FROM p_series_sent")
+@query("lag_feature", f"SELECT date, {r('lag(skew) OVER (ORDER BY date)')} AS skew_lag1, {r('lag(posts) OVER (ORDER BY date)')} AS posts_lag1 FROM p_series_sent", stage=("p_series_sent",))
 def _(v):
     return rp.lag_feature(v.p_series_sent, ["skew", "posts"], 1).select("date", "skew_lag1", "posts_lag1")
 
@@ -31,14 +31,14 @@ CORR = """lagged AS (SELECT *, lag(skew, 1) OVER (ORDER BY date) AS s1, lag(post
 
 
 @query("lagged_correlation", f"""WITH {CORR} SELECT risk_variable, lagged_variable, count(*) AS n, {r('corr(a, b)')} AS correlation FROM pairs
-  WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL""")
+  WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL""", stage=("p_series_sent",))
 def _(v):
     return rp.lagged_correlation(v.p_series_sent, ["sr", "feature2"], ["skew", "posts"], 1)
 
 
 @query("correlation_p_value", f"""WITH {CORR}, c AS (SELECT risk_variable, lagged_variable, count(*) AS n, corr(a, b) AS c FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
   t AS (SELECT *, c * sqrt((n - 2) / (1 - c * c)) AS t FROM c)
-  SELECT risk_variable, lagged_variable, n, {r('c')} AS correlation, {r(t_test_p('t', 'n - 2'))} AS p_value FROM t""")
+  SELECT risk_variable, lagged_variable, n, {r('c')} AS correlation, {r(t_test_p('t', 'n - 2'))} AS p_value FROM t""", stage=("p_series_sent",))
 def _(v):
     return rp.with_correlation_p(rp.lagged_correlation(v.p_series_sent, ["sr", "feature2"], ["skew", "posts"], 1))
 
@@ -95,14 +95,14 @@ def _(v):
 Z = "z AS (SELECT date, (sr - avg(sr) OVER ()) / stddev_samp(sr) OVER () AS sr, (skew - avg(skew) OVER ()) / stddev_samp(skew) OVER () AS skew FROM p_series_sent)"
 
 
-@query("standardize", f"WITH {Z} SELECT date, {cols('sr', 'skew')} FROM z")
+@query("standardize", f"WITH {Z} SELECT date, {cols('sr', 'skew')} FROM z", stage=("p_series_sent",))
 def _(v):
     return standardize(v.p_series_sent.select("date", "sr", "skew"), ["sr", "skew"])
 
 
 @query("monthly_resample", f"""WITH {Z}, q AS (SELECT * FROM z WHERE month(date) <> 5), m AS (SELECT last_day(date) AS month, avg(sr) AS sr, avg(skew) AS skew FROM q GROUP BY 1),
   span AS (SELECT last_day(cast(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS date)) AS month FROM q)
-  SELECT span.month, {r('m.sr')} AS sr, {r('m.skew')} AS skew FROM span LEFT JOIN m ON m.month = span.month""")
+  SELECT span.month, {r('m.sr')} AS sr, {r('m.skew')} AS skew FROM span LEFT JOIN m ON m.month = span.month""", stage=("p_series_sent",))
 def _(v):
     z = standardize(v.p_series_sent.select("date", "sr", "skew"), ["sr", "skew"])
     return rp.monthly_means(z.where(F.month("date") != 5), ["sr", "skew"])
@@ -130,7 +130,7 @@ def _(v):
 @query("report_tables", f"""WITH {predictions()}, m AS (SELECT model, {METRICS} FROM long GROUP BY model), {dm_sql().removeprefix(predictions() + ",")}
   SELECT 'errors' AS part, 'MSE' AS line, max(MSE) FILTER (WHERE model = 'Persistence') AS Persistence, max(MSE) FILTER (WHERE model = 'AR1') AS "AR1" FROM m
   UNION ALL SELECT 'errors', 'MAE', max(MAE) FILTER (WHERE model = 'Persistence'), max(MAE) FILTER (WHERE model = 'AR1') FROM m
-  UNION ALL SELECT 'h1', criterion, {r("max(statistic) FILTER (WHERE model = 'Persistence')")}, {r("max(statistic) FILTER (WHERE model = 'AR1')")} FROM dm GROUP BY criterion""")
+  UNION ALL SELECT 'h1', criterion, {r("max(statistic) FILTER (WHERE model = 'Persistence')")}, {r("max(statistic) FILTER (WHERE model = 'AR1')")} FROM dm GROUP BY criterion""", stage=("p_series",))
 def _(v):
     models = ["Persistence", "AR1"]
     errors = rp.comparison_table(ev.error_metrics(long(v)), models).select(F.lit("errors").alias("part"), F.col("metric").alias("line"), *models)
@@ -147,6 +147,6 @@ def _(v):
     return rp.side_by_side(rows, v.p_map.select("bank", "ord"), "bank", ["MSE", "MAE"], "spec")
 
 
-@query("figure_series", f"WITH {predictions()} SELECT date, CASE model WHEN 'Informer' THEN 'baseline' ELSE model END AS model, {r('y')} AS observed, {r('p')} AS forecast FROM long")
+@query("figure_series", f"WITH {predictions()} SELECT date, CASE model WHEN 'Informer' THEN 'baseline' ELSE model END AS model, {r('y')} AS observed, {r('p')} AS forecast FROM long", stage=("p_series",))
 def _(v):
     return rp.figure_series(wide(v), "TRUE", PREDS, baseline="Informer_pred")

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paneltide.operators.panel import session_axis
+from paneltide.session import cut_lineage
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
@@ -148,6 +149,9 @@ class Views:
                 raise AttributeError(name)
         return self._made[name]
 
+    def stage(self, name: str) -> None:
+        self._made[name] = cut_lineage(getattr(self, name), name)
+
     @cached_property
     def axis(self) -> DataFrame:
         return session_axis(self.p_days)

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
-from ..schema import fail_if
+from ..schema import required
 
 # Accepted spellings of a label, and the text of each label.
 LABEL_WORDS = {
@@ -29,19 +29,19 @@ USER_BLOCK = (
 ASSISTANT_BLOCK = "%s<|eot_id|>"
 ANSWER_MARKER = "assistant\n\n"
 
-# Units of abbreviated counts (the larger one is looked for first) and spellings of "no count".
+# Units of abbreviated counts; the larger one is looked for first.
 COUNT_UNITS = [("亿", 1e8), ("万", 1e4)]
-NO_COUNT = ["", "nan", "none", "--"]
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-DATE_PATTERNS = [
-    "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "yyyy-M-d", "yyyyMMdd",
-]
+# The characters Unicode counts as white space, and the full-width digits.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
+WIDE_DIGITS = "０１２３４５６７８９"
 
 
 def stripped(column: Column | str) -> Column:
     """Trim every kind of white space, not just blanks."""
-    return F.regexp_replace(_col(column).cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.btrim(_col(column).cast("string"), F.lit(WHITE_SPACE))
 
 
 def _col(column: Column | str) -> Column:
@@ -57,7 +57,7 @@ def lookup(column: Column | str, mapping: Mapping, default: str = "keep") -> Col
         return F.coalesce(mapped, key)
     if default == "null":
         return mapped
-    return fail_if(mapped.isNull(), F.concat(F.lit("Unmapped value: "), F.coalesce(key.cast("string"), F.lit("NULL"))), mapped)
+    return required(mapped, F.concat(F.lit("Unmapped value: "), F.coalesce(key.cast("string"), F.lit("NULL"))))
 
 
 def normalize_label(column: Column | str, on_bad: str = "raise") -> Column:
@@ -69,7 +69,7 @@ def normalize_label(column: Column | str, on_bad: str = "raise") -> Column:
     label = F.coalesce(word, whole)
     if on_bad == "null":
         return label
-    return fail_if(label.isNull(), F.concat(F.lit("Unsupported sentiment label: "), F.coalesce(text, F.lit("NULL"))), label)
+    return required(label, F.concat(F.lit("Unsupported sentiment label: "), F.coalesce(text, F.lit("NULL"))))
 
 
 def parse_response(column: Column | str, default: int | None = None, on_bad: str = "raise") -> Column:
@@ -87,21 +87,20 @@ def parse_count(column: Column | str, numeric: bool = False) -> Column:
     if numeric:
         number = value.cast("double")
         return F.when(number.isNull() | F.isnan(number), F.lit(0)).otherwise(number.cast("bigint")).cast("bigint")
-    text = F.translate(F.replace(stripped(value), F.lit(","), F.lit("")), "０１２３４５６７８９", "0123456789")
     scale = None
     for unit, factor in COUNT_UNITS:
-        scale = F.when(text.contains(unit), factor) if scale is None else scale.when(text.contains(unit), factor)
-    digits = F.regexp_extract(F.translate(text, "".join(u for u, _ in COUNT_UNITS) + "+", ""), r"-?\d+(?:\.\d+)?", 0)
-    number = digits.try_cast("double") * scale.otherwise(1.0)
-    empty = text.isNull() | F.lower(text).isin(NO_COUNT) | number.isNull()
-    return F.when(empty, F.lit(0).cast("bigint")).otherwise(number.cast("bigint"))
+        scale = F.when(value.contains(unit), factor) if scale is None else scale.when(value.contains(unit), factor)
+    dropped = ",+" + "".join(unit for unit, _ in COUNT_UNITS)
+    # The zero at the end is found when the text has no number, as in the words for "no count"; so no cast can fail.
+    plain = F.concat(F.translate(value, WIDE_DIGITS + dropped, "0123456789"), F.lit(" 0"))
+    number = F.regexp_extract(plain, r"-?\d+(?:\.\d+)?", 0).cast("double") * scale.otherwise(1.0)
+    return F.coalesce(number.cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def to_day(column: Column | str) -> Column:
     """Calendar day of a date text; unreadable text is NULL."""
-    text = stripped(column)
-    readings = [F.try_to_timestamp(text, F.lit(p)).cast("date") for p in DATE_PATTERNS]
-    return F.coalesce(text.try_cast("timestamp_ntz").cast("date"), *readings)
+    dashed = F.translate(stripped(column), "/", "-")
+    return F.regexp_replace(dashed, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("timestamp_ntz").cast("date")
 
 
 def chat_source(instruction: Column) -> Column:

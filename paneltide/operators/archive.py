@@ -60,12 +60,12 @@ def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, tar
     origins = [n for n in ORIGIN_NAMES if n in raw.columns]
     flags["origin_on_calendar"] = reduce(lambda a, b: a | b, [~F.coalesce(c(n).cast("date") == c("__expected_origin"), F.lit(False)) for n in origins])
     actual, predicted = (first_present(raw, names, "value") for names in (ACTUAL_NAMES + [target], PREDICTION_NAMES))
-    finite = lambda n: number_or_null(n).isNotNull() & (F.abs(number_or_null(n)) != float("inf"))
+    finite = lambda n: F.coalesce(F.abs(number_or_null(raw, n)) != float("inf"), F.lit(False))
     flags["finite_values"] = ~(finite(actual) & finite(predicted))
     flags["target_on_calendar"] = c("__target_pos").isNull() | (c("__target_pos") < lead)
     flags["target_in_data"] = c("__data_value").isNull()
     flags["origin_in_data"] = c("__origin_value").isNull()
-    flags["actual_matches_data"] = c("__data_value").isNotNull() & ~F.coalesce(close(c("__data_value"), number_or_null(actual)), F.lit(False))
+    flags["actual_matches_data"] = c("__data_value").isNotNull() & ~F.coalesce(close(c("__data_value"), number_or_null(raw, actual)), F.lit(False))
 
     target_day = c(given[0]).cast("date")
     days = axis.select(c("date").alias("__d"), c("pos").alias("__target_pos"))
@@ -131,7 +131,7 @@ def series_report(df: DataFrame, date: str, actual: str, predictions: Sequence[s
     """Violations of the evaluation contract: repeated or missing days, values that are not finite numbers."""
     per_day = df.groupBy(date).agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.count_if(number_or_null(c).isNull() | (F.abs(number_or_null(c)) == float("inf"))).alias(c) for c in [actual, *predictions]])
+        *[F.count_if(F.coalesce(F.abs(number_or_null(df, c)) == float("inf"), F.lit(True))).alias(c) for c in [actual, *predictions]])
     counted = per_day.agg(
         F.coalesce(F.sum(F.col("__rows") - 1), F.lit(0)).alias("duplicate_dates"),
         F.count_if(F.col(date).isNull()).alias("missing_dates"),
@@ -166,7 +166,7 @@ def read_forecasting_data(df: DataFrame, date: str, target: str, features: Seque
         require_columns(df, wanted, "forecasting data")
         df = df.select(date, *wanted)
     numeric = [c for c in df.columns if c != date]
-    typed = df.select(F.col(date).cast("date").alias(date), *[number_or_null(f"`{c}`").alias(c) for c in numeric])
+    typed = df.select(F.col(date).cast("date").alias(date), *[number_or_null(df, c).alias(c) for c in numeric])
     per_day = typed.groupBy(date).agg(
         F.count(F.lit(1)).alias("__rows"),
         *[F.count(c).alias(f"n_{c}") for c in numeric],

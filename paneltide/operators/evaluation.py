@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.reporting import fixed, stars
 from ..functions.student_t import t_test_p
 from ..functions.text import lookup
+from ..schema import required
 
 # Display name of each model column.
 MODEL_LABELS = {"Informer": "Informer", "Persistence": "Persistence", "AR1": "AR(1)", "ETS": "ETS", "GBR": "GBR", "PatchTST": "PatchTST"}
@@ -86,8 +87,7 @@ def dm_statistics(df: DataFrame, actual: str, baseline: str, comparators: Sequen
     n = F.col("n").cast("double")
     error = F.when(F.col("variance") > 0, F.sqrt(F.col("variance") / n))
     if strict:
-        from ..schema import fail_if
-        error = fail_if(error.isNull(), "The loss-differential variance is not positive", error)
+        error = required(error, "The loss-differential variance is not positive")
     return sums.select(*by, "criterion", "model", "n", (F.col("mean") / error * F.sqrt((n - 1) / n)).alias("statistic"))
 
 

@@ -36,7 +36,7 @@ def clean_posts(posts: DataFrame, date: str = "pub_date", bank: str = "bank_code
         normalize_label(label, on_bad_label).alias("predict"),
         count(reads).alias("read_num"),
         count(comments).alias("comments_num"),
-    ).dropna("any", subset=["bank_code", "pub_day", "predict"])
+    ).dropna("any", subset=["bank_code", "pub_day", *(["predict"] if on_bad_label == "null" else [])])
 
 
 def daily_sentiment_stats(cleaned: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ SPEC_NAMES = {"不带情绪": "without", "带情绪": "with", "without sentiment
 
 def descriptive_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Mean, sample deviation, minimum and maximum of every indicator."""
-    cells = [F.struct(F.lit(c).alias("indicator"), number_or_null(c).alias("v")) for c in columns]
+    cells = [F.struct(F.lit(c).alias("indicator"), number_or_null(df, c).alias("v")) for c in columns]
     return df.select(*by, F.inline(F.array(*cells))).groupBy(*by, "indicator").agg(
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
 
@@ -48,7 +48,7 @@ def lagged_correlation(df: DataFrame, risks: Sequence[str], signals: Sequence[st
     NULL with fewer than three pairs or a constant side. Means are taken first, so the sums of the second pass are
     centred.
     """
-    typed = df.select(*series, order, *[number_or_null(c).alias(c) for c in [*risks, *signals]])
+    typed = df.select(*series, order, *[number_or_null(df, c).alias(c) for c in [*risks, *signals]])
     lagged = lag_feature(typed, signals, lag, order, series)
     cells = [F.struct(F.lit(r).alias("risk_variable"), F.lit(f"{s}_lag{lag}").alias("lagged_variable"),
                       F.col(r).alias("a"), F.col(f"{s}_lag{lag}").alias("b")) for r in risks for s in signals]
@@ -78,12 +78,13 @@ def error_reduction(metrics: DataFrame, base: str = "without", other: str = "wit
     """Both specifications of every bank and the share of error the second one saves."""
     avg = average_over_iterations(metrics, split=split)
     side = lambda name, m: F.max(F.when(F.col("spec") == name, F.col(m)))
-    saved = avg.groupBy("bank").agg(*[
-        F.try_divide(side(base, m) - side(other, m), side(base, m)).alias(m) for m in ("MSE", "MAE")],
-        F.max(F.col("spec") == base).alias("__a"), F.max(F.col("spec") == other).alias("__b"))
+    saved = lambda m: F.try_divide(side(base, m) - side(other, m), side(base, m)).alias(m)
     empty = F.lit(None).cast("double")
-    rows = saved.select("bank", F.lit("reduction").alias("spec"), "MSE", "MAE", empty.alias("RMSE"), empty.alias("R2"))
-    return avg.select("bank", "spec", "MSE", "MAE", "RMSE", "R2").unionByName(rows)
+    # A bank has one averaged row per specification, so the list is as short as the list of specifications.
+    blocks = avg.groupBy("bank").agg(
+        F.collect_list(F.struct("spec", "MSE", "MAE", "RMSE", "R2")).alias("specs"),
+        F.struct(F.lit("reduction").alias("spec"), saved("MSE"), saved("MAE"), empty.alias("RMSE"), empty.alias("R2")).alias("reduction"))
+    return blocks.select("bank", F.inline(F.concat("specs", F.array("reduction"))))
 
 
 def extreme_metrics(metrics: DataFrame, base: str = "without", other: str = "with",
@@ -137,16 +138,16 @@ EDGES = 256
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float] = (0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Linearly interpolated quantiles, one row ``(p, q)`` each.
 
-    A sketch only cuts the value range into bins of similar weight. Equal values are counted before anything is
-    ordered, running counts are formed bin by bin, and the two neighbours of every quantile are read off: exact, and
-    no task sees more than a bin.
+    Equal values are counted before anything is ordered. A sketch cuts the distinct values into bins of similar size,
+    running counts are formed bin by bin, and the two neighbours of every quantile are read off: exact, one pass over
+    the data, and no task sees more than a bin.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    edges = values.agg(F.array_distinct(F.percentile_approx("v", [k / EDGES for k in range(1, EDGES)], 10000)).alias("e")).scalar()
-    total = values.agg(F.count(F.lit(1)).alias("n")).scalar()
     tallies = values.groupBy("v").agg(F.count(F.lit(1)).alias("rows"))
-    tallies = tallies.withColumn("edges", edges)
-    counted = running_total(tallies, "rows", "v", F.size(F.filter("edges", lambda e: e <= F.col("v"))), "upto").withColumn("total", total)
+    sketch = F.percentile_approx("v", [k / EDGES for k in range(1, EDGES)], 10000)
+    facts = tallies.agg(F.struct(F.array_distinct(sketch).alias("edges"), F.sum("rows").alias("total")).alias("f")).scalar()
+    known = tallies.withColumn("f", facts).select("v", "rows", "f.edges", "f.total")
+    counted = running_total(known, "rows", "v", F.size(F.filter("edges", lambda e: e <= F.col("v"))), "upto")
     ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("total") - 1)).alias("h")) for p in probabilities])
     hit = counted.select("v", "rows", "upto", F.inline(ranks))
     low, high = F.floor("h"), F.ceil("h")

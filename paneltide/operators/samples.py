@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schema import fail_if
+from ..schema import fail_if, required
 from ..timeline import BLOCK_ROWS, in_blocks, row_index
 
 
@@ -22,7 +22,7 @@ def calendar_position(df: DataFrame, axis: DataFrame, date: str = "date", out: s
     pos = F.col("__pos")
     if on_unknown == "raise":
         text = F.concat(F.lit("Date absent from the trading calendar: "), F.coalesce(F.col(date).cast("string"), F.lit("NULL")))
-        pos = fail_if(pos.isNull(), text, pos)
+        pos = required(pos, text)
     return joined.select(*df.columns, pos.alias(out))
 
 

@@ -21,7 +21,7 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 
 def stack_panel(df: DataFrame, labels: Mapping[str, tuple[str, str]], date: str = "date") -> DataFrame:
     """Wide to long in one pass: ``labels`` gives entity and indicator of each value column."""
-    cells = [F.struct(F.lit(bank).alias("bank"), F.lit(indicator).alias("indicator"), number_or_null(f"`{name}`").alias("value"))
+    cells = [F.struct(F.lit(bank).alias("bank"), F.lit(indicator).alias("indicator"), number_or_null(df, name).alias("value"))
              for name, (bank, indicator) in labels.items()]
     return df.select(F.col(date).alias("date"), F.inline(F.array(*cells)))
 
@@ -50,7 +50,7 @@ def unpivot_panel(df: DataFrame, date: str, mapping: DataFrame | None = None, va
                   suffix: str = "") -> DataFrame:
     """One row per date and entity column; with a mapping, mapped entities only."""
     columns = [c for c in df.columns if c != date]
-    wide = df.select(F.col(date).alias("date"), *[number_or_null(f"`{c}`").alias(c.removesuffix(suffix)) for c in columns])
+    wide = df.select(F.col(date).alias("date"), *[number_or_null(df, c).alias(c.removesuffix(suffix)) for c in columns])
     long = wide.unpivot(["date"], [c.removesuffix(suffix) for c in columns], "bank", value)
     return long if mapping is None else long.join(mapping.select("bank"), "bank", "left_semi").select("date", "bank", value)
 
@@ -59,7 +59,7 @@ def select_entity(df: DataFrame, date: str, entity: str, out: str) -> DataFrame:
     """One entity column of a wide panel; an unknown entity is an error."""
     if entity not in df.columns:
         raise ValueError(f"{entity} not found in the panel")
-    return df.select(F.col(date).alias("date"), number_or_null(f"`{entity}`").alias(out))
+    return df.select(F.col(date).alias("date"), number_or_null(df, entity).alias(out))
 
 
 def inner_join_tables(frames: Sequence[DataFrame], renames: Mapping[str, str], date: str = "date") -> DataFrame:
