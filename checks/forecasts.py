@@ -199,7 +199,8 @@ def _(v):
 
 @query("forecast_gbr", stage=("p_series",))
 def _(v):
-    made = comparison.forecasts(v.p_series, v.axis, "sr", ["feature", "feature2"], 1, 5, ["GBR"])
+    features = ["feature", "feature2"]
+    made = comparison.forecasts(v.p_series, prepared(v, features=features, windows=True), "sr", features, 1, ["GBR"])
     return made.select("origin_date", "date", "lead", "TRUE", "GBR_pred")
 
 

@@ -115,4 +115,6 @@ NULL_FEATURES = ", ".join(f"NULL AS {c}" for c in FEATURE_NAMES)
     UNION ALL SELECT 'legacy_with', leg.*, {", ".join("o." + c for c in FEATURE_NAMES)} FROM leg JOIN overall o ON o.day = leg.date)
   SELECT variant, bank, date, {cols('target', *PREDICTORS, *MACRO_FEATURES, *FEATURE_NAMES)} FROM pieces""", stage=("p_panel",))
 def _(v):
-    return forecasting_datasets(v.p_panel, v.p_map, shifted_stats(v), macro_sources(v), "covar", PREDICTORS, macro_names=MACRO_NAMES)
+    target = v.p_panel.select("date", "bank", F.col("covar").alias("target"))
+    return forecasting_datasets(target, [v.p_panel.select("date", "bank", *PREDICTORS)], v.p_panel.select("date", "bank", "cap"), v.p_map,
+                                shifted_stats(v), macro_sources(v), macro_names=MACRO_NAMES)

@@ -75,11 +75,11 @@ def _summary(cells: str, alpha: str):
     return F.struct(first.alias("first"), F.aggregate(cells, start, step).alias("s"))
 
 
-def _chained_sse(blocks: DataFrame, alphas: DataFrame, series: Sequence[str]) -> DataFrame:
+def _chained_sse(blocks: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame:
     """One-step squared errors of every series and candidate smoothing weight."""
-    trial = _with_candidates(blocks, alphas, series)
-    parts = trial.select(*series, "alpha", "block", _summary("cells", "alpha").alias("b"))
-    chain = parts.groupBy(*series, "alpha").agg(F.array_sort(F.collect_list(F.struct("block", "b"))).alias("chain"))
+    trial = attach(blocks, grid, series).select(*series, "block", "cells", F.inline("candidates"))
+    parts = trial.select(*series, "alpha", "step", "block", _summary("cells", "alpha").alias("b"))
+    chain = parts.groupBy(*series, "alpha", "step").agg(F.array_sort(F.collect_list(F.struct("block", "b"))).alias("chain"))
     start = F.struct(F.col("chain")[0]["b"]["first"].alias("level"), F.lit(0.0).alias("sse"))
 
     def link(state, part):
@@ -88,11 +88,7 @@ def _chained_sse(blocks: DataFrame, alphas: DataFrame, series: Sequence[str]) ->
         return F.struct((s["carry"] + s["power"] * gap).alias("level"),
                         (state["sse"] + s["dd"] - 2 * gap * s["dp"] + gap * gap * s["pp"]).alias("sse"))
 
-    return chain.select(*series, "alpha", F.aggregate("chain", start, link)["sse"].alias("sse"))
-
-
-def _with_candidates(blocks: DataFrame, alphas: DataFrame, series: Sequence[str]) -> DataFrame:
-    return attach(blocks, alphas, series).withColumn("alpha", F.explode("candidates"))
+    return chain.select(*series, "alpha", "step", F.aggregate("chain", start, link)["sse"].alias("sse"))
 
 
 def fit_ets(rows: DataFrame, value: str, series: Sequence[str] = (), points: int = 32, rounds: int = 4,
@@ -103,27 +99,34 @@ def fit_ets(rows: DataFrame, value: str, series: Sequence[str] = (), points: int
     """
     blocks = _value_blocks(rows.where("i < fit_end"), value, series, block_rows)
     bounds = blocks.groupBy(*series).agg(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-    best = None
     for _ in range(rounds):
         step = (F.col("hi") - F.col("lo")) / points
-        grid = bounds.select(*series, F.transform(F.sequence(F.lit(0), F.lit(points)),
-                                                  lambda k: F.col("lo") + step * k).alias("candidates"))
-        best = _chained_sse(blocks, grid, series).groupBy(*series).agg(F.min_by("alpha", F.struct("sse", "alpha")).alias("alpha"))
-        bounds = attach(best, bounds, series).select(
-            *series, F.greatest(F.lit(low), F.col("alpha") - step).alias("lo"), F.least(F.lit(high), F.col("alpha") + step).alias("hi"))
-    return best
+        grid = bounds.select(*series, F.transform(
+            F.sequence(F.lit(0), F.lit(points)),
+            lambda k: F.struct((F.col("lo") + step * k).alias("alpha"), step.alias("step"))).alias("candidates"))
+        best = _chained_sse(blocks, grid, series).groupBy(*series).agg(
+            F.min_by(F.struct("alpha", "step"), F.struct("sse", "alpha")).alias("best")).select(*series, "best.*")
+        bounds = best.select(*series, "alpha", F.greatest(F.lit(low), F.col("alpha") - F.col("step")).alias("lo"),
+                             F.least(F.lit(high), F.col("alpha") + F.col("step")).alias("hi"))
+    return bounds.select(*series, "alpha")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _level_path(values: pd.Series, start: pd.Series, alpha: pd.Series) -> pd.Series:
-    def path(v, level, a):
-        out = np.empty(len(v))
-        for k, x in enumerate(v):
-            level = a * x + (1 - a) * level
-            out[k] = level
-        return out
-
-    return pd.Series([path(np.asarray(v, float), s, a) for v, s, a in zip(values, start, alpha)])
+    """Recurrence along the blocks, many blocks side by side."""
+    out: list[np.ndarray] = []
+    for at in range(0, len(values), 256):
+        part = [np.asarray(v, float) for v in values[at:at + 256]]
+        sizes = [len(v) for v in part]
+        grid = np.zeros((len(part), max(sizes)))
+        for row, v in zip(grid, part):
+            row[:len(v)] = v
+        level, a = start[at:at + 256].to_numpy(float), alpha[at:at + 256].to_numpy(float)
+        for k in range(grid.shape[1]):
+            level = a * grid[:, k] + (1 - a) * level
+            grid[:, k] = level
+        out += [row[:n] for row, n in zip(grid, sizes)]
+    return pd.Series(out)
 
 
 def ets_levels(rows: DataFrame, weights: DataFrame, value: str, series: Sequence[str] = (),

@@ -41,7 +41,7 @@ def job_table(spark: SparkSession, config: Mapping) -> DataFrame:
 def targets(mapping: DataFrame) -> DataFrame:
     """Grid targets by scope: every mapped bank, and the aggregate."""
     banks = mapping.select(F.lit("banks").alias("scope"), "bank")
-    return banks.unionByName(banks.limit(1).select(F.lit("aggregate").alias("scope"), F.lit("ALL").alias("bank")))
+    return banks.unionByName(mapping.sparkSession.range(1).select(F.lit("aggregate").alias("scope"), F.lit("ALL").alias("bank")))
 
 
 def experiment_grid(jobs: DataFrame, mapping: DataFrame) -> DataFrame:

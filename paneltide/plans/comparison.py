@@ -13,6 +13,7 @@ from ..operators.forecasting import (
 )
 from ..operators.samples import prepare_samples
 from ..operators.scaling import fit_scaler
+from ..session import cut_lineage
 
 KEYS = ["origin_date", "date", "lead"]
 
@@ -31,15 +32,13 @@ def simple_forecasts(data: DataFrame, samples: DataFrame, target: str, lead: int
     return out
 
 
-def forecasts(data: DataFrame, axis: DataFrame, target: str, features: Sequence[str], lead: int, lags: int,
+def forecasts(data: DataFrame, samples: DataFrame, target: str, features: Sequence[str], lead: int,
               models: Sequence[str], train_ratio: float = 0.7, normalization: str = "minmax",
               settings: Mapping[str, Mapping] | None = None, seed: int = 2024, ets_alpha: float | None = None) -> DataFrame:
-    """Forecasts of the selected models for every valid test origin."""
+    """Forecasts of the selected models for every test origin of the samples; boosting needs their windows."""
     check_models(models)
-    needs_windows = "GBR" in models
-    samples = prepare_samples(data, axis, target, features, lead, lags, train_ratio, windows=needs_windows)
     out = simple_forecasts(data, samples, target, lead, models, (), train_ratio, ets_alpha)
-    if needs_windows:
+    if "GBR" in models:
         channels = [target, *[f for f in features if f != target]]
         rows = training_rows(data.select("date", *channels), channels[0], (), train_ratio).select("date", "i", "fit_end")
         train = data.join(rows.where("i < fit_end").select("date"), "date", "left_semi")
@@ -58,17 +57,18 @@ def run_comparison(raw: DataFrame, archive: DataFrame, axis: DataFrame, target:
                    ets_alpha: float | None = None) -> DataFrame:
     """Checked data and archive, one forecast per origin and model, exported in the archive's layout.
 
-    The archive is audited, and must lie inside the valid test origins, before any model is fitted.
+    The archive is audited, and must lie inside the valid test origins, before any model is fitted. The samples feed
+    that check and every model, so they are written to the shared folder once.
     """
     check_models(models)
     data = read_forecasting_data(raw, date, target, features).withColumnRenamed(date, "date")
     result = load_archive(archive, data, axis, lead, target, provenance)
     used = [c for c in data.columns if c not in ("date", target)]
-    valid = prepare_samples(data, axis, target, used, lead, lags, train_ratio, windows=False).where("split = 'test'").select(
-        "origin_date", F.col("target_date").alias("date"), F.lit(lead).alias("lead"))
+    samples = cut_lineage(prepare_samples(data, axis, target, used, lead, lags, train_ratio, windows="GBR" in models), "samples")
+    valid = samples.where("split = 'test'").select("origin_date", F.col("target_date").alias("date"), F.lit(lead).alias("lead"))
     require_contained(result, valid, KEYS)
     if models:
-        made = forecasts(data, axis, target, used, lead, lags, models, train_ratio, normalization, settings, seed, ets_alpha)
+        made = forecasts(data, samples, target, used, lead, models, train_ratio, normalization, settings, seed, ets_alpha)
         for model in models:
             result = merge_one_to_one(result, made, KEYS, MODEL_COLUMNS[model], model)
     return result.select(

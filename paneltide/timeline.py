@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 BLOCK_ROWS = 4096
 _BLOCK = "__block"
@@ -22,6 +22,13 @@ def day_block(order: str, days: int = BLOCK_ROWS) -> Column:
     return F.floor(F.unix_date(F.col(order).cast("date")) / F.lit(days))
 
 
+def default_block(df: DataFrame, order: str) -> Column:
+    """Days for a date column; seconds for a timestamp, so that a series sampled every second still splits."""
+    if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType)):
+        return F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / F.lit(BLOCK_ROWS))
+    return day_block(order)
+
+
 def _ordered(series: Sequence[str]):
     return Window.partitionBy(*series).orderBy(_BLOCK)
 
@@ -30,9 +37,9 @@ def row_index(df: DataFrame, order: str, series: Sequence[str] = (), index: str
               block: Column | None = None) -> DataFrame:
     """Add the 0-based position of each row in its series and, if asked, the series length.
 
-    ``block`` must be monotone in ``order``; by default it is derived from a date.
+    ``block`` must be monotone in ``order``; by default it is derived from the date or time.
     """
-    keyed = df.withColumn(_BLOCK, day_block(order) if block is None else block)
+    keyed = df.withColumn(_BLOCK, default_block(df, order) if block is None else block)
     sizes = keyed.groupBy(*series, _BLOCK).agg(F.count(F.lit(1)).alias("__rows"))
     before = _ordered(series).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -80,7 +87,7 @@ def shift_rows(df: DataFrame, columns: Mapping[str, str], k: int, index: str, se
 def forward_fill(df: DataFrame, columns: Sequence[str], order: str, series: Sequence[str] = (),
                  block: Column | None = None) -> DataFrame:
     """Carry the last observed value forward along ``order``; nothing is filled backwards."""
-    keyed = df.withColumn(_BLOCK, day_block(order) if block is None else block)
+    keyed = df.withColumn(_BLOCK, default_block(df, order) if block is None else block)
     tails = keyed.groupBy(*series, _BLOCK).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__tail_{c}") for c in columns])
     earlier = _ordered(series).rowsBetween(Window.unboundedPreceding, -1)

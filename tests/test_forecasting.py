@@ -161,7 +161,8 @@ def test_comparison_rejections(archive, data, axis):
 
 
 def test_gradient_boosting_smoke(data, axis):
-    made = comparison.forecasts(data, axis, "SR", ["feature"], 5, 3, ["GBR"], settings={"GBR": {"n_estimators": 3, "max_depth": 2}})
+    samples = prepare_samples(data, axis, "SR", ["feature"], 5, 3)
+    made = comparison.forecasts(data, samples, "SR", ["feature"], 5, ["GBR"], settings={"GBR": {"n_estimators": 3, "max_depth": 2}})
     rows = made.collect()
     assert len(rows) == 14 and all(0 <= r.GBR_pred <= 60 for r in rows)
 
