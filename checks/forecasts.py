@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paneltide.operators import archive as arch, evaluation as ev, forecasting as fc, samples as sm, scaling
 from paneltide.plans import comparison
+from paneltide.session import cut_lineage
 from paneltide.timeline import row_index
 
 from .registry import cols, query, r
@@ -33,6 +34,11 @@ def stand_in(v, lags=5, lead=1):
                        F.col("target").alias("TRUE"), base.alias("Informer_pred"), "x")
 
 
+def stored(rows):
+    """As a file, the way an archive comes."""
+    return cut_lineage(rows, "archive")
+
+
 def wide(v, lags=5, lead=1):
     rows = fc.training_rows(v.p_series, "sr")
     return fc.ar1_forecast(stand_in(v, lags, lead).withColumn("Persistence_pred", F.col("x")), fc.fit_ar1(rows, "sr"), lead)
@@ -218,7 +224,7 @@ def _(v):
   SELECT origin_date, date, date AS target_date, lead, cast(1 AS bigint) AS horizon, 'direct' AS forecast_mode, {r('actual')} AS "TRUE", {r('base')} AS Informer_pred,
     {r('x')} AS Persistence_pred, {r(ar_path(1))} AS AR1_pred, {r('level')} AS ETS_pred FROM archive JOIN levels ON levels.i = archive.i, ar""", stage=("p_series", "p_days",))
 def _(v):
-    raw = stand_in(v).drop("i", "x")
+    raw = stored(stand_in(v).drop("i", "x"))
     return comparison.run_comparison(v.p_series, raw, v.axis, "sr", 1, 5, ["Persistence", "AR(1)", "ETS"], provenance="direct_terminal_target", ets_alpha=0.3)
 
 
@@ -238,7 +244,7 @@ def flawed(v):
   SELECT 'duplicate_dates' AS rule, count(*) - count(DISTINCT date) AS violations FROM bad UNION ALL SELECT 'missing_dates', 0
   UNION ALL SELECT 'nonfinite_TRUE', 0 UNION ALL SELECT 'nonfinite_Informer_pred', count(*) - count(base) FROM bad""", stage=("p_series", "p_days",))
 def _(v):
-    good = stand_in(v).select("i", "date", "TRUE", "Informer_pred")
+    good = stored(stand_in(v).select("i", "date", "TRUE", "Informer_pred"))
     bad = good.withColumn("Informer_pred", F.when(F.col("i") % 71 != 0, F.col("Informer_pred"))).unionByName(good.where("i % 73 = 0"))
     return arch.series_report(bad, "date", "TRUE", ["Informer_pred"])
 
@@ -250,7 +256,7 @@ def _(v):
   UNION ALL SELECT 'actual_matches_data', count(*) FILTER (WHERE i % 67 = 0) FROM f UNION ALL SELECT 'unique_origin', count(*) - count(DISTINCT o) FROM f
   UNION ALL SELECT 'unique_target', 0 UNION ALL SELECT 'not_empty', 0""", stage=("p_series", "p_days",))
 def _(v):
-    return arch.audit_rules(flawed(v), v.p_series, v.axis, 1, "sr")
+    return arch.audit_rules(stored(flawed(v)), v.p_series, v.axis, 1, "sr")
 
 
 @query("merge_one_to_one", f"WITH {archive()} SELECT origin_date, date, lead, {r('base')} AS Informer_pred, {r('x')} AS Persistence_pred FROM archive", stage=("p_series",))

@@ -43,11 +43,12 @@ def actuals_within_tolerance(archive: DataFrame, data: DataFrame, target: str, r
 
 def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, target: str) -> DataFrame:
     """One row per rule with the number of rows that break it; everything zero means the archive is sound."""
-    archive = resolve_aliases(raw, target if target in raw.columns else None)
-    for columns, what in ((["forecast_mode"], "archive"),):
-        require_columns(raw, columns, what)
-    flags: dict[str, Column] = {}
+    require_columns(raw, ["forecast_mode"], "archive")
+    first_present(raw, LEAD_NAMES, "lead column")
     c = F.col
+    target_day = c(first_present(raw, DATE_NAMES, "target-date column")).cast("date")
+    origin_day = c(first_present(raw, ORIGIN_NAMES, "origin-date column")).cast("date")
+    flags: dict[str, Column] = {}
     flags["forecast_mode"] = ~F.coalesce(c("forecast_mode").isin(FORECAST_MODES), F.lit(False))
     for name in LEAD_NAMES:
         if name in raw.columns:
@@ -56,7 +57,7 @@ def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, tar
         if name in raw.columns:
             flags[name] = ~F.coalesce(c(name) == PROVENANCE, F.lit(False))
     given = [n for n in DATE_NAMES if n in raw.columns]
-    flags["date_alias_conflict"] = reduce(lambda a, b: a | b, [~c(n).cast("date").eqNullSafe(c(given[0]).cast("date")) for n in given])
+    flags["date_alias_conflict"] = reduce(lambda a, b: a | b, [~c(n).cast("date").eqNullSafe(target_day) for n in given])
     origins = [n for n in ORIGIN_NAMES if n in raw.columns]
     flags["origin_on_calendar"] = reduce(lambda a, b: a | b, [~F.coalesce(c(n).cast("date") == c("__expected_origin"), F.lit(False)) for n in origins])
     actual, predicted = (first_present(raw, names, "value") for names in (ACTUAL_NAMES + [target], PREDICTION_NAMES))
@@ -67,7 +68,6 @@ def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, tar
     flags["origin_in_data"] = c("__origin_value").isNull()
     flags["actual_matches_data"] = c("__data_value").isNotNull() & ~F.coalesce(close(c("__data_value"), number_or_null(raw, actual)), F.lit(False))
 
-    target_day = c(given[0]).cast("date")
     days = axis.select(c("date").alias("__d"), c("pos").alias("__target_pos"))
     back = axis.select(c("date").alias("__expected_origin"), (c("pos") + lead).alias("__target_pos"))
     values = data.select(c("date").cast("date").alias("__d"), c(target).alias("__data_value"))
@@ -75,13 +75,13 @@ def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, tar
     rows = (raw.withColumn("__d", target_day)
             .join(days, "__d", "left").join(back, "__target_pos", "left")
             .join(values, "__d", "left").join(at_origin, "__expected_origin", "left"))
-    counted = rows.agg(*[F.count_if(f).alias(n) for n, f in flags.items()])
-    per_row = counted.unpivot([], list(flags), "rule", "violations")
-    repeats = [archive.groupBy(k).agg((F.count(F.lit(1)) - 1).alias("extra")).agg(
-        F.lit(rule).alias("rule"), F.coalesce(F.sum("extra"), F.lit(0)).alias("violations"))
-        for rule, k in (("unique_origin", "origin_date"), ("unique_target", "date"))]
-    empty = archive.agg(F.lit("not_empty").alias("rule"), F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint").alias("violations"))
-    return reduce(lambda a, b: a.unionByName(b), [per_row, *repeats, empty])
+    repeats = {"unique_origin": "origin_date", "unique_target": "date"}
+    checked = rows.select(*[f.alias(n) for n, f in flags.items()], origin_day.alias("origin_date"), target_day.alias("date"))
+    counted = checked.agg(
+        *[F.count_if(n).alias(n) for n in flags],
+        *[(F.count(k) - F.count_distinct(k)).alias(rule) for rule, k in repeats.items()],
+        F.when(F.count(F.lit(1)) == 0, 1).otherwise(0).cast("bigint").alias("not_empty"))
+    return counted.unpivot([], counted.columns, "rule", "violations")
 
 
 def load_archive(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, target: str, provenance: str) -> DataFrame:

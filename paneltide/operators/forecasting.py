@@ -129,10 +129,17 @@ def _level_path(values: pd.Series, start: pd.Series, alpha: pd.Series) -> pd.Ser
     return pd.Series(out)
 
 
-def ets_levels(rows: DataFrame, weights: DataFrame, value: str, series: Sequence[str] = (),
+def ets_levels(rows: DataFrame, weights: DataFrame | float, value: str, series: Sequence[str] = (),
                block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Level after every observed row, ``(series, i, level)``; the first level is the first value."""
-    blocks = attach(_value_blocks(rows, value, series, block_rows), weights, series)
+    """Level after every observed row, ``(series, i, level)``; the first level is the first value.
+
+    ``weights`` is one smoothing weight for all, or a table with ``alpha`` per series.
+    """
+    blocks = _value_blocks(rows, value, series, block_rows)
+    if isinstance(weights, DataFrame):
+        blocks = attach(blocks, weights, series)
+    else:
+        blocks = blocks.withColumn("alpha", F.lit(float(weights)))
     parts = blocks.groupBy(*series).agg(
         F.array_sort(F.collect_list(F.struct("block", _summary("cells", "alpha").alias("b")))).alias("chain"))
     first = F.struct(F.col("chain")[0]["b"]["first"].alias("level"),
@@ -153,10 +160,7 @@ def ets_levels(rows: DataFrame, weights: DataFrame, value: str, series: Sequence
 def ets_forecast(samples: DataFrame, rows: DataFrame, value: str, series: Sequence[str] = (), alpha: float | None = None,
                  out: str = "ETS_pred", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Level at each origin. All rows up to the origin count, also those that are no sample origin themselves."""
-    if alpha is None:
-        weights = fit_ets(rows, value, series, block_rows=block_rows)
-    else:
-        weights = rows.groupBy(*series).agg(F.lit(float(alpha)).alias("alpha"))
+    weights = fit_ets(rows, value, series, block_rows=block_rows) if alpha is None else alpha
     levels = ets_levels(rows, weights, value, series, block_rows).withColumnRenamed("level", out)
     return samples.join(levels, [*series, "i"])
 

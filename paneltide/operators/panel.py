@@ -52,7 +52,9 @@ def select_entities(mapping: DataFrame, include: Sequence[str] | None = None) ->
 
 def common_entities(mapping: DataFrame, values: DataFrame, caps: DataFrame, strict: bool = False) -> DataFrame:
     """Mapped entities both panels carry."""
-    shared = mapping.join(values.select("bank"), "bank", "left_semi").join(caps.select("bank"), "bank", "left_semi")
+    shared = mapping
+    for panel in [values] if values is caps else [values, caps]:
+        shared = shared.join(panel.select("bank"), "bank", "left_semi")
     if strict and shared.isEmpty():
         raise ValueError("No mapped banks are shared by the value panel and market-cap panel")
     return shared
@@ -60,7 +62,8 @@ def common_entities(mapping: DataFrame, values: DataFrame, caps: DataFrame, stri
 
 def common_dates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct days both panels carry."""
-    return left.select("date").distinct().join(right.select("date"), "date", "left_semi")
+    days = left.select("date").distinct()
+    return days if left is right else days.join(right.select("date"), "date", "left_semi")
 
 
 def cap_weighted_average(values: DataFrame, caps: DataFrame, mapping: DataFrame, columns: Mapping[str, str],

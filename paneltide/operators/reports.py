@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.student_t import t_test_p
 from ..functions.text import lookup
 from ..schema import number_or_null
+from ..session import cut_lineage
 from ..timeline import row_index, running_total, shift_rows
 from .evaluation import average_over_iterations, test_rows
 from .scaling import standardize
@@ -140,10 +141,10 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float] =
 
     Equal values are counted before anything is ordered. A sketch cuts the distinct values into bins of similar size,
     running counts are formed bin by bin, and the two neighbours of every quantile are read off: exact, one pass over
-    the data, and no task sees more than a bin.
+    the data (the counts are written to the shared folder), and no task sees more than a bin.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    tallies = values.groupBy("v").agg(F.count(F.lit(1)).alias("rows"))
+    tallies = cut_lineage(values.groupBy("v").agg(F.count(F.lit(1)).alias("rows")), "tallies")
     sketch = F.percentile_approx("v", [k / EDGES for k in range(1, EDGES)], 10000)
     facts = tallies.agg(F.struct(F.array_distinct(sketch).alias("edges"), F.sum("rows").alias("total")).alias("f")).scalar()
     known = tallies.withColumn("f", facts).select("v", "rows", "f.edges", "f.total")
