@@ -163,7 +163,7 @@ def quantile_bin(df: DataFrame, column: str, out: str = "risk") -> DataFrame:
     """Quartile class 0 to 3: bounds belong to the lower class, the minimum included, the last class is open."""
     quartiles = exact_quantiles(df, column, (0, 0.25, 0.5, 0.75))
     edges = quartiles.agg(F.array_sort(F.collect_list("q")).alias("e")).scalar()
-    v = F.col(column)
+    v = number_or_null(df, column)
     return df.withColumn("__e", edges).withColumn(
         out, F.when(v.isNull() | (v < F.col("__e")[0]), None).otherwise(
             F.when(v <= F.col("__e")[1], 0).when(v <= F.col("__e")[2], 1).when(v <= F.col("__e")[3], 2).otherwise(3))).drop("__e")

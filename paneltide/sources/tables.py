@@ -51,7 +51,8 @@ def describe_files(spark: SparkSession, paths: str | Sequence[str], encodings: S
 
 def read_csv_auto(spark: SparkSession, paths: str | Sequence[str], schema=None, encoding: str | None = None) -> DataFrame:
     """CSV with a header. Files may differ in encoding and columns; columns are united by name, values stay text
-    unless a schema is given."""
+    unless a schema is given. Telling the encoding costs a pass over the files, so name it where it is known: then the
+    files are read once and must share their columns."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     base = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
     if schema is not None:
@@ -91,11 +92,14 @@ def union_tables(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def merge_prediction_files(spark: SparkSession, pattern: str, out: str | None = None) -> DataFrame:
-    """All prediction files a pattern matches, as one table; no match is an error."""
+def merge_prediction_files(spark: SparkSession, pattern: str, out: str | None = None, encoding: str | None = None) -> DataFrame:
+    """All prediction files a pattern matches, as one table; no match is an error.
+
+    Files of one known encoding and layout need no look at their contents first: name the ``encoding``.
+    """
     from pyspark.errors import AnalysisException
     try:
-        merged = read_csv_auto(spark, pattern)
+        merged = read_csv_auto(spark, pattern, encoding=encoding)
     except AnalysisException as error:
         raise FileNotFoundError(f"No prediction CSV matched pattern: {pattern}") from error
     if out:

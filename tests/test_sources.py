@@ -116,6 +116,7 @@ def test_stage_run(spark, files, tmp_path):
     files("p/a.csv", "pub_date,bank_code,predict,read_num,comments_num\n2024-01-01,1,正面,1万,2\n2024-01-01,1,-1,3,\n")
     assert daily_sentiment.run(spark, f"{tmp_path}/p/*.csv", "", "audit").count() == 1
     row = daily_sentiment.run(spark, f"{tmp_path}/p/*.csv", str(tmp_path / "out")).first()
+    assert daily_sentiment.run(spark, f"{tmp_path}/p/*.csv", str(tmp_path / "known"), encoding="UTF-8").first() == row
     assert (row.Positive_read_num, row.Negative_read_num, row.Positive_comments_num, row.comments_num) == (10000, 3, 2, 2)
 
 
