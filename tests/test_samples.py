@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -138,3 +139,12 @@ def test_calendar_window_frames_match_numpy(data, axis):
     kept = [i for i in range(60) if i != 30]
     want = {SESSIONS[i]: k >= 3 and np.array_equal(kept[k - 3:k + 1], range(i - 3, i + 1)) for k, i in enumerate(kept)}
     assert flags == want
+
+
+def test_every_window_over_rows_is_cut_into_blocks(data, axis):
+    plan = prepare(data, axis)._jdf.queryExecution().optimizedPlan().toString()
+    specs = re.findall(r"\(([^()]*)\) windowspecdefinition\(([^)]*)", plan)
+    # Without blocks: the calendar, which has one row per day, and the total of the table with one row per block.
+    whole = [(of, spec) for of, spec in specs if "__block" not in spec]
+    assert len(specs) > len(whole) and all(re.match(r"date#\d+ ASC", spec) or of.startswith("__rows") for of, spec in whole)
+    assert "Cartesian" not in plan and "Cross" not in plan
