@@ -4,6 +4,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from checks import catalog
 from checks.compare import compare, oracle_rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables
 
 
 def test_every_query_has_a_statement_or_a_reason():
-    queries, oracles = entry.queries(), entry.oracle_sql()
+    queries, oracles = catalog.QUERIES, catalog.ORACLES
     assert set(oracles) <= set(queries)
     assert set(queries) - set(oracles) == {"audit_inputs", "forecast_ets_fitted", "forecast_gbr", "compare_text_classifiers"}
 
