@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import rules
+from . import convnet, rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def _(spark, sf_dir):
     entries = rules.apply_policy(rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), "base", "base_passed"))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failure_bits",
                           (~F.col("base_passed")).alias("base_failed"), "kept")
+
+
+@register("op2_quality_classifier")
+def _(spark, sf_dir):
+    return convnet.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
