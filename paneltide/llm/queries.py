@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, convnet, idfiles, kneser_ney, rules, simhash
+from . import bpe, convnet, idfiles, kneser_ney, licenses, mixing, personal, rules, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,28 @@ def _(spark, sf_dir):
     import public_tokenizers
 
     return idfiles.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op4_license_scan")
+def _(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op8_personal_data")
+def _(spark, sf_dir):
+    return personal.summary(table(spark, sf_dir, "documents"))
+
+
+@register("op10_source_mixing", """WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>!]', '', 'g')) AS symbols, (('0x' || substr(md5('mix' || coalesce(cast(doc_id AS string), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / (1::BIGINT << 52)::DOUBLE AS draw FROM documents),
+  k AS (SELECT *, -ln(draw) / greatest(0.1::DOUBLE, 1 - symbols::DOUBLE / greatest(size, 1)) AS key FROM d),
+  s AS (SELECT src, cast(sum(size) AS bigint) AS source_size FROM k GROUP BY src),
+  w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][cast((row_number() OVER (ORDER BY src = '', src) - 1) % 3 + 1 AS int)] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+  l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM w),
+  t AS (SELECT src, source_size, least(cap, coalesce((SELECT max(level) FROM l WHERE level <= cap / w), 0) * w) AS target FROM l),
+  e AS (SELECT *, CASE WHEN source_size > 0 THEN cast(floor(target / source_size) AS int) ELSE 0 END AS epochs FROM t),
+  r AS (SELECT k.*, source_size, target, epochs, target - epochs * source_size AS rest, sum(size) OVER (PARTITION BY src ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM k JOIN e USING (src))
+  SELECT doc_id, cast(size AS bigint) AS size, source_size, target, cast((epochs + CASE WHEN before + size / 2 <= rest THEN 1 ELSE 0 END) * size AS bigint) AS taken FROM r""")
+def _(spark, sf_dir):
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
