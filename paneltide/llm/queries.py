@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, convnet, idfiles, kneser_ney, licenses, mixing, personal, rules, simhash
+from . import bpe, convnet, idfiles, kneser_ney, licenses, mixing, multi_index, personal, rules, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,8 @@ def _(spark, sf_dir):
   SELECT doc_id, cast(size AS bigint) AS size, source_size, target, cast((epochs + CASE WHEN before + size / 2 <= rest THEN 1 ELSE 0 END) * size AS bigint) AS taken FROM r""")
 def _(spark, sf_dir):
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+@register("op5_nearest_vectors")
+def _(spark, sf_dir):
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
