@@ -19,11 +19,11 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from paneltide.session import cut_lineage
 
-from .common import map_batches, texts
+from .common import map_batches
 from .components import connected
 
 RADIUS = 2
@@ -55,14 +55,6 @@ def fingerprint(text: str, words_each: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def work(batches):
-        for batch in batches:
-            yield {"doc_id": batch.column("doc_id"), "fp": [fingerprint(t) for t in batch.column("text").to_pylist()]}
-
-    return map_batches(texts(docs, id_col, text_col), work, "doc_id long, fp long")
-
-
 class BKTree:
     """Fingerprints by Hamming distance; ``add`` first reports what is within the radius."""
 
@@ -140,13 +132,27 @@ def _then_none(batches):
     yield None
 
 
+def grouped(docs: DataFrame, least: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Fingerprints per row (doc_id, fp) and per distinct fingerprint: fp, ``least`` (the minimum of the given expression over
+    its rows), ``root`` (a fingerprint of its component)."""
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), least.alias("least"))
+    kind = packed.schema["least"].dataType.simpleString()
+
+    def work(batches):
+        for batch in batches:
+            yield {"doc_id": batch.column("doc_id"), "fp": [fingerprint(t) for t in batch.column("text").to_pylist()], "least": batch.column("least")}
+
+    marked = cut_lineage(map_batches(packed, work, f"doc_id long, fp long, least {kind}"), "fingerprints")
+    groups = cut_lineage(marked.groupBy("fp").agg(F.min("least").alias("least")), "distinct-fingerprints")
+    roots = cut_lineage(connected(near_links(groups)).withColumnRenamed("node", "fp"), "components")
+    return marked, groups.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the smallest key reachable over links, itself included."""
-    marked = cut_lineage(fingerprints(docs, id_col, text_col), "fingerprints")
-    groups = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = cut_lineage(connected(near_links(groups)).withColumnRenamed("node", "fp"), "components")
-    linked = groups.join(roots, "fp")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = linked.join(smallest, "root").select("fp", "component_id", F.lit(True).alias("linked"))
-    of_all = groups.join(of_linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
-    return marked.join(of_all, "fp").select("doc_id", "fp", "component_id")
+    marked, groups = grouped(docs, F.col(id_col).cast("long"), id_col, text_col)
+    groups = cut_lineage(groups, "rooted")
+    smallest = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = groups.join(smallest, "root").select("fp", "component_id")
+    # written before the last join, which is then a plain join whose skewed side (a group of copies) Spark can split
+    return marked.select("doc_id", "fp").join(cut_lineage(of_fp, "of-fingerprints"), "fp").select("doc_id", "fp", "component_id")
