@@ -129,7 +129,7 @@ def test_counts_equal_brute_force(spark, docs, prose):
 def test_shared_backoff_leaves_rare_words_neutral():
     counts = np.zeros((2, (1 << kneser_ney.BITS) + 1))
     counts[:, :2000], counts[:, -1] = 40, [1000, 1000]
-    counts[1, 5], counts[0, 5], counts[0, 9] = 300, 0, 1
+    counts[:, 5], counts[:, 9] = [0, 300], [0, 1]
     ratio = kneser_ney.Model(counts).ratio
     assert ratio[5] > 0.3 and ratio[9] == 0 and ratio[100] == 0
 
