@@ -339,8 +339,8 @@ def _(v):
     return ev.dm_tests(wide(v, 10, 5), "TRUE", "Informer_pred", PREDS[1:])
 
 
-@query("dm_table", f"""WITH {dm_sql()} SELECT criterion, {r("max(statistic) FILTER (WHERE model = 'Persistence')")} AS Persistence,
-  {r("max(statistic) FILTER (WHERE model = 'AR1')")} AS "AR1" FROM dm GROUP BY criterion""", stage=("p_series",))
+@query("dm_table", f"""WITH {dm_sql()}, t AS (SELECT *, {t_test_p('statistic', 'n - 1')} AS p FROM dm),
+  c AS (SELECT criterion, model, printf('%.3f', statistic) || CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.10 THEN '*' ELSE '' END AS cell FROM t)
+  SELECT criterion, max(cell) FILTER (WHERE model = 'Persistence') AS Persistence, max(cell) FILTER (WHERE model = 'AR1') AS "AR1" FROM c GROUP BY criterion""", stage=("p_series",))
 def _(v):
-    tests = ev.dm_statistics(wide(v), "TRUE", "Informer_pred", PREDS[1:])
-    return tests.groupBy("criterion").pivot("model", ["Persistence", "AR1"]).agg(F.first("statistic"))
+    return ev.dm_table(ev.dm_tests(wide(v), "TRUE", "Informer_pred", PREDS[1:]), ["Persistence", "AR1"])

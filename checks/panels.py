@@ -78,9 +78,13 @@ def _(v):
     return panel.merge_sentiment(v.p_panel.select("date", "bank", "covar"), posts_ops.entity_sentiment(shifted_stats(v), v.p_map), ["date", "bank"])
 
 
-@query("common_entities", "SELECT bank_code, bank, ord FROM p_map WHERE bank IN (SELECT bank FROM p_panel WHERE covar < -0.05) AND bank IN (SELECT bank FROM p_panel WHERE pb > 49)")
+@query("common_entities", """WITH names AS (SELECT c_custkey AS bank_code, c_name AS bank, cast(c_nationkey AS bigint) AS ord FROM customer)
+  SELECT bank_code, bank, ord FROM names WHERE bank IN (SELECT concat('Customer#', lpad(cast(o_custkey AS string), 9, '0')) FROM orders)
+    AND bank IN (SELECT concat('Customer#', lpad(cast(l_suppkey AS string), 9, '0')) FROM lineitem)""")
 def _(v):
-    return panel.common_entities(v.p_map, v.p_panel.where("covar < -0.05"), v.p_panel.where("pb > 49"), strict=True).select("bank_code", "bank", "ord")
+    named = lambda t, key: t.select(F.concat(F.lit("Customer#"), F.lpad(F.col(key).cast("string"), 9, "0")).alias("bank"))
+    mapping = v.customer.select(F.col("c_custkey").alias("bank_code"), F.col("c_name").alias("bank"), F.col("c_nationkey").cast("bigint").alias("ord"))
+    return panel.common_entities(mapping, named(v.orders, "o_custkey"), named(v.lineitem, "l_suppkey"), strict=True)
 
 
 @query("date_intersection", "SELECT DISTINCT date FROM p_panel WHERE date IN (SELECT date FROM p_macro)")

@@ -30,7 +30,7 @@ def _(v):
   WHEN contains(response, '中性') THEN 0 ELSE {LABEL.format('response')} END AS bigint) AS strict,
   cast(CASE WHEN contains(response, '负面') THEN -1 WHEN contains(response, '正面') THEN 1 ELSE 0 END AS bigint) AS lenient FROM p_responses""")
 def _(v):
-    return v.p_responses.select("doc_id", text.parse_response("response").alias("strict"), text.parse_response("response", default=0).alias("lenient"))
+    return v.p_responses.select("doc_id", text.parse_response("response", on_bad="null").alias("strict"), text.parse_response("response", default=0).alias("lenient"))
 
 
 @query("parse_count", f"SELECT post_id, {COUNT.format('read_num')} AS reads, {COUNT.format('comments_num')} AS comments FROM p_posts")
@@ -259,12 +259,11 @@ def _(v):
     return evaluation.weighted_prf(v.p_class, "y", "pred")
 
 
-@query("macro_prf_by_step", f"""WITH src AS (SELECT cast(vec_id % 5 + 1 AS bigint) AS Day, label % 3 AS y,
-    CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS pred
-    FROM (SELECT vec_id, label, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings)), {prf_classes('src', 'Day')}
+@query("macro_prf_by_step", f"""WITH src AS (SELECT cast(vec_id % 5 + 1 AS bigint) AS Day, label % len(embedding) AS y,
+    list_position(embedding, list_max(embedding)) - 1 AS pred FROM embeddings), {prf_classes('src', 'Day')}
   SELECT Day, {r('sum(hits) / sum(support)')} AS Accuracy, {r('avg(precision)')} AS "Precision", {r('avg(recall)')} AS Recall, {r('avg(f1)')} AS F1_Score FROM cls GROUP BY Day""")
 def _(v):
-    scored = v.embeddings.select((F.col("vec_id") % 5).alias("step"), (F.col("label") % 3).alias("y"), F.slice("embedding", 1, 3).alias("scores"))
+    scored = v.embeddings.select((F.col("vec_id") % 5).alias("step"), (F.col("label") % F.size("embedding")).alias("y"), F.col("embedding").alias("scores"))
     return evaluation.macro_prf_by_step(scored, "y", "scores", "step")
 
 
@@ -288,8 +287,7 @@ def _(v):
 @query("scores_to_rows", f"""SELECT conv_id, turn, role, CASE WHEN b < 0 THEN '负面' WHEN b > 0 THEN '正面' ELSE '中性' END AS Output
   FROM (SELECT conv_id, turn, role, {BALANCE.format('text')} AS b FROM conversations)""")
 def _(v):
-    scores = classify.score_text(v.conversations.select("conv_id", "turn", "text"), "text", WordRule).drop("text")
-    return v.conversations.select("conv_id", "turn", "role").join(scores, ["conv_id", "turn"])
+    return classify.score_text(v.conversations.select("conv_id", "turn", "role", "text"), "text", WordRule).drop("text")
 
 
 @query("compare_text_classifiers")

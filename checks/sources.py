@@ -19,38 +19,39 @@ from .sql_parts import samples
 BANKS = [f"B{b:02d}" for b in range(14)]
 
 
-@query("read_csv_auto", "SELECT post_id, predict, pub_date FROM (SELECT cast(post_id AS string) AS post_id, trim(predict) AS predict, "
-       "CASE WHEN post_id % 2 = 0 THEN pub_date END AS pub_date FROM p_posts)")
+@query("read_csv_auto", """SELECT cast(doc_id AS string) AS doc_id, text, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM documents""")
 def _(v):
     folder = scratch_path(v.spark, "mixed")
-    posts = v.p_posts.withColumn("predict", F.trim("predict"))
+    docs = v.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source")
+    tables.write_csv(docs.where("doc_id % 2 = 0"), f"{folder}/utf")
     v.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    posts.where("post_id % 2 = 0").select("post_id", "predict", "pub_date").write.option("header", True).csv(f"{folder}/utf")
-    posts.where("post_id % 2 = 1").select("predict", "post_id").write.option("header", True).option("encoding", "GB18030").csv(f"{folder}/gb")
-    return tables.read_csv_auto(v.spark, [f"{folder}/utf", f"{folder}/gb"]).select("post_id", "predict", "pub_date")
+    docs.where("doc_id % 2 = 1").select("text", "doc_id").write.option("header", True).option("escape", '"').option("encoding", "GB18030").csv(f"{folder}/gb")
+    return tables.read_csv_auto(v.spark, [f"{folder}/utf", f"{folder}/gb"]).select("doc_id", "text", "source")
 
 
-@query("write_csv", "SELECT post_id, bank_code, read_num FROM p_posts")
+@query("write_csv", "SELECT doc_id, text, lang FROM documents")
 def _(v):
-    path = tables.write_csv(v.p_posts.select("post_id", "bank_code", "read_num"), scratch_path(v.spark, "sink"))
-    back = tables.read_csv_auto(v.spark, path, encoding="UTF-8")
-    return back.select(F.col("post_id").cast("bigint"), F.col("bank_code").cast("bigint"), "read_num")
+    path = tables.write_csv(v.documents.select("doc_id", "text", "lang"), scratch_path(v.spark, "sink"))
+    return tables.read_csv_auto(v.spark, path, encoding="UTF-8").select(F.col("doc_id").cast("bigint"), "text", "lang")
 
 
-@query("merge_prediction_files", """
-  SELECT cast(post_id AS string) AS post_id, predict, read_num, CASE WHEN bank_code < 7 THEN NULL ELSE comments_num END AS comments_num
-  FROM (SELECT post_id, trim(predict) AS predict, read_num, comments_num, bank_code FROM p_posts)""")
+@query("merge_prediction_files", """SELECT cast(doc_id AS string) AS doc_id, text, CASE WHEN lang = 'en' THEN NULL ELSE source END AS source FROM documents""")
 def _(v):
     folder = scratch_path(v.spark, "parts")
-    posts = v.p_posts.withColumn("predict", F.trim("predict"))
-    tables.write_csv(posts.where("bank_code < 7").select("post_id", "predict", "read_num"), f"{folder}/a")
-    tables.write_csv(posts.where("bank_code >= 7").select("comments_num", "post_id", "read_num", "predict"), f"{folder}/b")
-    return tables.merge_prediction_files(v.spark, f"{folder}/*/*.csv").select("post_id", "predict", "read_num", "comments_num")
+    docs = v.documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source", "lang")
+    tables.write_csv(docs.where("lang = 'en'").select("doc_id", "text"), f"{folder}/a")
+    tables.write_csv(docs.where("lang <> 'en' OR lang IS NULL").select("source", "doc_id", "text"), f"{folder}/b")
+    return tables.merge_prediction_files(v.spark, f"{folder}/*/*.csv").select("doc_id", "text", "source")
 
 
-@query("audit_inputs")
+@query("audit_inputs", """SELECT 'panel' AS name, TRUE AS "exists", TRUE AS sized, count(*) AS records FROM documents
+  UNION ALL SELECT 'posts', TRUE, TRUE, count(*) FROM p_posts UNION ALL SELECT 'absent', FALSE, FALSE, NULL""")
 def _(v):
-    return tables.audit_inputs(v.spark, f"{v.dir}/*.parquet")
+    folder = scratch_path(v.spark, "audit")
+    tables.write_csv(v.documents.select("doc_id", "text"), f"{folder}/panel")
+    tables.write_csv(v.p_posts.select("post_id", "predict"), f"{folder}/posts")
+    found = tables.audit_inputs(v.spark, {"panel": f"{folder}/panel/*.csv", "posts": f"{folder}/posts/*.csv", "absent": f"{folder}/none/*.csv"})
+    return found.select("name", "exists", F.coalesce(F.col("size_bytes") > 0, F.lit(False)).alias("sized"), "records")
 
 
 @query("panel_long", f"""
@@ -58,9 +59,19 @@ def _(v):
   FROM (SELECT DISTINCT date FROM p_panel) d, (SELECT unnest({BANKS!r}) AS bank) b, (SELECT unnest(['cap', 'pe']) AS indicator) i
   LEFT JOIN p_panel p ON p.date = d.date AND p.bank = b.bank""", digits=2)
 def _(v):
+    folder = scratch_path(v.spark, "prices")
     wide = v.p_panel.groupBy("date").pivot("bank", BANKS).agg(F.first("cap").alias("cap"), F.first("pe").alias("pe"))
-    labels = {f"{b}_{i}": (b, i) for b in BANKS for i in ("cap", "pe")}
-    return panels.stack_panel(wide, labels)
+    cells = [(b, i) for b in BANKS for i in ("cap", "pe")]
+    rows = wide.select(F.col("date").cast("string").alias("c0"), *[F.col(f"{b}_{i}").cast("string").alias(f"c{n}") for n, (b, i) in enumerate(cells, 1)])
+    heads = [["date"] + ["板块, \"银行\"\n一"] * len(cells), ["date"] + [b for b, _ in cells], ["date"] + ["总市值(元)" if i == "cap" else "市盈率" for _, i in cells]]
+    rows = rows.withColumn("line", F.lit(len(heads)))
+    top = v.spark.createDataFrame([(*h, n) for n, h in enumerate(heads)], rows.schema)
+    v.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    for name, part in (("a", "month(c0) <= 6"), ("b", "month(c0) > 6")):
+        one = top.unionByName(rows.where(part)).repartition(1).sortWithinPartitions("line", "c0").drop("line")
+        one.write.option("encoding", "GB18030").option("escape", '"').csv(f"{folder}/{name}")
+    panel = panels.read_price_panel(v.spark, f"{folder}/*/*.csv")
+    return panel.withColumn("indicator", F.when(F.col("indicator") == "总市值(元)", "cap").otherwise("pe"))
 
 
 @query("unpivot_panel", f"""
@@ -70,11 +81,16 @@ def _(v):
     return panels.unpivot_panel(v.p_panel_wide, "date", v.p_map)
 
 
-@query("read_mapping", "SELECT bank_code, bank, row_number() OVER (ORDER BY bank_code) - 1 AS ord FROM p_map")
+@query("read_mapping", """SELECT c_custkey AS bank_code, concat('银行', cast(c_custkey AS string)) AS bank,
+  row_number() OVER (ORDER BY c_custkey % 2, c_custkey) - 1 AS ord FROM customer""")
 def _(v):
-    path = scratch_path(v.spark, "mapping")
-    v.p_map.select("bank_code", "bank").coalesce(1).sortWithinPartitions("bank_code").write.option("header", True).csv(path)
-    return panels.read_mapping(v.spark, path)
+    folder = scratch_path(v.spark, "mapping")
+    named = v.customer.select(F.col("c_custkey").alias("bank_code"), F.concat(F.lit("银行"), F.col("c_custkey").cast("string")).alias("bank"))
+    v.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    for half in (0, 1):
+        part = named.where(F.col("bank_code") % 2 == half).repartition(1).sortWithinPartitions("bank_code")
+        part.write.option("header", True).option("encoding", "GB18030").csv(f"{folder}/{half}")
+    return panels.read_mapping(v.spark, f"{folder}/*/*.csv")
 
 
 SPLIT_SQL = """ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat('42-', cast(doc_id AS string))), doc_id) AS rk,

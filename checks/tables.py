@@ -58,25 +58,26 @@ def _(v):
     return rp.error_reduction(v.p_metrics)
 
 
-@query("extreme_metrics", f"""SELECT bank, spec, {", ".join(f"{r(f'CASE spec WHEN {chr(39)}without{chr(39)} THEN {a}({m}) ELSE {b}({m}) END')} AS {m}" for m, a, b in
-  (('MSE', 'max', 'min'), ('MAE', 'max', 'min'), ('RMSE', 'max', 'min'), ('R2', 'min', 'max')))} FROM p_metrics WHERE split = 'test' GROUP BY bank, spec""")
+@query("extreme_metrics", f"""WITH m AS (SELECT *, MAE * iteration AS MAPE, MSE / iteration AS MSPE FROM p_metrics)
+  SELECT bank, spec, {", ".join(f"{r(f'CASE spec WHEN {chr(39)}without{chr(39)} THEN {a}({m}) ELSE {b}({m}) END')} AS {m}" for m, a, b in
+  (('MSE', 'max', 'min'), ('MAE', 'max', 'min'), ('RMSE', 'max', 'min'), ('R2', 'min', 'max'), ('MAPE', 'max', 'min'), ('MSPE', 'max', 'min')))} FROM m WHERE split = 'test' GROUP BY bank, spec""")
 def _(v):
-    return rp.extreme_metrics(v.p_metrics)
+    return rp.extreme_metrics(v.p_metrics.withColumns({"MAPE": F.col("MAE") * F.col("iteration"), "MSPE": F.col("MSE") / F.col("iteration")}))
 
 
-BY_RUN = """runs AS (SELECT bank, concat('run', cast(iteration AS string)) AS model, MSE, MAE FROM p_metrics WHERE spec = 'with'),
-  ml AS (SELECT bank, model, 'MSE' AS metric, MSE AS v FROM runs UNION ALL SELECT bank, model, 'MAE', MAE FROM runs)"""
+BY_RUN = """runs AS (SELECT bank, spec, concat('run', cast(iteration AS string)) AS model, MSE, MAE FROM p_metrics),
+  ml AS (SELECT bank, spec, model, 'MSE' AS metric, MSE AS v FROM runs UNION ALL SELECT bank, spec, model, 'MAE', MAE FROM runs)"""
 
 
 def by_run(v):
-    return v.p_metrics.where("spec = 'with'").select("bank", F.concat(F.lit("run"), F.col("iteration").cast("string")).alias("model"), "MSE", "MAE")
+    return v.p_metrics.select("bank", "spec", F.concat(F.lit("run"), F.col("iteration").cast("string")).alias("model"), "MSE", "MAE")
 
 
-@query("best_comparator_improvement", f"""WITH {BY_RUN}, a AS (SELECT bank, metric, max(v) FILTER (WHERE model = 'run1') AS baseline, min(v) FILTER (WHERE model <> 'run1') AS best,
+@query("best_comparator_improvement", f"""WITH {BY_RUN}, a AS (SELECT bank, spec, metric, max(v) FILTER (WHERE model = 'run1') AS baseline, min(v) FILTER (WHERE model <> 'run1') AS best,
     min_by(model, v) FILTER (WHERE model <> 'run1') AS best_model FROM ml GROUP BY ALL)
-  SELECT bank, metric, {r('baseline')} AS baseline, {r('best')} AS best, best_model, {r('(best - baseline) / best * 100')} AS improvement FROM a""")
+  SELECT bank, spec, metric, {r('baseline')} AS baseline, {r('best')} AS best, best_model, {r('(best - baseline) / best * 100')} AS improvement FROM a""")
 def _(v):
-    return rp.best_comparator_improvement(by_run(v), "run1", [f"run{k}" for k in range(2, 8)], ["bank"])
+    return rp.best_comparator_improvement(by_run(v), "run1", [f"run{k}" for k in range(2, 8)], ["bank", "spec"])
 
 
 @query("quantile_cuts", f"SELECT p, {r('quantile_cont(sr, p)')} AS q FROM (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS p), (SELECT sr FROM p_series) GROUP BY p"
@@ -100,12 +101,12 @@ def _(v):
     return standardize(v.p_series_sent.select("date", "sr", "skew"), ["sr", "skew"])
 
 
-@query("monthly_resample", f"""WITH {Z}, q AS (SELECT * FROM z WHERE month(date) <> 5), m AS (SELECT last_day(date) AS month, avg(sr) AS sr, avg(skew) AS skew FROM q GROUP BY 1),
+@query("monthly_resample", f"""WITH {Z}, q AS (SELECT * FROM z), m AS (SELECT last_day(date) AS month, avg(sr) AS sr, avg(skew) AS skew FROM q GROUP BY 1),
   span AS (SELECT last_day(cast(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)), INTERVAL 1 MONTH)) AS date)) AS month FROM q)
   SELECT span.month, {r('m.sr')} AS sr, {r('m.skew')} AS skew FROM span LEFT JOIN m ON m.month = span.month""", stage=("p_series_sent",))
 def _(v):
     z = standardize(v.p_series_sent.select("date", "sr", "skew"), ["sr", "skew"])
-    return rp.monthly_means(z.where(F.month("date") != 5), ["sr", "skew"])
+    return rp.monthly_means(z, ["sr", "skew"])
 
 
 @query("fixed_order_reindex", f"""SELECT s_suppkey AS ord, concat('B', lpad(cast(s_suppkey AS string), 2, '0')) AS bank, {r('m.MAE')} AS MAE FROM supplier
@@ -120,11 +121,11 @@ def _(v):
     return rp.first_seen_order(v.events, "event_type", "event_id")
 
 
-@query("best_model", f"WITH {BY_RUN} SELECT bank, metric, min_by(model, v) AS model, {r('min(v)')} AS v FROM ml GROUP BY ALL")
+@query("best_model", f"WITH {BY_RUN} SELECT bank, spec, metric, min_by(model, v) AS model, {r('min(v)')} AS v FROM ml GROUP BY ALL")
 def _(v):
     runs = by_run(v)
     cells = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("MSE", "MAE")]))
-    return rp.best_model(runs.select("bank", "model", cells), ["bank", "metric"], "model", "v")
+    return rp.best_model(runs.select("bank", "spec", "model", cells), ["bank", "spec", "metric"], "model", "v")
 
 
 @query("report_tables", f"""WITH {predictions()}, m AS (SELECT model, {METRICS} FROM long GROUP BY model), {dm_sql().removeprefix(predictions() + ",")}

@@ -78,18 +78,17 @@ VIEWS = {
         SELECT s.date, s.sr, s.feature, s.feature2, g.skew, g.posts FROM {p_series} s JOIN {p_signal} g ON s.date = g.date""",
     "p_metrics": """
         SELECT concat('B', lpad(cast(l_suppkey % 14 AS string), 2, '0')) AS bank,
-          CASE l_returnflag WHEN 'A' THEN 'without' ELSE 'with' END AS spec, cast(l_linenumber AS bigint) AS iteration,
+          CASE WHEN l_returnflag = 'A' OR l_returnflag = 'N' AND l_linestatus = 'F' THEN 'without' ELSE 'with' END AS spec, cast(l_linenumber AS bigint) AS iteration,
           var_pop(l_discount) AS MSE, avg(l_tax) AS MAE, sqrt(var_pop(l_discount)) AS RMSE,
           1 - avg(l_quantity) / 50 AS R2, CASE WHEN l_linenumber > 2 THEN 'test' ELSE 'train' END AS split
-        FROM {lineitem} WHERE l_returnflag IN ('A', 'R')
-        GROUP BY l_suppkey % 14, l_returnflag, l_linenumber""",
+        FROM {lineitem}
+        GROUP BY l_suppkey % 14, CASE WHEN l_returnflag = 'A' OR l_returnflag = 'N' AND l_linestatus = 'F' THEN 'without' ELSE 'with' END, l_linenumber""",
     "p_class": """
         SELECT d.doc_id, l.toxic - l.quality AS y, cast(d.n_chars % 3 - 1 AS int) AS pred, d.lang, d.source, d.text
         FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
     "p_responses": """
         SELECT doc_id, lang, concat(CASE WHEN doc_id % 5 = 0 THEN '回答：负面，不是正面。' WHEN doc_id % 5 = 1 THEN '正面 '
-            WHEN doc_id % 5 = 2 THEN '中性 ' ELSE '' END,
-          CASE WHEN doc_id % 5 = 3 THEN 'negative' WHEN doc_id % 5 = 4 THEN '+1' ELSE text END) AS response
+            WHEN doc_id % 5 = 2 THEN '中性 ' WHEN doc_id % 5 = 3 THEN 'negative ' ELSE '' END, text) AS response
         FROM {documents}""",
     "p_turns": """
         SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN concat('user\n\nq', 'assistant\n\n ', text, ' assistant\n\n', 'end ')

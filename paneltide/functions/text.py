@@ -69,7 +69,7 @@ def normalize_label(column: Column | str, on_bad: str = "raise") -> Column:
     label = F.coalesce(word, whole)
     if on_bad == "null":
         return label
-    return required(label, F.concat(F.lit("Unsupported sentiment label: "), F.coalesce(text, F.lit("NULL"))))
+    return required(label, F.concat(F.lit("not a label: "), F.coalesce(text, F.lit("NULL"))))
 
 
 def parse_response(column: Column | str, default: int | None = None, on_bad: str = "raise") -> Column:

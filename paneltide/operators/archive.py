@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schema import fail_if, first_present, number_or_null, require_columns
+from ..schema import fail_if, number_or_null, require_columns, resolve_names
 
 # Accepted names of each archive column, in order of preference, and accepted provenance marks.
 DATE_NAMES = ["date", "target_date"]
@@ -17,18 +17,19 @@ ACTUAL_NAMES = ["actual_SR", "true", "TRUE", "actual"]
 PREDICTION_NAMES = ["predicted_SR", "pred", "Informer_pred", "baseline_pred"]
 FORECAST_MODES = ["direct", "direct_terminal_target"]
 PROVENANCE = "direct_terminal_target"
+# Canonical column -> its type.
+CANONICAL = {"origin_date": "date", "date": "date", "lead": "int", "TRUE": "double", "Informer_pred": "double"}
+
+
+def accepted_names(target: str | None = None) -> dict[str, list[str]]:
+    """Canonical column -> accepted names; the actual value may also carry the target's own name."""
+    return {"origin_date": ORIGIN_NAMES, "date": DATE_NAMES, "lead": LEAD_NAMES, "TRUE": ACTUAL_NAMES + ([target] if target else []), "Informer_pred": PREDICTION_NAMES}
 
 
 def resolve_aliases(raw: DataFrame, target: str | None = None) -> DataFrame:
     """Archive columns under their canonical names ``origin_date, date, lead, TRUE, Informer_pred``."""
-    actual = ACTUAL_NAMES + ([target] if target else [])
-    return raw.select(
-        F.col(first_present(raw, ORIGIN_NAMES, "origin-date column")).cast("date").alias("origin_date"),
-        F.col(first_present(raw, DATE_NAMES, "target-date column")).cast("date").alias("date"),
-        F.col(first_present(raw, LEAD_NAMES, "lead column")).cast("int").alias("lead"),
-        F.col(first_present(raw, actual, "actual column")).cast("double").alias("TRUE"),
-        F.col(first_present(raw, PREDICTION_NAMES, "prediction column")).cast("double").alias("Informer_pred"),
-    )
+    names = resolve_names(raw, accepted_names(target), "archive")
+    return raw.select(*[F.col(names[n]).cast(kind).alias(n) for n, kind in CANONICAL.items()])
 
 
 def close(a: Column, b: Column, rtol: float = 1e-6, atol: float = 1e-8) -> Column:
@@ -44,10 +45,8 @@ def actuals_within_tolerance(archive: DataFrame, data: DataFrame, target: str, r
 def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, target: str) -> DataFrame:
     """One row per rule with the number of rows that break it; everything zero means the archive is sound."""
     require_columns(raw, ["forecast_mode"], "archive")
-    first_present(raw, LEAD_NAMES, "lead column")
-    c = F.col
-    target_day = c(first_present(raw, DATE_NAMES, "target-date column")).cast("date")
-    origin_day = c(first_present(raw, ORIGIN_NAMES, "origin-date column")).cast("date")
+    names, c = resolve_names(raw, accepted_names(target), "archive"), F.col
+    target_day, origin_day = c(names["date"]).cast("date"), c(names["origin_date"]).cast("date")
     flags: dict[str, Column] = {}
     flags["forecast_mode"] = ~F.coalesce(c("forecast_mode").isin(FORECAST_MODES), F.lit(False))
     for name in LEAD_NAMES:
@@ -60,7 +59,7 @@ def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, tar
     flags["date_alias_conflict"] = reduce(lambda a, b: a | b, [~c(n).cast("date").eqNullSafe(target_day) for n in given])
     origins = [n for n in ORIGIN_NAMES if n in raw.columns]
     flags["origin_on_calendar"] = reduce(lambda a, b: a | b, [~F.coalesce(c(n).cast("date") == c("__expected_origin"), F.lit(False)) for n in origins])
-    actual, predicted = (first_present(raw, names, "value") for names in (ACTUAL_NAMES + [target], PREDICTION_NAMES))
+    actual, predicted = names["TRUE"], names["Informer_pred"]
     finite = lambda n: F.coalesce(F.abs(number_or_null(raw, n)) != float("inf"), F.lit(False))
     flags["finite_values"] = ~(finite(actual) & finite(predicted))
     flags["target_on_calendar"] = c("__target_pos").isNull() | (c("__target_pos") < lead)
@@ -87,7 +86,7 @@ def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, tar
 def load_archive(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, target: str, provenance: str) -> DataFrame:
     """Audited archive under canonical names; the first broken rule is an error."""
     if provenance != PROVENANCE:
-        raise ValueError("Baseline requires explicit direct_terminal_target provenance; joint archives are unsupported")
+        raise ValueError(f"the archive's provenance is {provenance!r}; only {PROVENANCE!r} can be compared lead by lead")
     if lead < 1:
         raise ValueError("lead must be positive")
     broken = audit_rules(raw, data, axis, lead, target).where("violations > 0").collect()
@@ -100,8 +99,8 @@ def merge_one_to_one(left: DataFrame, addition: DataFrame, keys: Sequence[str],
     """Add a model's forecasts. Duplicate keys, or a left row without forecast, stop the job naming the key."""
     one = addition.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.first(column).alias("__value"))
     label = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
-    value = fail_if(F.col("__rows") > 1, F.concat(F.lit(f"{model} produced duplicate rows for "), label),
-                    fail_if(F.col("__value").isNull(), F.concat(F.lit(f"{model} is missing a forecast for "), label), F.col("__value")))
+    value = fail_if(F.col("__rows") > 1, F.concat(F.lit(f"two forecasts of {model} for "), label),
+                    fail_if(F.col("__value").isNull(), F.concat(F.lit(f"no forecast of {model} for "), label), F.col("__value")))
     return left.join(one, list(keys), "left").select(*left.columns, value.alias(column))
 
 
@@ -119,7 +118,7 @@ def keys_outside(archive: DataFrame, valid: DataFrame, keys: Sequence[str]) -> D
 def require_contained(archive: DataFrame, valid: DataFrame, keys: Sequence[str]) -> DataFrame:
     outside = keys_outside(archive, valid, keys).limit(3).collect()
     if outside:
-        raise ValueError(f"Archive includes origins outside valid historical windows or test cutoff: {outside}")
+        raise ValueError(f"archive rows that no test sample covers, for example {outside}")
     return archive
 
 
@@ -151,7 +150,7 @@ def validated(df: DataFrame, actual: str, baseline: str, date: str = "date") ->
     require_columns(df, [date, actual, baseline], "predictions")
     predictions = prediction_columns(df)
     if baseline not in predictions or len(predictions) < 2:
-        raise ValueError("A baseline and at least one comparator are required")
+        raise ValueError(f"nothing to compare: {baseline!r} and another *_pred column are needed, found {predictions}")
     broken = series_report(df, date, actual, predictions).where("violations > 0").collect()
     if broken:
         raise ValueError("Evaluation input rejected: " + ", ".join(f"{r.rule} ({r.violations})" for r in broken))
@@ -175,11 +174,11 @@ def read_forecasting_data(df: DataFrame, date: str, target: str, features: Seque
         F.sum("__rows").alias("rows"), F.max("__rows").alias("most"), F.count_if(F.col(date).isNull()).alias("undated"),
         *[F.sum(f"n_{c}").alias(f"n_{c}") for c in numeric], *[F.sum(f"inf_{c}").alias(f"inf_{c}") for c in numeric]).first()
     if facts["rows"] and (facts["most"] > 1 or facts["undated"]):
-        raise ValueError("Duplicate or missing dates")
+        raise ValueError(f"every row needs a date of its own: {facts['undated']} days without date, up to {facts['most']} rows on one day")
     kept = [c for c in numeric if facts[f"n_{c}"]]
     gaps = [c for c in kept if facts[f"n_{c}"] < facts["rows"]]
     if gaps:
-        raise ValueError(f"Missing or non-numeric values in forecasting variables: {gaps}")
+        raise ValueError(f"columns with gaps or text among their numbers: {gaps}")
     if any(facts[f"inf_{c}"] for c in kept):
-        raise ValueError("Forecasting variables must be finite")
+        raise ValueError("infinite values among the series")
     return typed.select(date, *kept)

@@ -87,7 +87,7 @@ def dm_statistics(df: DataFrame, actual: str, baseline: str, comparators: Sequen
     n = F.col("n").cast("double")
     error = F.when(F.col("variance") > 0, F.sqrt(F.col("variance") / n))
     if strict:
-        error = required(error, "The loss-differential variance is not positive")
+        error = required(error, "the losses of the two forecasts differ by a constant; there is nothing to test")
     return sums.select(*by, "criterion", "model", "n", (F.col("mean") / error * F.sqrt((n - 1) / n)).alias("statistic"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -198,8 +199,8 @@ def prediction_frame(scored: DataFrame, scaled_prediction: str, target: str, lea
     """
     kind = scored.schema[scaled_prediction].dataType
     if not isinstance(kind, T.NumericType):
-        raise ValueError(f"{out}: expected one scalar forecast per origin, got {kind.simpleString()}")
-    origin = fail_if(F.col("origin_date") >= F.col("target_date"), "Origins must precede their targets", F.col("origin_date"))
+        raise ValueError(f"{out} needs a single number per origin, not {kind.simpleString()}")
+    origin = fail_if(F.col("origin_date") >= F.col("target_date"), "a forecast's origin is not before its target day", F.col("origin_date"))
     return scored.select(*series, origin.alias("origin_date"), F.col("target_date").alias("date"), F.lit(int(lead)).alias("lead"),
                          restored(F.col(scaled_prediction), target).alias(out), *([actual] if actual else []))
 
@@ -209,17 +210,17 @@ def direct_result_frame(preds: DataFrame, lead: int) -> DataFrame:
     per_origin = preds.groupBy("origin_date").agg(
         F.count(F.lit(1)).alias("__rows"), *[F.first(c).alias(c) for c in ("target_date", "actual", "pred")])
     bad = (F.col("__rows") > 1) | (F.col("origin_date") >= F.col("target_date"))
-    origin = fail_if(bad, "Direct exports require unique origins preceding their targets", F.col("origin_date"))
+    origin = fail_if(bad, "an origin is repeated or not before its target day", F.col("origin_date"))
     return per_origin.select(
         origin.alias("origin"), origin.alias("origin_date"), "target_date", F.lit("direct").alias("forecast_mode"),
         F.col("target_date").alias("date"), F.lit(lead).alias("horizon"), F.lit(lead).alias("lead"), "actual",
         F.col("actual").alias("true"), "pred")
 
 
-def check_models(selected: Sequence[str], known: Mapping[str, str] = MODEL_COLUMNS) -> list[str]:
-    unknown = sorted(set(selected) - set(known))
-    if unknown:
-        raise ValueError(f"Unsupported models {unknown}; choose from {list(known)}")
-    if len(selected) != len(set(selected)):
-        raise ValueError("selected models contain duplicates")
-    return list(selected)
+def output_columns(models: Sequence[str], known: Mapping[str, str] = MODEL_COLUMNS) -> dict[str, str]:
+    """Model -> output column, in the order asked for; whatever is wrong with the request is reported at once."""
+    asked = Counter(models)
+    wrong = [f"{m}: no such model" for m in asked if m not in known] + [f"{m}: asked for {n} times" for m, n in asked.items() if n > 1]
+    if wrong:
+        raise ValueError(f"{'; '.join(wrong)} (there are {', '.join(known)})")
+    return {m: known[m] for m in models}

@@ -37,12 +37,15 @@ def lag_panel(panel: DataFrame, value: str, out: str) -> DataFrame:
     return panel.select("date", "bank", value).join(lagged, ["date", "bank"], "full")
 
 
-def select_entities(mapping: DataFrame, include: Sequence[str] | None = None) -> DataFrame:
-    """Requested entities in mapping order; a name the mapping does not know is an error."""
+def select_entities(mapping: DataFrame, include: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
+    """Requested entities in mapping order; names the mapping does not know are passed over, or an error if ``strict``
+    (which runs a job)."""
     if not include:
         return mapping
     names = list(dict.fromkeys(include))
     chosen = mapping.where(F.col("bank").isin(names))
+    if not strict:
+        return chosen
     known = {r.bank for r in chosen.select("bank").distinct().collect()}
     unknown = [n for n in names if n not in known]
     if unknown:
@@ -54,16 +57,16 @@ def common_entities(mapping: DataFrame, values: DataFrame, caps: DataFrame, stri
     """Mapped entities both panels carry."""
     shared = mapping
     for panel in [values] if values is caps else [values, caps]:
-        shared = shared.join(panel.select("bank"), "bank", "left_semi")
+        shared = shared.join(panel.select("bank").distinct(), "bank", "left_semi")  # one row per entity and task is shuffled, not the panel
     if strict and shared.isEmpty():
-        raise ValueError("No mapped banks are shared by the value panel and market-cap panel")
+        raise ValueError("no mapped entity is in both panels")
     return shared
 
 
 def common_dates(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct days both panels carry."""
     days = left.select("date").distinct()
-    return days if left is right else days.join(right.select("date"), "date", "left_semi")
+    return days if left is right else days.join(right.select("date").distinct(), "date", "left_semi")
 
 
 def cap_weighted_average(values: DataFrame, caps: DataFrame, mapping: DataFrame, columns: Mapping[str, str],

@@ -72,5 +72,5 @@ def sentiment_for(stats: DataFrame, mapping: DataFrame, entity: str | None = Non
         return system_day_sentiment(stats).select(F.col("pub_day").alias("date"), *SENTIMENT_FEATURES)
     one = mapping.where(F.col("bank") == entity)
     if one.isEmpty():
-        raise ValueError(f"{entity} not found in bank mapping")
+        raise ValueError(f"the mapping has no entity {entity!r}")
     return entity_sentiment(stats, one).drop("bank")

@@ -15,18 +15,12 @@ from ..timeline import row_index, running_total, shift_rows
 from .evaluation import average_over_iterations, test_rows
 from .scaling import standardize
 
-# Display names of indicators, risk measures and banks.
-DISPLAY_NAMES = {
-    "Emotional_Skew": "Sentiment direction", "Total_Count": "Attention-based intensity",
-    "Weighted_Emotional_Skew_Read": "Exposure-based intensity", "Weighted_Emotional_Skew_Comment": "Engagement-based intensity",
-    "ALL_CoVaR": "Banking sector SR proxy", "工商银行_CoVaR": "ICBC SR proxy", "risk_spillover": "DY spillover To",
-    "risk_receiving": "DY spillover From", "net_risk_value": "DY net spillover",
-}
+# Short names of the banks and the published names of the specifications.
 BANK_CODES = {
     "中信银行": "CNCB", "中国银行": "BOC", "交通银行": "BCM", "兴业银行": "CIB", "北京银行": "BOB", "华夏银行": "HB", "南京银行": "BON",
     "宁波银行": "NBCB", "工商银行": "ICBC", "平安银行": "PAB", "建设银行": "CCB", "招商银行": "CMB", "民生银行": "CMBC", "浦发银行": "SPDB",
 }
-SPEC_NAMES = {"不带情绪": "without", "带情绪": "with", "without sentiment": "without", "with sentiment": "with"}
+SPEC_NAMES = {"不带情绪": "without sentiment", "带情绪": "with sentiment"}
 
 
 def descriptive_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -89,8 +83,9 @@ def error_reduction(metrics: DataFrame, base: str = "without", other: str = "wit
 
 
 def extreme_metrics(metrics: DataFrame, base: str = "without", other: str = "with",
-                    values: Sequence[str] = ("MSE", "MAE", "RMSE", "R2"), split: str = "split") -> DataFrame:
-    """Worst run of the base and best run of the other specification, each metric for itself."""
+                    values: Sequence[str] = ("MSE", "MAE", "RMSE", "R2", "MAPE", "MSPE"), split: str = "split") -> DataFrame:
+    """Worst run of the base and best run of the other specification, each metric for itself; metrics the table lacks are left out."""
+    values = [v for v in values if v in metrics.columns]
     def pick(m):
         worst, best = (F.min(m), F.max(m)) if m == "R2" else (F.max(m), F.min(m))
         return F.when(F.col("spec") == base, worst).otherwise(best).alias(m)

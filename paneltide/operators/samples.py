@@ -132,7 +132,7 @@ def prepare_samples(df: DataFrame, axis: DataFrame, target: str, features: Seque
     the target as first channel.
     """
     if not 0.0 < train_ratio < 1.0 or lags < 1:
-        raise ValueError("train_ratio must lie between zero and one and lags must be positive")
+        raise ValueError(f"need 0 < train_ratio < 1 and lags >= 1, not {train_ratio} and {lags}")
     names = [target, *[f for f in features if f != target]]
     channels = [f"__c{k}" for k in range(len(names))]
     values = df.select(*series, "date", *[F.col(c).alias(a) for c, a in zip(names, channels)])
@@ -206,6 +206,6 @@ def recover_horizons(archive: DataFrame, lead: int, date: str = "date") -> DataF
     first = F.greatest(F.lit(0), F.col("pos") - (lead - 1))
     last = F.least(F.col("pos"), count - 1)
     wrong = (F.col("total") % lead != 0) | (F.col("days") != count + lead - 1) | (F.col("rows") != last - first + 1)
-    windows = fail_if(wrong, "Archive dates are inconsistent with consecutive rolling forecast windows", F.sequence(first, last))
+    windows = fail_if(wrong, "the rows per day do not fit windows that start on consecutive days", F.sequence(first, last))
     return ranked.select("date", "pos", F.explode(windows).alias("window_id")).select(
         "date", "window_id", (F.col("pos") - F.col("window_id") + 1).alias("horizon"))

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def attach(df: DataFrame, stats: DataFrame, series: Sequence[str] = ()) -> DataFrame:
-    """Bring parameters to the rows: by key, or as a scalar subquery when there is one row for all."""
+    """Bring parameters to the rows: by key (a NULL is a key like any other), or as a scalar subquery when there is one
+    row for all."""
     if series:
-        return df.join(stats, list(series))
+        keyed = stats.select(F.struct(*series).alias("__series"), *[c for c in stats.columns if c not in series])
+        return df.withColumn("__series", F.struct(*series)).join(keyed, "__series").drop("__series")
     one = stats.select(F.struct("*").alias("s")).scalar()
     return df.select("*", *[one[c].alias(c) for c in stats.columns])
 

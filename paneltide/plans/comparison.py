@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.archive import load_archive, merge_one_to_one, read_forecasting_data, require_contained, validated
 from ..operators.evaluation import dm_tests, error_metrics, label_metrics, long_predictions
 from ..operators.forecasting import (
-    MODEL_COLUMNS, ar1_forecast, check_models, ets_forecast, fit_ar1, gbr_forecast, persistence, training_rows,
+    ar1_forecast, ets_forecast, fit_ar1, gbr_forecast, output_columns, persistence, training_rows,
 )
 from ..operators.samples import prepare_samples
 from ..operators.scaling import fit_scaler
@@ -36,7 +36,7 @@ def forecasts(data: DataFrame, samples: DataFrame, target: str, features: Sequen
               models: Sequence[str], train_ratio: float = 0.7, normalization: str = "minmax",
               settings: Mapping[str, Mapping] | None = None, seed: int = 2024, ets_alpha: float | None = None) -> DataFrame:
     """Forecasts of the selected models for every test origin of the samples; boosting needs their windows."""
-    check_models(models)
+    columns = output_columns(models)
     out = simple_forecasts(data, samples, target, lead, models, (), train_ratio, ets_alpha)
     if "GBR" in models:
         channels = [target, *[f for f in features if f != target]]
@@ -46,9 +46,9 @@ def forecasts(data: DataFrame, samples: DataFrame, target: str, features: Sequen
         options = {"rounds": "n_estimators", "rate": "learning_rate", "depth": "max_depth"}
         given = (settings or {}).get("GBR", {})
         fitted = gbr_forecast(samples, stats, channels, target, seed=seed, **{k: given[v] for k, v in options.items() if v in given})
-        out = out.join(fitted.select("i", MODEL_COLUMNS["GBR"]), "i")
+        out = out.join(fitted.select("i", columns["GBR"]), "i")
     return out.select("origin_date", F.col("target_date").alias("date"), F.lit(lead).alias("lead"), F.col("target").alias("TRUE"),
-                      *[MODEL_COLUMNS[m] for m in models])
+                      *columns.values())
 
 
 def run_comparison(raw: DataFrame, archive: DataFrame, axis: DataFrame, target: str, lead: int, lags: int, models: Sequence[str],
@@ -60,7 +60,7 @@ def run_comparison(raw: DataFrame, archive: DataFrame, axis: DataFrame, target:
     The archive is audited, and must lie inside the valid test origins, before any model is fitted. The samples feed
     that check and every model, so they are written to the shared folder once.
     """
-    check_models(models)
+    columns = output_columns(models)
     data = read_forecasting_data(raw, date, target, features).withColumnRenamed(date, "date")
     result = load_archive(archive, data, axis, lead, target, provenance)
     used = [c for c in data.columns if c not in ("date", target)]
@@ -69,16 +69,16 @@ def run_comparison(raw: DataFrame, archive: DataFrame, axis: DataFrame, target:
     require_contained(result, valid, KEYS)
     if models:
         made = forecasts(data, samples, target, used, lead, models, train_ratio, normalization, settings, seed, ets_alpha)
-        for model in models:
-            result = merge_one_to_one(result, made, KEYS, MODEL_COLUMNS[model], model)
+        for model, column in columns.items():
+            result = merge_one_to_one(result, made, KEYS, column, model)
     return result.select(
         "origin_date", "date", F.col("date").alias("target_date"), "lead", F.lit(lead).alias("horizon"), F.lit("direct").alias("forecast_mode"),
-        "TRUE", "Informer_pred", *[MODEL_COLUMNS[m] for m in models])
+        "TRUE", "Informer_pred", *columns.values())
 
 
 def evaluate(predictions: DataFrame, actual: str = "TRUE", baseline: str = "Informer_pred", date: str = "date") -> tuple[DataFrame, DataFrame]:
-    """Error metrics per model and Diebold-Mariano tests against the baseline."""
+    """Error metrics per model and Diebold-Mariano tests against the baseline; equal forecasts stop the tests."""
     data, columns = validated(predictions, actual, baseline, date)
     metrics = label_metrics(error_metrics(long_predictions(data, actual, columns)))
-    tests = dm_tests(data, actual, baseline, [c for c in columns if c != baseline])
+    tests = dm_tests(data, actual, baseline, [c for c in columns if c != baseline], strict=True)
     return metrics, tests

@@ -18,12 +18,12 @@ def daily_sentiment(posts: DataFrame, corrections: DataFrame | None = None, corr
 
 
 def run(spark: SparkSession, pattern: str, out: str, step: str = "all", encoding: str | None = None, **columns: str) -> DataFrame:
-    """``audit`` lists the inputs; ``daily-stats`` and ``all`` read every file once, aggregate and write parquet.
+    """``audit`` reports presence, size and records of the input; ``daily-stats`` and ``all`` read every file once, aggregate and write parquet.
 
     No merged copy is kept in between: Spark reads the files as one table.
     """
     if step == "audit":
-        return audit_inputs(spark, pattern)
+        return audit_inputs(spark, {"posts": pattern}, encoding or "UTF-8")
     stats = daily_sentiment_stats(clean_posts(merge_prediction_files(spark, pattern, encoding=encoding), **columns))
     stats.write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import to_day
 from ..schema import BANK_MAPPING, number_or_null, require_columns
+from .tables import describe_files, header_records, read_csv_auto
 
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Entity mapping; its row order is kept in ``ord`` because it decides the order of report columns."""
-    raw = spark.read.option("header", True).csv(path)
+def read_mapping(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None) -> DataFrame:
+    """Entity mapping in any of the known encodings; its row order is kept in ``ord``, 0 to n - 1 over all files, because
+    it decides the order of report columns. The numbering sorts the mapping, one row per entity, in one task."""
+    raw = read_csv_auto(spark, path, encoding=encoding, place=True)
     require_columns(raw, BANK_MAPPING.names, "bank mapping")
     return raw.select(F.col("bank_code").cast("bigint"), F.col("bank").cast("string"),
-                      F.monotonically_increasing_id().alias("ord"))
+                      (F.row_number().over(Window.orderBy("__path", "__at")) - 1).cast("bigint").alias("ord"))
 
 
 def stack_panel(df: DataFrame, labels: Mapping[str, tuple[str, str]], date: str = "date") -> DataFrame:
@@ -27,12 +28,17 @@ def stack_panel(df: DataFrame, labels: Mapping[str, tuple[str, str]], date: str
 
 
 def read_price_panel(spark: SparkSession, path: str, header_rows: int = 3) -> DataFrame:
-    """Panel with stacked header rows (group, entity, indicator) as ``date, bank, indicator, value``."""
-    top = [row.value for row in spark.read.text(path).limit(header_rows).collect()]
-    levels = list(csv.reader(line.removeprefix("﻿") for line in top))
+    """Panel with stacked header rows (group, entity, indicator) as ``date, bank, indicator, value``. Files of one encoding
+    and one header; which encoding is found out."""
+    files = describe_files(spark, path)
+    layouts = {(f["encoding"], tuple(map(tuple, header_records(f["head"], header_rows)))) for f in files}
+    if len(layouts) != 1:
+        raise ValueError(f"{path}: files of one encoding and header are needed, found {len(layouts)} layouts")
+    encoding, levels = layouts.pop()
     width = len(levels[0])
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    body = spark.read.schema(schema).csv(path).withColumn("date", to_day("c0")).where("date is not null")
+    rows = spark.read.schema(schema).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
+    body = rows.withColumn("date", to_day("c0")).where("date is not null")
     labels = {f"c{i}": (levels[-2][i], levels[-1][i]) for i in range(1, width)}
     return stack_panel(body, labels)
 

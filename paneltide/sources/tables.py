@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections import defaultdict
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import EVALUATION, require_columns
@@ -24,54 +26,79 @@ def _lines(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFram
             .schema("value string").csv(list(paths)))
 
 
+HEAD_LINES = 32  # physical lines a header may stretch over
+
+
+def header_records(lines: Sequence[str], count: int = 1) -> list[list[str]]:
+    """The first records of a CSV text; a quoted cell may hold line breaks."""
+    reader = csv.reader(io.StringIO("\n".join(lines).removeprefix(BOM)), strict=False)
+    return [record for record, _ in zip(reader, range(count))]
+
+
 def describe_files(spark: SparkSession, paths: str | Sequence[str], encodings: Sequence[str] = ENCODINGS) -> list[dict]:
-    """Path, encoding and header of every file; one pass per encoding still in question, one small row per file."""
+    """Encoding, header lines and files of every layout among the files: one pass per encoding still in question. The
+    driver gets one row per layout with the paths of its files."""
     pending = [paths] if isinstance(paths, str) else list(paths)
     found: list[dict] = []
     for encoding in encodings:
         if not pending:
             break
-        # Inside the split that starts a file, rows are numbered in file order, so the smallest number is the header.
+        # Inside the split that starts a file, rows are numbered in file order; the low 33 bits count from its beginning.
         lines = _lines(spark, pending, encoding).select(
             "value", F.col("_metadata.file_path").alias("path"),
             F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"))
-        summary = lines.groupBy("path").agg(
-            F.min_by("value", "at").alias("header"), F.max(F.contains("value", F.lit(DAMAGE))).alias("damaged")).collect()
-        pending = []
-        for row in summary:
-            if row.damaged:
-                pending.append(row.path)
-            else:
-                header = next(csv.reader([(row.header or "").removeprefix(BOM)]))
-                found.append({"path": row.path, "encoding": encoding, "columns": header})
+        files = lines.groupBy("path").agg(F.max(F.contains("value", F.lit(DAMAGE))).alias("damaged"), F.min("at").alias("first"))
+        # A task may read several files, so a file's first lines are those nearest to its own first row.
+        heads = (lines.join(files.where("not damaged").select("path", "first"), "path").where(F.col("at") < F.col("first") + HEAD_LINES)
+                 .groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda r: r["value"]).alias("head")))
+        layouts = files.join(heads, "path", "left").select("path", "damaged", "head").collect()
+        pending = [r.path for r in layouts if r.damaged]
+        found += [{"path": r.path, "encoding": encoding, "head": r.head or [""]} for r in layouts if not r.damaged]
     if pending:
         raise ValueError(f"No encoding of {list(encodings)} fits {sorted(pending)[:3]}")
     return sorted(found, key=lambda f: f["path"])
 
 
-def read_csv_auto(spark: SparkSession, paths: str | Sequence[str], schema=None, encoding: str | None = None) -> DataFrame:
+def read_csv_auto(spark: SparkSession, paths: str | Sequence[str], schema=None, encoding: str | None = None, one_line: bool = False,
+                  place: bool = False) -> DataFrame:
     """CSV with a header. Files may differ in encoding and columns; columns are united by name, values stay text
-    unless a schema is given. Telling the encoding costs a pass over the files, so name it where it is known: then the
-    files are read once and must share their columns."""
+    unless a schema is given. Telling the encoding costs a pass over the files and a row per file on the driver, so name
+    it where it is known, above all for very many files: then they are read once and must share their columns.
+
+    Quoted cells may hold line breaks, so a file is the unit of work. ``one_line=True`` declares that none does: large
+    files are then split, and a record of the wrong width stops the job. ``place`` adds ``__path`` and ``__at``, which
+    order the rows as the files have them.
+    """
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    base = spark.read.option("header", True).option("multiLine", False).option("escape", '"')
+    base = spark.read.option("header", True).option("multiLine", not one_line).option("escape", '"')
+    if one_line:
+        base = base.option("mode", "FAILFAST")
     if schema is not None:
         base = base.schema(schema).option("enforceSchema", False)
+
+    def load(name, files):
+        rows = base.option("encoding", name).csv(files)
+        return rows.select("*", F.col("_metadata.file_path").alias("__path"), F.monotonically_increasing_id().alias("__at")) if place else rows
+
     if encoding is not None:
-        return base.option("encoding", encoding).csv(paths)
+        return load(encoding, paths)
     groups = defaultdict(list)
     for entry in describe_files(spark, paths):
-        groups[(entry["encoding"], tuple(entry["columns"]))].append(entry["path"])
+        groups[(entry["encoding"], tuple(*header_records(entry["head"])[:1]))].append(entry["path"])
     if not groups:
         raise FileNotFoundError(f"No rows in {paths}")
-    parts = [base.option("encoding", enc).csv(files) for (enc, _), files in sorted(groups.items(), key=lambda g: min(g[1]))]
+    if len(groups) == 1:
+        return load(next(iter(groups))[0], paths)
+    parts = [load(name, files) for (name, _), files in sorted(groups.items(), key=lambda g: min(g[1]))]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> str:
-    """Header row led by a UTF-8 byte order mark, as spreadsheet users expect; one file per partition."""
+    """Header row led by a UTF-8 byte order mark, as spreadsheet users expect; one file per partition. Blanks at the ends of
+    a cell, quotes, separators and line breaks inside it survive; an empty text is read back as NULL."""
     marked = df.withColumnRenamed(df.columns[0], BOM + df.columns[0]) if header else df
-    marked.write.mode(mode).option("header", header).option("escape", '"').csv(path)
+    (marked.write.mode(mode).option("header", header).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
@@ -80,8 +107,21 @@ def matching_files(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("size_bytes"))
 
 
-def audit_inputs(spark: SparkSession, pattern: str) -> DataFrame:
-    return matching_files(spark, pattern).select("path", F.lit(True).alias("exists"), "size_bytes")
+def audit_inputs(spark: SparkSession, expected: Mapping[str, str], encoding: str = "UTF-8") -> DataFrame:
+    """One row per expected input (name -> path or pattern): whether a file is there, its size in bytes and its records.
+
+    The sizes come from the file listing; the records are counted by reading the CSV files."""
+    parts = []
+    for name, path in expected.items():
+        try:
+            sizes = matching_files(spark, path).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("size_bytes"))
+            rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+        except AnalysisException:
+            parts.append(spark.range(1).select(F.lit(name).alias("name"), F.lit(False).alias("exists"), F.lit(None).cast("bigint").alias("size_bytes"), F.lit(None).cast("bigint").alias("records")))
+            continue
+        counted = rows.agg(F.count(F.lit(1)).alias("records")).scalar()
+        parts.append(sizes.select(F.lit(name).alias("name"), (F.col("files") > 0).alias("exists"), "size_bytes", counted.alias("records")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def union_tables(frames: Iterable[DataFrame]) -> DataFrame:
@@ -97,11 +137,10 @@ def merge_prediction_files(spark: SparkSession, pattern: str, out: str | None =
 
     Files of one known encoding and layout need no look at their contents first: name the ``encoding``.
     """
-    from pyspark.errors import AnalysisException
     try:
         merged = read_csv_auto(spark, pattern, encoding=encoding)
     except AnalysisException as error:
-        raise FileNotFoundError(f"No prediction CSV matched pattern: {pattern}") from error
+        raise FileNotFoundError(f"no file at {pattern}") from error
     if out:
         write_csv(merged, out, mode="overwrite")
     return merged

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 BLOCK_ROWS = 4096
 _BLOCK = "__block"
 _START = "__start"
+_SERIES = "__series"
 
 
 def day_block(order: str, days: int = BLOCK_ROWS) -> Column:
@@ -33,13 +34,21 @@ def _ordered(series: Sequence[str]):
     return Window.partitionBy(*series).orderBy(_BLOCK)
 
 
+def _keyed(df: DataFrame, order: str, series: Sequence[str], block: Column | None) -> tuple[DataFrame, list[str]]:
+    """Rows with their block, and the columns that name their series: one struct, which is equal to itself even where a
+    part of it is NULL, so that a join loses no row. A NULL in the order column has no place and stops the job."""
+    placed = F.coalesce(default_block(df, order) if block is None else block, F.raise_error(F.lit(f"NULL in the order column {order}")))
+    keyed = df.withColumn(_BLOCK, placed)
+    return (keyed.withColumn(_SERIES, F.struct(*series)), [_SERIES]) if series else (keyed, [])
+
+
 def row_index(df: DataFrame, order: str, series: Sequence[str] = (), index: str = "i", total: str | None = None,
               block: Column | None = None) -> DataFrame:
     """Add the 0-based position of each row in its series and, if asked, the series length.
 
     ``block`` must be monotone in ``order``; by default it is derived from the date or time.
     """
-    keyed = df.withColumn(_BLOCK, default_block(df, order) if block is None else block)
+    keyed, series = _keyed(df, order, series, block)
     sizes = keyed.groupBy(*series, _BLOCK).agg(F.count(F.lit(1)).alias("__rows"))
     before = _ordered(series).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
@@ -87,7 +96,7 @@ def shift_rows(df: DataFrame, columns: Mapping[str, str], k: int, index: str, se
 def forward_fill(df: DataFrame, columns: Sequence[str], order: str, series: Sequence[str] = (),
                  block: Column | None = None) -> DataFrame:
     """Carry the last observed value forward along ``order``; nothing is filled backwards."""
-    keyed = df.withColumn(_BLOCK, default_block(df, order) if block is None else block)
+    keyed, series = _keyed(df, order, series, block)
     tails = keyed.groupBy(*series, _BLOCK).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__tail_{c}") for c in columns])
     earlier = _ordered(series).rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +112,7 @@ def forward_fill(df: DataFrame, columns: Sequence[str], order: str, series: Sequ
 
 def running_total(df: DataFrame, value: str, order: str, block: Column, out: str, series: Sequence[str] = ()) -> DataFrame:
     """Inclusive running sum of ``value``."""
-    keyed = df.withColumn(_BLOCK, block)
+    keyed, series = _keyed(df, order, series, block)
     sums = keyed.groupBy(*series, _BLOCK).agg(F.sum(value).alias("__sum"))
     earlier = _ordered(series).rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*series, _BLOCK, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias(_START))

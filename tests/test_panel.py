@@ -54,9 +54,10 @@ def test_entities(frame):
     mapping = frame([(0, "a", 0), (1, "b", 1)], "bank_code long, bank string, ord long")
     assert [r.bank for r in panel.select_entities(mapping, ["b"]).collect()] == ["b"]
     with pytest.raises(ValueError, match="Unknown entities: \\['z'\\]"):
-        panel.select_entities(mapping, ["b", "z"])
+        panel.select_entities(mapping, ["b", "z"], strict=True)
+    assert [r.bank for r in panel.select_entities(mapping, ["b", "z"]).collect()] == ["b"]
     other = frame([("q",)], "bank string")
-    with pytest.raises(ValueError, match="No mapped banks"):
+    with pytest.raises(ValueError, match="no mapped entity"):
         panel.common_entities(mapping, other, other, strict=True)
 
 
@@ -65,7 +66,7 @@ def test_sentiment_of_one_and_all(frame):
     mapping = frame([(0, "a"), (1, "b")], "bank_code long, bank string")
     assert sentiment_for(stats, mapping, "b").first().Total_Count == 6
     assert sentiment_for(stats, mapping, "all").first().Total_Count == 9
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="no entity"):
         sentiment_for(stats, mapping, "zz")
 
 

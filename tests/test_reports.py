@@ -36,7 +36,7 @@ def test_bank_block_reduction_and_repair(frame):
     df = frame([(*r, 0.5, "test") for r in rows], "bank string, spec string, MSE double, MAE double, RMSE double, R2 double, split string")
     df = rp.recoded(rp.recoded(df, "bank", rp.BANK_CODES, strict=True), "spec", rp.SPEC_NAMES)
     df = df.withColumn("MSE", reporting.repaired_mse(F.col("MSE"), F.col("RMSE")))
-    saved = rp.error_reduction(df).where("spec = 'reduction'")
+    saved = rp.error_reduction(df, base="without sentiment", other="with sentiment").where("spec = 'reduction'")
     got = {r.bank: (r.a, r.b) for r in saved.select("bank", reporting.fixed(F.col("MSE"), 2, 100, "%").alias("a"), reporting.fixed(F.col("MAE"), 2, 100, "%").alias("b")).collect()}
     assert got == {"CNCB": ("24.83%", "-12.43%"), "BON": ("31.55%", "20.58%")}
 

@@ -129,7 +129,7 @@ def test_horizons_are_recovered_or_rejected(spark):
     assert sorted(tuple(r) for r in sm.recover_horizons(archive, 3).collect()) == sorted(windows)
     disjoint = spark.createDataFrame([(d,) for d in SESSIONS[:6]], "date date")
     for wrong in (archive.where(f"date <> '{SESSIONS[1]}'"), disjoint):
-        with pytest.raises(Exception, match="inconsistent"):
+        with pytest.raises(Exception, match="do not fit"):
             sm.recover_horizons(wrong, 3).collect()
 
 

@@ -32,8 +32,8 @@ def test_mixed_files_are_united_by_name(spark, files, tmp_path):
     files("in/b.csv", "v,bank,extra\n2,中国,x\n", "utf-8-sig")
     rows = sorted(tuple(r) for r in tables.merge_prediction_files(spark, f"{tmp_path}/in/*.csv").select("bank", "v", "extra").collect())
     assert rows == [("中国", "2", "x"), ("工商", "1", None)]
-    audit = tables.audit_inputs(spark, f"{tmp_path}/in/*.csv").collect()
-    assert len(audit) == 2 and all(r.exists and r.size_bytes > 5 for r in audit)
+    audit = {r.name: r for r in tables.audit_inputs(spark, {"in": f"{tmp_path}/in/*.csv", "gone": f"{tmp_path}/gone/*.csv"}).collect()}
+    assert audit["in"].exists and audit["in"].size_bytes > 30 and audit["in"].records == 2 and not audit["gone"].exists
     with pytest.raises(FileNotFoundError):
         tables.merge_prediction_files(spark, f"{tmp_path}/none/*.csv")
 
@@ -122,3 +122,61 @@ def test_stage_run(spark, files, tmp_path):
 
 def test_cut_lineage(spark):
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_quoted_line_breaks_survive(spark, tmp_path, frame):
+    rows = [(1, "a\nb", "正面"), (2, "plain", "负面"), (3, ' "q",\r\n\\x ', None), (4, None, "中性"), (5, None, "x")]
+    path = tables.write_csv(frame(rows, "id int, text string, label string").coalesce(1), str(tmp_path / "broken"))
+    back = tables.read_csv_auto(spark, path)
+    assert sorted((int(r.id), r.text, r.label) for r in back.collect()) == rows
+    assert sorted((int(r.id), r.text, r.label) for r in tables.read_csv_auto(spark, path, encoding="UTF-8").collect()) == rows
+
+
+def test_header_with_a_line_break(spark, files):
+    got = tables.read_csv_auto(spark, [files("h/a.csv", 'id,"long\nname"\n1,x\n', "gbk"), files("h/b.csv", '"long\nname",id\ny,2\n')])
+    assert sorted(tuple(r) for r in got.select("id", "`long\nname`").collect()) == [("1", "x"), ("2", "y")]
+
+
+def test_split_files_must_have_the_declared_width(spark, files):
+    schema = "a string, b string"
+    good, bad = files("w/good.csv", "a,b\n1,2\n"), files("w/bad.csv", "a,b\n1,2\n3\n")
+    assert tables.read_csv_auto(spark, good, schema=schema, encoding="UTF-8", one_line=True).count() == 1
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read_csv_auto(spark, bad, schema=schema, encoding="UTF-8", one_line=True).collect()
+
+
+def test_mapping_and_prices_in_gb18030_over_two_files(spark, files, tmp_path):
+    files("m/a.csv", "bank_code,bank\n5,工商银行\n2,中国银行\n", "gb18030")
+    files("m/b.csv", "bank_code,bank\n9,建设银行\n", "gb18030")
+    got = panels.read_mapping(spark, f"{tmp_path}/m/*.csv").orderBy("ord").collect()
+    assert [(r.bank_code, r.bank, r.ord) for r in got] == [(5, "工商银行", 0), (2, "中国银行", 1), (9, "建设银行", 2)]
+    path = files("price.csv", "date,g,g\ndate,工商银行,中国银行\ndate,总市值(元),总市值(元)\n2020-01-01,10,5.5\n", "gb18030")
+    assert {(r.bank, r.value) for r in panels.select_indicator(panels.read_price_panel(spark, path), "总市值(元)").collect()} == {("工商银行", 10.0), ("中国银行", 5.5)}
+
+
+def test_rows_without_label_or_key_stay_in_training(frame):
+    df = frame([(1, "a", "x"), (2, "a", "x"), (3, None, "x"), (4, None, "x"), (None, "a", "x")], "id int, y string, text string")
+    for split in (sampling.stratified_split(df, "y", "id", 0.5), sampling.random_split(df, "id", 0.5)):
+        rows = split.collect()
+        assert len(rows) == 5 and not any(r.is_val for r in rows if r.id is None)
+    assert sum(r.is_val for r in sampling.stratified_split(df, "y", "id", 0.5).collect()) == 1
+    assert not any(r.is_val for r in sampling.stratified_split(df, "y", "id", 0.5).collect() if r.y is None)
+
+
+def test_splits_do_not_move_the_text(frame):
+    df = frame([(i, "ab"[i % 2], "text") for i in range(50)], "id int, y string, text string")
+    plan = sampling.stratified_split(df, "y", "id", 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "hashpartitioning" not in plan
+
+
+def test_label_split_ignores_partitioning(spark, files, tmp_path):
+    from paneltide.plans import label_split
+
+    lines = [f'"text {i % 30}\n more",{(i % 30) % 3 - 1}' for i in range(60)]
+    one = files("s1/a.csv", "text,sen\n" + "\n".join(lines) + "\n")
+    two = [files("s2/a.csv", "text,sen\n" + "\n".join(lines[30:]) + "\n"), files("s2/b.csv", "text,sen\n" + "\n".join(lines[:30]) + "\n")]
+    picked = []
+    for k, path in enumerate((one, two)):
+        out = label_split.run(spark, path, str(tmp_path / f"out{k}"))
+        picked.append(sorted(r.input for r in records.read_instructions(spark, out["val_json"]).collect()))
+    assert picked[0] == picked[1] and len(picked[0]) == 6

@@ -65,3 +65,20 @@ def test_no_series_key(spark):
     df = spark.range(50).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("date"), F.col("id").alias("v"))
     got = tl.row_index(df, "date", block=tl.day_block("date", 7)).where("i <> v").count()
     assert got == 0
+
+
+def test_null_series_keep_their_rows_and_null_dates_stop(frame):
+    import datetime as dt
+
+    import pytest
+
+    from paneltide import timeline
+    from paneltide.operators.scaling import standardize
+
+    D = [dt.date(2024, 1, k) for k in (1, 2, 3)]
+    df = frame([(None, D[0], 1.0), (None, D[1], None), ("a", D[0], 2.0), ("a", D[2], None)], "s string, date date, v double")
+    assert sorted((str(r.s), r.i) for r in timeline.row_index(df, "date", ["s"]).collect()) == [("None", 0), ("None", 1), ("a", 0), ("a", 1)]
+    assert sorted(r.v for r in timeline.forward_fill(df, ["v"], "date", ["s"]).collect()) == [1.0, 1.0, 2.0, 2.0]
+    assert standardize(df, ["v"], ["s"]).count() == 4
+    with pytest.raises(Exception, match="NULL in the order column"):
+        timeline.row_index(df.withColumn("date", df.date.cast("string").cast("date")).unionByName(frame([("a", None, 1.0)], "s string, date date, v double")), "date", ["s"]).collect()
