@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..schema import fail_if
+from ..session import cut_lineage
 from ..timeline import BLOCK_ROWS, row_index, shift_rows
 from .samples import share
 from .scaling import attach, restored
@@ -92,13 +93,22 @@ def _chained_sse(blocks: DataFrame, grid: DataFrame, series: Sequence[str]) -> D
     return chain.select(*series, "alpha", "step", F.aggregate("chain", start, link)["sse"].alias("sse"))
 
 
+def squared_errors(rows: DataFrame, value: str, weights: DataFrame, series: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One-step squared error on the training rows for each given weight: ``(series, alpha, sse)``."""
+    grid = weights.groupBy(*series).agg(F.collect_list(F.struct("alpha", F.lit(0.0).alias("step"))).alias("candidates"))
+    return _chained_sse(_value_blocks(rows.where("i < fit_end"), value, series, block_rows), grid, series).drop("step")
+
+
 def fit_ets(rows: DataFrame, value: str, series: Sequence[str] = (), points: int = 32, rounds: int = 4,
             low: float = 1e-6, high: float = 1 - 1e-6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Smoothing weight with the least one-step squared error on the training rows, to about 1e-5.
 
     Each round lays a grid over the bracket around the best weight of the round before.
     """
-    blocks = _value_blocks(rows.where("i < fit_end"), value, series, block_rows)
+    return _fit(_value_blocks(rows.where("i < fit_end"), value, series, block_rows), series, points, rounds, low, high)
+
+
+def _fit(blocks: DataFrame, series: Sequence[str], points: int = 32, rounds: int = 4, low: float = 1e-6, high: float = 1 - 1e-6) -> DataFrame:
     bounds = blocks.groupBy(*series).agg(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
     for _ in range(rounds):
         step = (F.col("hi") - F.col("lo")) / points
@@ -136,24 +146,37 @@ def ets_levels(rows: DataFrame, weights: DataFrame | float, value: str, series:
 
     ``weights`` is one smoothing weight for all, or a table with ``alpha`` per series.
     """
-    blocks = _value_blocks(rows, value, series, block_rows)
-    if isinstance(weights, DataFrame):
-        blocks = attach(blocks, weights, series)
-    else:
-        blocks = blocks.withColumn("alpha", F.lit(float(weights)))
-    parts = blocks.groupBy(*series).agg(
-        F.array_sort(F.collect_list(F.struct("block", _summary("cells", "alpha").alias("b")))).alias("chain"))
-    first = F.struct(F.col("chain")[0]["b"]["first"].alias("level"),
-                     F.array().cast("array<struct<block:bigint,start:double>>").alias("starts"))
+    return _levels(_value_blocks(rows, value, series, block_rows), weights, series)
 
-    def link(state, part):
-        b, s = part["b"], part["b"]["s"]
-        here = F.struct(part["block"].alias("block"), state["level"].alias("start"))
-        return F.struct((s["carry"] + s["power"] * (state["level"] - b["first"])).alias("level"),
-                        F.array_append(state["starts"], here).alias("starts"))
 
-    starts = parts.select(*series, F.inline(F.aggregate("chain", first, link)["starts"]))
-    levelled = blocks.join(starts, [*series, "block"]).select(
+CHAIN = 512  # blocks in a link of the chain
+
+
+def _starts(links: DataFrame, series: Sequence[str], place: str) -> DataFrame:
+    """Level before each link. A link turns a level into ``power * level + shift``; the first level is that of link 0."""
+    chain = links.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct(place, "power", "shift"))).alias("chain"), F.min_by("level", place).alias("level"))
+    first = F.struct(F.col("level"), F.array().cast(f"array<struct<{place}:bigint,start:double>>").alias("starts"))
+
+    def step(state, link):
+        here = F.struct(link[place].alias(place), state["level"].alias("start"))
+        return F.struct((link["power"] * state["level"] + link["shift"]).alias("level"), F.array_append(state["starts"], here).alias("starts"))
+
+    return chain.select(*series, F.inline(F.aggregate("chain", first, step)["starts"]))
+
+
+def _levels(blocks: DataFrame, weights: DataFrame | float, series: Sequence[str]) -> DataFrame:
+    """The chain has two levels, so no array outgrows ``CHAIN`` blocks or one link per ``CHAIN`` blocks of a series."""
+    known = attach(blocks, weights, series) if isinstance(weights, DataFrame) else blocks.withColumn("alpha", F.lit(float(weights)))
+    summed = known.select(*series, "block", F.floor(F.col("block") / CHAIN).alias("part"), _summary("cells", "alpha").alias("b")).select(
+        *series, "block", "part", F.col("b.first").alias("level"), F.col("b.s.power").alias("power"),
+        (F.col("b.s.carry") - F.col("b.s.power") * F.col("b.first")).alias("shift"))
+    held = summed.groupBy(*series, "part").agg(F.array_sort(F.collect_list(F.struct("block", "power", "shift"))).alias("inner"), F.min_by("level", "block").alias("level"))
+    whole = F.aggregate("inner", F.struct(F.lit(1.0).alias("power"), F.lit(0.0).alias("shift")), lambda s, b: F.struct(
+        (b["power"] * s["power"]).alias("power"), (b["power"] * s["shift"] + b["shift"]).alias("shift")))
+    outer = _starts(held.select(*series, "part", "level", whole.alias("w")).select(*series, "part", "level", "w.power", "w.shift"), series, "part")
+    at_part = summed.drop("level").join(outer.withColumnRenamed("start", "level"), [*series, "part"])
+    starts = _starts(at_part, [*series, "part"], "block").drop("part")
+    levelled = known.join(starts, [*series, "block"]).select(
         *series, "cells", _level_path(F.col("cells.v"), F.col("start"), F.col("alpha")).alias("levels"))
     return levelled.select(*series, F.inline(F.arrays_zip(F.col("cells.i").alias("i"), F.col("levels").alias("level"))))
 
@@ -161,9 +184,15 @@ def ets_levels(rows: DataFrame, weights: DataFrame | float, value: str, series:
 def ets_forecast(samples: DataFrame, rows: DataFrame, value: str, series: Sequence[str] = (), alpha: float | None = None,
                  out: str = "ETS_pred", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Level at each origin. All rows up to the origin count, also those that are no sample origin themselves."""
-    weights = fit_ets(rows, value, series, block_rows=block_rows) if alpha is None else alpha
-    levels = ets_levels(rows, weights, value, series, block_rows).withColumnRenamed("level", out)
-    return samples.join(levels, [*series, "i"])
+    if alpha is None:  # every round of the search and the levels read the blocks, so they are written once
+        blocks = cut_lineage(_value_blocks(rows, value, series, block_rows), "blocks")
+        ends = rows.groupBy(*series).agg(F.max("fit_end").alias("fit_end"))
+        training = attach(blocks, ends, series).withColumn("cells", F.filter("cells", lambda c: c["i"] < F.col("fit_end"))).where("size(cells) > 0")
+        weights = cut_lineage(_fit(training.drop("fit_end"), series), "weights")
+        levels = _levels(blocks, weights, series)
+    else:
+        levels = ets_levels(rows, alpha, value, series, block_rows)
+    return samples.join(levels.withColumnRenamed("level", out), [*series, "i"])
 
 
 def gbr_forecast(samples: DataFrame, stats: DataFrame, channels: Sequence[str], target: str, rounds: int = 100,
