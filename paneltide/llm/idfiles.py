@@ -102,9 +102,9 @@ class WordTokenizer:
             pieces = [self.cut(t) for t in given[at:at + 64]]
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            unseen = set().union(*pieces) - self.memo.keys()
+            unseen = [p for p in set().union(*pieces) if p not in self.memo]
             if unseen:
-                self.learn(list(unseen))
+                self.learn(unseen)
             out += [b"".join(map(self.memo.__getitem__, p)) for p in pieces]
         return out
 
@@ -251,7 +251,8 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
                     yield {"doc_id": [None if shard.null[k] else int(shard.keys[k]) for k in part], "start": [base + int(shard.offsets[k]) for k in part],
                            "n_tokens": [e - b for b, e in spans], "ids_crc32": [zlib.crc32(ids[b:e].tobytes()) for b, e in spans]}
 
-    return map_batches(located.repartition("part", "seq").select("path", "base"), work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    apart = located.repartition(max(1, min(manifest.count(), 10_000)), "part", "seq")  # shards are read in parallel however small
+    return map_batches(apart.select("path", "base"), work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, path: str, shards: int | None = None) -> DataFrame:
