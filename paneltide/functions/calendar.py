@@ -44,8 +44,9 @@ def calendar_parts(ts: Column, freq: str) -> list[Column]:
 
 
 def scaled_features(ts: Column, freq: str) -> list[Column]:
-    """Features scaled to [-0.5, 0.5]."""
-    key = {"A": "Y", "MIN": "T"}.get(freq.upper(), freq.upper())
+    """Features scaled to [-0.5, 0.5]; multiples (``15min``, ``3h``) have the features of their unit."""
+    unit = freq.lstrip("0123456789").upper()
+    key = {"A": "Y", "MIN": "T"}.get(unit, unit)
     if key not in SCALED_BY_FREQUENCY:
         raise ValueError(f"Unsupported frequency {freq}; choose from {sorted(SCALED_BY_FREQUENCY)}")
 

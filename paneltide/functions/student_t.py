@@ -38,9 +38,10 @@ def _fraction(a, b, x, steps: int = 400, tiny: float = 1e-300):
             d = 1.0 / _away_from_zero(1 + term * d, tiny)
             c = _away_from_zero(1 + term / c, tiny)
             h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
+        near = np.abs(d * c - 1)
+        if np.all(near < 1e-15):
             break
-    return h
+    return np.where(near < 1e-8, h, np.nan)  # not converged: no value rather than a wrong one
 
 
 def _away_from_zero(v, tiny):

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import parse_response, title_prompt
+from ..session import cut_lineage
 from .evaluation import weighted_prf
 
 Predictor = Callable[[pd.Series], pd.Series]
@@ -35,10 +36,11 @@ def predict_sentiment(df: DataFrame, text: str, factory: Callable[[], Predictor]
     return score_text(prompted, "Input", factory).withColumn("predict", parse_response("Output", default=0))
 
 
-def compare_text_classifiers(df: DataFrame, text: str, label: str, flag: str, features: int = 1 << 12) -> DataFrame:
+def compare_text_classifiers(df: DataFrame, text: str, label: str, flag: str, features: int = 1 << 18, rounds: int = 100) -> DataFrame:
     """Tidy accuracy, precision, recall and F1 of Spark ML text models on the training and held-out rows.
 
-    ``label`` holds class numbers from 0, ``flag`` marks the held-out rows.
+    ``label`` holds class numbers from 0, ``flag`` marks the held-out rows. Words are hashed into ``features`` columns;
+    the logistic fit ends at convergence or after ``rounds`` iterations. Features are written once and read by every fit.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, NaiveBayes
@@ -49,9 +51,10 @@ def compare_text_classifiers(df: DataFrame, text: str, label: str, flag: str, fe
     weights = IDF(inputCol="__tf", outputCol="__features")
     clean = df.select(F.coalesce(text, F.lit("")).alias(text), F.col(label).cast("double").alias(label), flag)
     train = clean.where(~F.col(flag))
-    prepared = Pipeline(stages=[tokens, counts, weights]).fit(train).transform(clean).select(label, flag, "__features").persist()
+    prepared = Pipeline(stages=[tokens, counts, weights]).fit(train).transform(clean).select(label, flag, "__features")
+    prepared = cut_lineage(prepared, "features")
     models = {
-        "LogisticRegression": LogisticRegression(featuresCol="__features", labelCol=label, maxIter=20, regParam=0.01),
+        "LogisticRegression": LogisticRegression(featuresCol="__features", labelCol=label, maxIter=rounds, regParam=0.01),
         "NaiveBayes": NaiveBayes(featuresCol="__features", labelCol=label),
     }
     fitted = {name: m.fit(prepared.where(~F.col(flag))) for name, m in models.items()}

@@ -13,6 +13,7 @@ from ..functions.reporting import fixed, stars
 from ..functions.student_t import t_test_p
 from ..functions.text import lookup
 from ..schema import required
+from ..session import cut_lineage
 
 # Display name of each model column.
 MODEL_LABELS = {"Informer": "Informer", "Persistence": "Persistence", "AR1": "AR(1)", "ETS": "ETS", "GBR": "GBR", "PatchTST": "PatchTST"}
@@ -63,7 +64,8 @@ def error_metrics_raw(long: DataFrame, by: Sequence[str] = ("model",)) -> DataFr
 
 def rse_corr(long: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Root relative squared error, and the product-normalised correlation sum(dy*dp) / sqrt(sum(dy^2 * dp^2))."""
-    means = long.groupBy(*by).agg(F.avg("y").alias("__my"), F.avg("p").alias("__mp"))
+    long = cut_lineage(long, "long")  # read twice; the means' size is then known when they are joined
+    means = cut_lineage(long.groupBy(*by).agg(F.avg("y").alias("__my"), F.avg("p").alias("__mp")), "means")
     dy, dp = F.col("y") - F.col("__my"), F.col("p") - F.col("__mp")
     e, e2 = _errors()
     return long.join(means, list(by)).groupBy(*by).agg(

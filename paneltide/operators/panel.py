@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.signals import macro_spreads, scaled
 from ..schema import rows_complete, rows_observed
+from ..session import cut_lineage
 from ..timeline import forward_fill
 
 
@@ -87,6 +89,27 @@ def cap_weighted_average(values: DataFrame, caps: DataFrame, mapping: DataFrame,
     return common_dates(values, caps).join(averaged, "date", "left")
 
 
+def cap_weighted_tables(tables: Sequence[tuple[DataFrame, Mapping[str, str]]], caps: DataFrame, mapping: DataFrame, cap: str = "cap") -> DataFrame:
+    """``cap_weighted_average`` of several tables at once, each given with its columns (new name -> column).
+
+    Lagged weights are built and summed once. Every table keeps its own entities and days: its columns are divided by the
+    weights of the entities it carries, and are NULL on days it lacks. Days of any table that the caps carry too.
+    """
+    marked = [table.select("date", "bank", *[F.col(src).alias(f"__{out}") for out, src in columns.items()], F.lit(True).alias(f"__t{k}"))
+              for k, (table, columns) in enumerate(tables)]
+    cells = cut_lineage(reduce(lambda a, b: a.join(b, ["date", "bank"], "full"), marked), "cells")
+    carried = [F.max(f"__t{k}").alias(f"__k{k}") for k in range(len(tables))]
+    banks = cells.groupBy("bank").agg(*carried).join(mapping.select("bank").distinct(), "bank", "left_semi")
+    days = cells.groupBy("date").agg(*carried).join(caps.select("date").distinct(), "date", "left_semi")
+    weights = previous_session(caps, session_axis(caps), {"__w": cap}).join(banks, "bank")
+    summed = weights.join(cells, ["date", "bank"], "left").groupBy("date").agg(
+        *[F.sum(F.when(F.col(f"__k{k}"), F.col("__w"))).alias(f"__w{k}") for k in range(len(tables))],
+        *[F.sum(F.col(f"__{out}") * F.col("__w")).alias(f"__{out}") for _, columns in tables for out in columns])
+    averages = [F.when(F.col(f"__k{k}"), F.try_divide(F.coalesce(f"__{out}", F.lit(0.0)), F.col(f"__w{k}"))).alias(out)
+                for k, (_, columns) in enumerate(tables) for out in columns]
+    return days.join(summed, "date", "left").select("date", *averages)
+
+
 def carry_forward(frame: DataFrame, sources: Sequence[DataFrame]) -> DataFrame:
     """Daily series joined to the frame's days, each holding its last released value.
 

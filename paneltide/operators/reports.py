@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.student_t import t_test_p
 from ..functions.text import lookup
 from ..schema import number_or_null
 from ..session import cut_lineage
-from ..timeline import row_index, running_total, shift_rows
+from ..timeline import row_index, shift_rows
 from .evaluation import average_over_iterations, test_rows
 from .scaling import standardize
 
@@ -134,18 +134,23 @@ EDGES = 256
 def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float] = (0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Linearly interpolated quantiles, one row ``(p, q)`` each.
 
-    Equal values are counted before anything is ordered. A sketch cuts the distinct values into bins of similar size,
-    running counts are formed bin by bin, and the two neighbours of every quantile are read off: exact, one pass over
-    the data (the counts are written to the shared folder), and no task sees more than a bin.
+    Equal values are counted before anything is ordered. A sketch cuts the distinct values into bins of similar size;
+    counts per bin show which bins hold a wanted rank, and only the values of those are ordered: exact, one pass over the
+    data (the counts are written to the shared folder), and no task orders more than a bin.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
     tallies = cut_lineage(values.groupBy("v").agg(F.count(F.lit(1)).alias("rows")), "tallies")
     sketch = F.percentile_approx("v", [k / EDGES for k in range(1, EDGES)], 10000)
     facts = tallies.agg(F.struct(F.array_distinct(sketch).alias("edges"), F.sum("rows").alias("total")).alias("f")).scalar()
-    known = tallies.withColumn("f", facts).select("v", "rows", "f.edges", "f.total")
-    counted = running_total(known, "rows", "v", F.size(F.filter("edges", lambda e: e <= F.col("v"))), "upto")
-    ranks = F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("total") - 1)).alias("h")) for p in probabilities])
-    hit = counted.select("v", "rows", "upto", F.inline(ranks))
+    known = tallies.withColumn("f", facts).select("v", "rows", "f.total", F.size(F.filter("f.edges", lambda e: e <= F.col("v"))).alias("bin"))
+    rank = lambda p: F.lit(float(p)) * (F.col("total") - 1)
+    bins = known.groupBy("bin").agg(F.sum("rows").alias("n"), F.first("total").alias("total"))  # at most EDGES rows
+    placed = bins.withColumn("start", F.sum("n").over(Window.orderBy("bin")) - F.col("n"))
+    wanted = reduce(lambda a, b: a | b, [(k >= F.col("start")) & (k < F.col("start") + F.col("n")) for p in probabilities for k in (F.floor(rank(p)), F.ceil(rank(p)))])
+    starts = placed.where(wanted).agg(F.map_from_entries(F.collect_list(F.struct("bin", "start"))).alias("m")).scalar()
+    held = known.withColumn("start", F.try_element_at(starts, F.col("bin"))).where("start IS NOT NULL")
+    counted = held.withColumn("upto", F.sum("rows").over(Window.partitionBy("bin").orderBy("v")) + F.col("start"))
+    hit = counted.select("v", "rows", "upto", F.inline(F.array(*[F.struct(F.lit(float(p)).alias("p"), rank(p).alias("h")) for p in probabilities])))
     low, high = F.floor("h"), F.ceil("h")
     start, end = F.col("upto") - F.col("rows"), F.col("upto")
     inside = lambda k: (k >= start) & (k < end)

@@ -152,6 +152,16 @@ def prepare_samples(df: DataFrame, axis: DataFrame, target: str, features: Seque
                       *(["window"] if windows else []))
 
 
+def require_segments(samples: DataFrame, lags: int, series: Sequence[str] = ()) -> DataFrame:
+    """Samples whose series all have a training segment longer than ``lags`` and rows in both segments; else an error
+    that names the first offenders. One action, of one row per series."""
+    facts = samples.groupBy(*series).agg(F.max("fit_end").alias("fit_end"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"))
+    short = facts.where((F.coalesce("fit_end", F.lit(0)) <= lags) | (F.col("train") == 0) | (F.col("test") == 0)).limit(3).collect()
+    if short:
+        raise ValueError("too little history to fit and test on: " + "; ".join(str(r.asDict()) for r in short))
+    return samples
+
+
 def future_stamps(df: DataFrame, freq: str, seq_len: int, pred_len: int, series: Sequence[str] = (),
                   date: str = "date", block: Column | None = None) -> DataFrame:
     """Last ``seq_len`` stamps of every series followed by ``pred_len`` generated ones."""
@@ -174,6 +184,14 @@ def _stamps_after(last: Column, freq: str, count: int) -> Column:
         days = F.transform(F.sequence(F.lit(0), F.lit((count + 1) * every * 2 + 7)), lambda k: F.date_add(last, k))
         working = F.filter(days, lambda d: F.weekday(d) < 5)
         return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda k: F.element_at(working, k * every + 1))
+    # Ends of weeks (Sunday), months, quarters and years: the first end not before ``last`` is where counting starts.
+    day = last.cast("date")
+    ends = {"w": (F.date_add(day, 6 - F.weekday(day)), None), "m": (F.last_day(day), 1), "q": (F.last_day(F.add_months(F.trunc(day, "quarter"), 2)), 3),
+            "y": (F.last_day(F.add_months(F.trunc(day, "year"), 11)), 12), "a": (F.last_day(F.add_months(F.trunc(day, "year"), 11)), 12)}
+    if unit in ends:
+        first, months = ends[unit]
+        step = (lambda k: F.date_add(first, 7 * every * k)) if months is None else (lambda k: F.last_day(F.add_months(first, months * every * k)))
+        return F.transform(F.sequence(F.lit(1), F.lit(count)), step)
     if unit not in STEP_SECONDS:
         raise ValueError(f"Unsupported frequency {freq}")
     step = STEP_SECONDS[unit] * every

@@ -11,7 +11,7 @@ from ..operators.evaluation import dm_tests, error_metrics, label_metrics, long_
 from ..operators.forecasting import (
     ar1_forecast, ets_forecast, fit_ar1, gbr_forecast, output_columns, persistence, training_rows,
 )
-from ..operators.samples import prepare_samples
+from ..operators.samples import prepare_samples, require_segments
 from ..operators.scaling import fit_scaler
 from ..session import cut_lineage
 
@@ -65,6 +65,7 @@ def run_comparison(raw: DataFrame, archive: DataFrame, axis: DataFrame, target:
     result = load_archive(archive, data, axis, lead, target, provenance)
     used = [c for c in data.columns if c not in ("date", target)]
     samples = cut_lineage(prepare_samples(data, axis, target, used, lead, lags, train_ratio, windows="GBR" in models), "samples")
+    require_segments(samples, lags)
     valid = samples.where("split = 'test'").select("origin_date", F.col("target_date").alias("date"), F.lit(lead).alias("lead"))
     require_contained(result, valid, KEYS)
     if models:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.signals import scaled
 from ..functions.text import to_day
-from ..operators.panel import assemble_entity_panel, cap_weighted_average, macro_features, merge_sentiment
+from ..operators.panel import assemble_entity_panel, cap_weighted_tables, macro_features, merge_sentiment
 from ..operators.posts import entity_sentiment, sentiment_for
 from ..schema import MARKET_CAP, SENTIMENT_FEATURES, VALUATION, number_or_null, rows_complete
 from ..session import cut_lineage
@@ -29,13 +29,11 @@ def forecasting_datasets(target: DataFrame, predictors: Sequence[DataFrame], cap
     """
     macro = cut_lineage(macro_features(target.select("date").distinct(), macro_sources, macro_names), "macro")
     stats = cut_lineage(sentiment_stats, "sentiment")
-    weighted = cap_weighted_average(target.withColumn("target", scaled(F.col("target"), scale)), caps, mapping, {"target": "target"})
-    names: list[str] = []
-    for table in predictors:
-        own = [c for c in table.columns if c not in ("date", "bank")]
-        names += own
-        weighted = weighted.join(cap_weighted_average(table, caps, mapping, {c: c for c in own}), "date", "left")
-    weighted = cut_lineage(weighted, "weighted")
+    owned = [[c for c in table.columns if c not in ("date", "bank")] for table in predictors]
+    names = [c for own in owned for c in own]
+    tables = [(target.withColumn("target", scaled(F.col("target"), scale)), {"target": "target"}), *[(t, {c: c for c in own}) for t, own in zip(predictors, owned)]]
+    days = target.select("date").distinct()
+    weighted = cut_lineage(cap_weighted_tables(tables, caps, mapping).join(days, "date", "left_semi"), "weighted")
 
     known = target.join(mapping.select("bank"), "bank", "left_semi")
     entity = assemble_entity_panel(known, predictors, macro, "target", scale)
@@ -71,7 +69,7 @@ def read_wide(spark: SparkSession, path: str, value: str, suffix: str = "") -> D
 def run(spark: SparkSession, config: Mapping[str, object]) -> str:
     """Build all datasets from the files a configuration names and write them, partitioned by bank and variant."""
     mapping = read_mapping(spark, config["bank_mapping_csv"])
-    prices = without_index_series(read_price_panel(spark, config["price_csv"]))
+    prices = cut_lineage(without_index_series(read_price_panel(spark, config["price_csv"])), "prices")  # read for five indicators
     caps = select_indicator(prices, MARKET_CAP).withColumnRenamed("value", "cap")
     links = {"risk_receiving": "connectedness_from_csv", "risk_spillover": "connectedness_to_csv", "net_risk_value": "connectedness_net_csv"}
     predictors = [read_wide(spark, config[key], name) for name, key in links.items()]

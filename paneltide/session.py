@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,18 +29,28 @@ def build_session(app: str = "paneltide", master: str | None = None, shuffle_par
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, for clusters it is not installed on."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="paneltide-"), "paneltide"), "zip", os.path.dirname(here), os.path.basename(here))
+    spark.sparkContext.addPyFile(archive)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local master, where driver and executors share one disk, may fall back to a temporary folder.
+    Only a local master, where driver and executors are one process, may fall back to a temporary folder.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     return tempfile.mkdtemp(prefix="paneltide-")
 
@@ -53,3 +65,11 @@ def cut_lineage(df, name: str = "stage"):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(df) -> None:
+    """Delete the folder ``cut_lineage`` wrote for this DataFrame, once nothing that reads it is needed any more."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

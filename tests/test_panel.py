@@ -75,3 +75,14 @@ def test_panel_plans_have_no_cartesian_product(frame):
     rows = frame([(D[0], "a", 1.0, 1.0)], "date date, bank string, v double, cap double")
     plan = panel.cap_weighted_average(rows, rows, mapping, {"w": "v"})._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_weighted_tables_equal_one_at_a_time(frame):
+    mapping = frame([(0, "a"), (1, "b"), (2, "c")], "bank_code long, bank string")
+    caps = frame([(d, b, float(1 + i + 2 * j)) for i, d in enumerate(D) for j, b in enumerate("abc")], "date date, bank string, cap double")
+    first = frame([(d, b, float(i * j)) for i, d in enumerate(D) for j, b in enumerate("ab") if (i + j) % 3], "date date, bank string, v double")
+    second = frame([(d, "c", float(i)) for i, d in enumerate(D[:3])] + [(D[0], "zz", 4.0)], "date date, bank string, w double")
+    both = {r.date: (r.x, r.y) for r in panel.cap_weighted_tables([(first, {"x": "v"}), (second, {"y": "w"})], caps, mapping).collect()}
+    one = {r.date: r.x for r in panel.cap_weighted_average(first, caps, mapping, {"x": "v"}).collect()}
+    two = {r.date: r.y for r in panel.cap_weighted_average(second, caps, mapping, {"y": "w"}).collect()}
+    assert both == {d: (one.get(d), two.get(d)) for d in set(one) | set(two)}

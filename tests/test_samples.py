@@ -119,8 +119,12 @@ def test_future_stamps(spark):
     assert made("b") == [dt.date(2024, 1, 8), dt.date(2024, 1, 9), dt.date(2024, 1, 10)]
     stamps = spark.createDataFrame([(dt.datetime(2024, 1, 5, 23, 45),)], "date timestamp_ntz")
     assert made("15min", stamps) == [dt.datetime(2024, 1, 6, 0, 0), dt.datetime(2024, 1, 6, 0, 15), dt.datetime(2024, 1, 6, 0, 30)]
+    assert made("w") == [dt.date(2024, 1, 14), dt.date(2024, 1, 21), dt.date(2024, 1, 28)]
+    assert made("2m") == [dt.date(2024, 3, 31), dt.date(2024, 5, 31), dt.date(2024, 7, 31)]
+    assert made("q") == [dt.date(2024, 6, 30), dt.date(2024, 9, 30), dt.date(2024, 12, 31)]
+    assert made("y") == [dt.date(2025, 12, 31), dt.date(2026, 12, 31), dt.date(2027, 12, 31)]
     with pytest.raises(ValueError, match="Unsupported frequency"):
-        sm.future_stamps(df, "q", 1, 1)
+        sm.future_stamps(df, "x", 1, 1)
 
 
 def test_horizons_are_recovered_or_rejected(spark):

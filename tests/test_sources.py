@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paneltide.operators import classify, sampling
 from paneltide.plans import daily_sentiment
-from paneltide.session import cut_lineage
+from paneltide.session import cut_lineage, drop_stage
 from paneltide.sources import panels, records, tables
 
 
@@ -121,7 +121,13 @@ def test_stage_run(spark, files, tmp_path):
 
 
 def test_cut_lineage(spark):
-    assert cut_lineage(spark.range(3)).count() == 3
+    import os
+
+    kept = cut_lineage(spark.range(3))
+    assert kept.count() == 3
+    folder = os.path.dirname(kept.inputFiles()[0]).removeprefix("file://")
+    drop_stage(kept)
+    assert not os.path.exists(folder)
 
 
 def test_quoted_line_breaks_survive(spark, tmp_path, frame):

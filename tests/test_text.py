@@ -86,6 +86,7 @@ def test_calendar_features(frame):
     assert row.second == pytest.approx(0.5) and row.hour == pytest.approx(0.5) and row.day_of_week == pytest.approx(-0.5)
     assert row.day_of_year == pytest.approx(364 / 365 - 0.5)
     assert ts.select(*calendar.scaled_features(F.col("t"), "W")).first().week_of_year == pytest.approx(-0.5)
+    assert ts.select(*calendar.scaled_features(F.col("t"), "15min")).columns == ["minute", "hour", "day_of_week", "day_of_month", "day_of_year"]
     with pytest.raises(ValueError, match="Unsupported frequency"):
         calendar.scaled_features(F.col("t"), "X")
 
