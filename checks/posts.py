@@ -11,6 +11,7 @@ from paneltide.operators.grid import experiment_grid, setting_name
 from paneltide.operators.panel import select_entities
 from paneltide.operators.reports import recode_by_table, recoded
 from paneltide.plans.daily_sentiment import daily_sentiment
+from paneltide.session import cut_lineage
 from paneltide.sources import panels, records, tables
 
 from .configs import GRID_SQL, JOBS, jobs_for
@@ -290,7 +291,14 @@ def _(v):
     return classify.score_text(v.conversations.select("conv_id", "turn", "role", "text"), "text", WordRule).drop("text")
 
 
-@query("compare_text_classifiers")
+@query("compare_text_classifiers", """WITH k AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY md5(concat('42-', cast(doc_id AS string))), doc_id) AS rk, count(*) OVER (PARTITION BY y) AS n FROM p_class),
+  c AS (SELECT CASE WHEN rk <= greatest(1, round_even(n * 0.2::DOUBLE, 0)) THEN 'val' ELSE 'train' END AS dataset FROM k)
+  SELECT dataset, model_name, count(*) AS rows, TRUE AS in_bounds, TRUE AS recall_is_accuracy FROM c, (SELECT unnest(['LogisticRegression', 'NaiveBayes']) AS model_name) GROUP BY ALL""")
 def _(v):
-    flagged = sampling.stratified_split(v.p_class.withColumn("class", F.col("y") + 1), "class", "doc_id", 0.2)
-    return classify.compare_text_classifiers(flagged, "text", "class", "is_val")
+    """What SQL can say of fitted models: which rows they were scored on, and identities of the scores."""
+    flagged = cut_lineage(sampling.stratified_split(v.p_class.withColumn("class", F.col("y") + 1), "class", "doc_id", 0.2), "flagged")
+    scores = classify.compare_text_classifiers(flagged, "text", "class", "is_val")
+    sizes = flagged.groupBy(F.when(F.col("is_val"), "val").otherwise("train").alias("dataset")).agg(F.count(F.lit(1)).alias("rows"))
+    bounded = [F.col(m).between(0, 1) for m in ("accuracy", "precision", "recall", "f1")]
+    return scores.join(sizes, "dataset").select("dataset", "model_name", "rows", (bounded[0] & bounded[1] & bounded[2] & bounded[3]).alias("in_bounds"),
+                                                (F.abs(F.col("recall") - F.col("accuracy")) < 1e-12).alias("recall_is_accuracy"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paneltide.functions.text import DEFAULT_INSTRUCTION
 from paneltide.operators.archive import read_forecasting_data, resolve_aliases
-from paneltide.operators.grid import collect_metrics, experiment_grid, setting_name
+from paneltide.operators.grid import collect_metrics, experiment_grid, read_run_metrics, setting_name
 from paneltide.operators.sampling import stratified_split
 from paneltide.operators.samples import prepare_samples
 from paneltide.session import scratch_path
@@ -134,7 +134,11 @@ def _(v):
     grid = experiment_grid(jobs_for(v.spark, JOBS), v.p_map).withColumn("setting", setting_name())
     name = F.concat(F.lit("informer_direct_ftMS_sl5_ll2_pl1_dm512_nh8_el2_dl1_df2048_atprob_fc5_ebtimeF_dtTrue_mxTrue_path"), "bank",
                     F.lit("_"), "spec", F.lit(".csv_run_"), "bank", F.lit("_"), "spec", F.lit("_"), F.col("iteration").cast("string"), F.lit("_1_lead1"))
-    metrics = v.p_metrics.withColumn("setting", name).select("setting", "MSE", "MAE", "RMSE", "R2", "split")
+    folder = scratch_path(v.spark, "runs")
+    made = v.p_metrics.withColumn("setting", name).select("setting", "MSE", "MAE", "RMSE", "R2", "split")
+    made.write.partitionBy("setting").option("header", True).csv(folder)
+    metrics = read_run_metrics(v.spark, folder, "MSE double, MAE double, RMSE double, R2 double, split string", file="*.csv")
+    metrics = metrics.withColumn("setting", F.replace("setting", F.lit("setting="), F.lit("")))
     return collect_metrics(grid, metrics).select("bank", "spec", "iteration", "setting", "split", "MSE", "MAE", "RMSE", "R2")
 
 

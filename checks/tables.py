@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paneltide.operators import evaluation as ev, reports as rp
 from paneltide.operators.scaling import standardize
 
-from .forecasts import METRICS, PREDS, dm_sql, long, wide
+from .forecasts import PREDS, dm_sql, long, wide
 from .registry import cols, query, r
 from .sql_parts import predictions, t_test_p
 
@@ -128,15 +128,27 @@ def _(v):
     return rp.best_model(runs.select("bank", "spec", "model", cells), ["bank", "spec", "metric"], "model", "v")
 
 
-@query("report_tables", f"""WITH {predictions()}, m AS (SELECT model, {METRICS} FROM long GROUP BY model), {dm_sql().removeprefix(predictions() + ",")}
-  SELECT 'errors' AS part, 'MSE' AS line, max(MSE) FILTER (WHERE model = 'Persistence') AS Persistence, max(MSE) FILTER (WHERE model = 'AR1') AS "AR1" FROM m
-  UNION ALL SELECT 'errors', 'MAE', max(MAE) FILTER (WHERE model = 'Persistence'), max(MAE) FILTER (WHERE model = 'AR1') FROM m
-  UNION ALL SELECT 'h1', criterion, {r("max(statistic) FILTER (WHERE model = 'Persistence')")}, {r("max(statistic) FILTER (WHERE model = 'AR1')")} FROM dm GROUP BY criterion""", stage=("p_series",))
+def _tests(lead: int) -> str:
+    return f"""(WITH {dm_sql(5, lead)}, t AS (SELECT *, {t_test_p('statistic', 'n - 1')} AS p FROM dm),
+      c AS (SELECT criterion, model, printf('%.3f', statistic) || CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.10 THEN '*' ELSE '' END AS cell FROM t)
+      SELECT '{lead}' AS part, CASE criterion WHEN 'MAD' THEN 'MAE' ELSE criterion END AS line, '' AS Informer, max(cell) FILTER (WHERE model = 'Persistence') AS Persistence,
+        max(cell) FILTER (WHERE model = 'AR1') AS "AR1", '' AS IMP FROM c GROUP BY criterion)"""
+
+
+_CELL = "printf('{f}', max({m}) FILTER (WHERE model = '{k}'))"
+_IMP = "printf('%.2f%%', (min({m}) FILTER (WHERE model <> 'Informer') - max({m}) FILTER (WHERE model = 'Informer')) / min({m}) FILTER (WHERE model <> 'Informer') * 100)"
+
+
+@query("report_tables", f"""WITH errors AS (SELECT * FROM (WITH {predictions()}, m AS (SELECT model, avg((y - p) * (y - p)) AS MSE, avg(abs(y - p)) AS MAE FROM long GROUP BY model)
+    {" UNION ALL ".join(f"SELECT 'errors' AS part, '{m}' AS line, " + ", ".join(f'{_CELL.format(f=f, m=m, k=k)} AS "{k}"' for k in ("Informer", "Persistence", "AR1")) + f", {_IMP.format(m=m)} AS IMP FROM m"
+                        for m, f in (("MSE", "%.2e"), ("MAE", "%.3f")))}))
+  SELECT * FROM errors UNION ALL SELECT * FROM {_tests(1)} UNION ALL SELECT * FROM {_tests(5)}""", stage=("p_series",))
 def _(v):
     models = ["Persistence", "AR1"]
-    errors = rp.comparison_table(ev.error_metrics(long(v)), models).select(F.lit("errors").alias("part"), F.col("metric").alias("line"), *models)
-    tests = ev.dm_statistics(wide(v), "TRUE", "Informer_pred", PREDS[1:])
-    return errors.unionByName(rp.dm_blocks({"h1": tests}, models).select(F.col("horizon").alias("part"), F.col("criterion").alias("line"), *models))
+    errors = rp.published_comparison(ev.error_metrics(long(v)), ["Informer", *models], "Informer").select(F.lit("errors").alias("part"), "*")
+    tests = rp.published_tests({str(h): ev.dm_tests(wide(v, 5, h), "TRUE", "Informer_pred", PREDS[1:], strict=True) for h in (1, 5)}, models)
+    blank = F.lit("")
+    return errors.unionByName(tests.select(F.col("horizon").alias("part"), "line", blank.alias("Informer"), *models, blank.alias("IMP")))
 
 
 @query("side_by_side", f"""WITH {AVG}, o AS (SELECT bank, ord, (SELECT count(*) FROM p_map) AS n FROM p_map), p AS (SELECT a.*, o.ord, cast(ceil(n / 2) AS bigint) AS h FROM avg_m a JOIN o USING (bank)),

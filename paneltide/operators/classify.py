@@ -36,7 +36,7 @@ def predict_sentiment(df: DataFrame, text: str, factory: Callable[[], Predictor]
     return score_text(prompted, "Input", factory).withColumn("predict", parse_response("Output", default=0))
 
 
-def compare_text_classifiers(df: DataFrame, text: str, label: str, flag: str, features: int = 1 << 18, rounds: int = 100) -> DataFrame:
+def compare_text_classifiers(df: DataFrame, text: str, label: str, flag: str, features: int = 1 << 16, rounds: int = 100) -> DataFrame:
     """Tidy accuracy, precision, recall and F1 of Spark ML text models on the training and held-out rows.
 
     ``label`` holds class numbers from 0, ``flag`` marks the held-out rows. Words are hashed into ``features`` columns;

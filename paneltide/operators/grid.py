@@ -75,8 +75,8 @@ def collect_metrics(grid: DataFrame, metrics: DataFrame) -> DataFrame:
     return tags.join(metrics, "setting")
 
 
-def read_run_metrics(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """``metrics.csv`` of every run folder; the run identifier is the folder name."""
-    raw = spark.read.schema(schema).option("header", True).csv(f"{folder}/*/metrics.csv")
+def read_run_metrics(spark: SparkSession, folder: str, schema, file: str = "metrics.csv") -> DataFrame:
+    """The metrics ``file`` (a name or pattern) of every run folder; the run identifier is the folder name."""
+    raw = spark.read.schema(schema).option("header", True).csv(f"{folder}/*/{file}")
     run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return raw.select("*", F.url_decode(run).alias("setting"))

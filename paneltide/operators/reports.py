@@ -7,12 +7,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.reporting import fixed, scientific
 from ..functions.student_t import t_test_p
 from ..functions.text import lookup
 from ..schema import number_or_null
 from ..session import cut_lineage
 from ..timeline import row_index, shift_rows
-from .evaluation import average_over_iterations, test_rows
+from .evaluation import average_over_iterations, dm_table, test_rows
 from .scaling import standardize
 
 # Short names of the banks and the published names of the specifications.
@@ -203,6 +204,32 @@ def dm_blocks(tests: Mapping[str, DataFrame], models: Sequence[str], value: str
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def published_comparison(metrics: DataFrame, models: Sequence[str], baseline: str) -> DataFrame:
+    """Error table as text, one line per metric: models in the given order, then IMP, the baseline's saving on the best
+    other model in percent. MSE is written with an exponent, MAE with three decimals."""
+    best = F.least(*[F.col(f"`{m}`") for m in models if m != baseline])
+    saved = F.try_divide(best - F.col(f"`{baseline}`"), best) * 100
+    cell = lambda x: F.when(F.col("metric") == "MSE", scientific(x)).otherwise(fixed(x, 3))
+    table = comparison_table(metrics, models)
+    return table.select(F.col("metric").alias("line"), *[cell(F.col(f"`{m}`")).alias(m) for m in models], fixed(saved, 2, suffix="%").alias("IMP"))
+
+
+# The criterion under which each loss is published.
+PUBLISHED_CRITERIA = {"MAD": "MAE", "MSE": "MSE"}
+
+
+def published_tests(tests: Mapping[str, DataFrame], models: Sequence[str]) -> DataFrame:
+    """Test statistics with their marks as text, one block of lines per horizon; every block needs both criteria."""
+    blocks = []
+    for horizon, table in tests.items():
+        wide = dm_table(table, models)
+        lines = wide.groupBy().agg(F.count_if(F.col("criterion").isin(list(PUBLISHED_CRITERIA))).alias("n")).scalar()
+        line = lookup(F.col("criterion"), PUBLISHED_CRITERIA, default="keep")
+        checked = F.when(lines < len(PUBLISHED_CRITERIA), F.raise_error(F.lit(f"{horizon}: a criterion has no row"))).otherwise(line)
+        blocks.append(wide.select(F.lit(horizon).alias("horizon"), checked.alias("line"), *[F.col(f"`{m}`") for m in models]))
+    return reduce(lambda a, b: a.unionByName(b), blocks)
+
+
 def side_by_side(rows: DataFrame, order: DataFrame, entity: str, values: Sequence[str], line: str) -> DataFrame:
     """Entity blocks in two columns: the first half of the ordered entities left, the second half right."""
     n = order.agg(F.count(F.lit(1)).alias("n")).scalar()

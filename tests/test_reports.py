@@ -30,6 +30,21 @@ def test_comparison_table_text(frame):
     assert list(row["MSE"])[1:] == ["3.95", "4.60", "4.58", "4.60", "4.38", "7.59"]
 
 
+def test_published_comparison(frame):
+    got = {r.line: list(r)[1:] for r in rp.published_comparison(frame(ONE_DAY, "model string, MSE double, MAE double"), [m for m, *_ in ONE_DAY], ONE_DAY[0][0]).collect()}
+    assert got["MSE"][0] == "3.95e-04" and got["MSE"][-1].endswith("%")
+    best = min(x[1] for x in ONE_DAY[1:])
+    assert float(got["MSE"][-1][:-1]) == pytest.approx((best - ONE_DAY[0][1]) / best * 100, abs=0.006)
+
+
+def test_published_tests_need_both_criteria(frame):
+    table = frame([("MAD", "M", 10, -2.5, 0.02), ("MSE", "M", 10, 1.0, 0.5)], "criterion string, model string, n long, statistic double, p_value double")
+    rows = rp.published_tests({"one": table, "five": table}, ["M"]).collect()
+    assert sorted(tuple(r) for r in rows) == [("five", "MAE", "-2.500**"), ("five", "MSE", "1.000"), ("one", "MAE", "-2.500**"), ("one", "MSE", "1.000")]
+    with pytest.raises(Exception, match="a criterion has no row"):
+        rp.published_tests({"one": table.where("criterion = 'MAD'")}, ["M"]).collect()
+
+
 def test_bank_block_reduction_and_repair(frame):
     rows = [("中信银行", "不带情绪", 0.0006723716, 0.014447476, 0.025930129), ("中信银行", "带情绪", 0.0005054099, 0.016243925, 0.022481324),
             ("南京银行", "不带情绪", 0.0, 0.14511016, 0.1968773), ("南京银行", "带情绪", 0.026532704, 0.115248874, 0.16288863)]
