@@ -30,16 +30,18 @@ def build_session(app: str = "paneltide", master: str | None = None, shuffle_par
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        ship_package(spark)
+    ship_package(spark)
     return spark
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, for clusters it is not installed on."""
+    """Send this package to the executors' Python, once per context: it need not be installed or on their path."""
+    if getattr(spark.sparkContext, "_paneltide_shipped", False):
+        return
     here = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="paneltide-"), "paneltide"), "zip", os.path.dirname(here), os.path.basename(here))
     spark.sparkContext.addPyFile(archive)
+    spark.sparkContext._paneltide_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
