@@ -81,5 +81,5 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """The documents of the mix, all columns, as many times as each is taken."""
-    out = taken(marked(docs, [F.col(c) for c in docs.columns]), again=marked(docs, [F.lit(0).alias("none")]))
+    out = taken(marked(docs, [F.col(f"`{c}`") for c in docs.columns]), again=marked(docs, [F.lit(0).alias("none")]))
     return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

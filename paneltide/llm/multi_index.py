@@ -184,12 +184,10 @@ def search(rows: DataFrame, k: int = 20, is_query=lambda i: i % 20 == 0, fit_row
             yield {"h": batch.column("h"), "v": batch.column("v"), "ids": batch.column("ids"), "asked": batch.column("asked"), "i": i, "j": j}
 
     placed = cut_lineage(map_batches(entries, assign, "h long, v array<double>, ids array<long>, asked boolean, i int, j int"), "cells")
-    cells = placed.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asked").cast("int")).alias("q")).collect()  # at most cells_each squared
-    table, queries_at = np.zeros((each, each), np.int64), int(sum(c.q for c in cells))
-    for c in cells:
+    table = np.zeros((each, each), np.int64)
+    for c in placed.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect():  # at most cells_each squared
         table[c.i, c.j] = c.n
     salts = np.maximum(1, -(-table.sum(1) // BLOCK)).tolist()
-    turns = max(1, -(-queries_at // QUERY_BLOCK))
     counts, wanted = table.tolist(), max(index.value.share * total, 3.0 * (k + 1))
 
     def traverse(batches):
@@ -204,11 +202,15 @@ def search(rows: DataFrame, k: int = 20, is_query=lambda i: i % 20 == 0, fit_row
                         out[name].append(value)
             yield out
 
-    n_salts = F.element_at(F.array(*[F.lit(s) for s in salts]), F.col("i") + 1)
-    asked = placed.where("asked").select(F.xxhash64("v", F.lit(1)).alias("h"), "v", "ids")
-    routes = (map_batches(asked.select("h", "v"), traverse, "q long, v array<double>, i int, cells array<int>")
-              .withColumn("turn", F.pmod("q", F.lit(turns)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1))))
-    blocks = (placed.withColumn("salt", F.pmod("h", n_salts).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    asked = placed.where("asked").select(F.xxhash64("v", F.lit(1)).alias("h"), "v")
+    visits = cut_lineage(map_batches(asked, traverse, "q long, v array<double>, i int, cells array<int>"), "visits")
+    turns = [0] * each  # blocks of queries per first centroid: entries that no query visits are not copied at all
+    for c in visits.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect():  # at most cells_each
+        turns[c.i] = -(-c.n // QUERY_BLOCK)
+    per_first = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("i") + 1)
+    n_salts, n_turns = per_first(salts), per_first(turns)
+    routes = visits.withColumn("turn", F.pmod("q", n_turns).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
+    blocks = (placed.where(n_turns > 0).withColumn("salt", F.pmod("h", n_salts).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), n_turns - 1)))
               .select("i", "salt", "turn", "v", "ids", "j"))
     found = (blocks.groupBy("i", "salt", "turn").cogroup(routes.select("i", "salt", "turn", "q", "v", "cells").groupBy("i", "salt", "turn"))
              .applyInArrow(best_in_block(k), "q long, ids array<long>, score double"))
