@@ -102,9 +102,9 @@ class Codec:
             pieces = [self.find(t) for t in given[at:at + GROUP]]
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            unseen = set().union(*pieces) - self.memo.keys()
+            unseen = [p for p in set().union(*pieces) if p not in self.memo]
             if unseen:
-                self.learn(list(unseen))
+                self.learn(unseen)
             out += [b"".join(map(self.memo.__getitem__, p)) for p in pieces]
         return out
 
