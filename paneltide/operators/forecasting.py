@@ -105,7 +105,8 @@ def fit_ets(rows: DataFrame, value: str, series: Sequence[str] = (), points: int
 
     Each round lays a grid over the bracket around the best weight of the round before.
     """
-    return _fit(_value_blocks(rows.where("i < fit_end"), value, series, block_rows), series, points, rounds, low, high)
+    blocks = cut_lineage(_value_blocks(rows.where("i < fit_end"), value, series, block_rows), "blocks")  # read in every round
+    return _fit(blocks, series, points, rounds, low, high)
 
 
 def _fit(blocks: DataFrame, series: Sequence[str], points: int = 32, rounds: int = 4, low: float = 1e-6, high: float = 1 - 1e-6) -> DataFrame:
@@ -181,9 +182,10 @@ def _levels(blocks: DataFrame, weights: DataFrame | float, series: Sequence[str]
     return levelled.select(*series, F.inline(F.arrays_zip(F.col("cells.i").alias("i"), F.col("levels").alias("level"))))
 
 
-def ets_forecast(samples: DataFrame, rows: DataFrame, value: str, series: Sequence[str] = (), alpha: float | None = None,
+def ets_forecast(samples: DataFrame, rows: DataFrame, value: str, series: Sequence[str] = (), alpha: float | DataFrame | None = None,
                  out: str = "ETS_pred", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Level at each origin. All rows up to the origin count, also those that are no sample origin themselves."""
+    """Level at each origin. All rows up to the origin count, also those that are no sample origin themselves. ``alpha`` is
+    one weight, a table of weights as ``fit_ets`` gives it, or None to fit them here."""
     if alpha is None:  # every round of the search and the levels read the blocks, so they are written once
         blocks = cut_lineage(_value_blocks(rows, value, series, block_rows), "blocks")
         ends = rows.groupBy(*series).agg(F.max("fit_end").alias("fit_end"))
