@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from paneltide.operators.grid import job_table
 
+# Arguments and run counts of the jobs, as a batch configuration states them.
 _ARGS = {"features": "MS", "seq_len": 5, "label_len": 2, "pred_len": 1, "lead": 1}
 JOBS = {
     "common_args": {"d_model": 512, "seq_len": 99},
