@@ -153,3 +153,11 @@ def test_toxicity_learns_and_handles_odd_rows(spark, docs, prose):
 def test_powers_invert(n):
     up, down = kneser_ney.powers(n)
     assert (up[:n + 1] * down[:n + 1] == 1).all()
+
+
+def test_final_counts_cover_all_rows_that_may_be_learnt_from(spark, docs, prose):
+    rows = [(i, prose(60, i) + (" Grumbold! scoffle you snarkit" if i % 4 == 0 else "")) for i in range(400)]
+    labels = labels_of(spark, [(i, 1, int(i % 4 == 0)) for i in range(400)])
+    counts = kneser_ney.label_counts(docs(rows), labels, "toxic", "crc32(cast(cast(key AS string) AS binary)) % 5 <> 0")
+    assert counts[:, -1].sum() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
+    assert (kneser_ney.fit(docs(rows), labels).ratio == kneser_ney.Model(counts).ratio).all()
