@@ -22,16 +22,16 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 VERSION = "(?: version| v)?"
-#: Label, keyword, name in normalised words, identifier; more specific names first.
+#: Label, keyword (part of whatever the name matches), name in normalised words, identifier; more specific names first.
 NAMES = [
     ("apache-2.0", "apache", rf"apache(?: software)?(?: license)?{VERSION} 2(?: 0)?", "apache 2 0"), ("apache-1.1", "apache", rf"apache(?: software)?(?: license)?{VERSION} 1 1", "apache 1 1"),
     ("apache", "apache", "apache(?: software)? license", "apache"),
-    ("mit-0", "mit", "mit(?: no attribution| 0)(?: license)?", "mit 0"), ("mit", "mit", "mit(?: x11)? license|expat license", "mit"),
+    ("mit-0", "mit", "mit(?: no attribution| 0)(?: license)?", "mit 0"), ("mit", "mit", "mit(?: x11)? license", "mit"), ("mit", "expat", "expat license", "mit"),
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: license)?", "bsd 2 clause"), ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: license)?", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?", "bsd 4 clause"), ("0bsd", "bsd", "(?:0bsd|zero clause bsd)(?: license)?", "0bsd"), ("bsd", "bsd", "bsd(?: style)? license", "bsd"),
     ("agpl-3.0", "affero", rf"(?:gnu )?affero general public license{VERSION}(?: 3(?: 0)?)?", "agpl 3 0(?: only| or later)?"), ("agpl", "agpl", r"agpl ?v?(?:3(?: 0)?)?", "agpl"),
     ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public license{VERSION} 2 1", "lgpl 2 1(?: only| or later)?"), ("lgpl-3.0", "lesser", rf"(?:gnu )?lesser general public license{VERSION} 3(?: 0)?", "lgpl 3 0(?: only| or later)?"),
-    ("lgpl-2.0", "library general", rf"(?:gnu )?library general public license{VERSION}(?: 2(?: 0)?)?", "lgpl 2 0"), ("lgpl", "lgpl", r"lgpl ?v?(?:[23](?: [01])?)?", "lgpl"),
+    ("lgpl-2.0", "library general", rf"(?:gnu )?library general public license{VERSION}(?: 2(?: 0)?)?", "lgpl 2 0"), ("lgpl", "lesser", "(?:gnu )?lesser general public license", "lgpl"), ("lgpl", "lgpl", r"lgpl ?v?(?:[23](?: [01])?)?", "lgpl"),
     ("gpl-1.0", "general public", rf"(?:gnu )?general public license{VERSION} 1(?: 0)?", "gpl 1 0"), ("gpl-2.0", "general public", rf"(?:gnu )?general public license{VERSION} 2(?: 0)?", "gpl 2 0(?: only| or later)?"),
     ("gpl-3.0", "general public", rf"(?:gnu )?general public license{VERSION} 3(?: 0)?", "gpl 3 0(?: only| or later)?"), ("gpl-any", "general public", "gnu general public license", "gpl"),
     ("gpl-2.0", "gpl", r"gnu gpl ?v? ?2(?: 0)?|gplv2", "gpl v2"), ("gpl-3.0", "gpl", r"gnu gpl ?v? ?3(?: 0)?|gplv3", "gpl v3"), ("fdl", "documentation", rf"(?:gnu )?free documentation license{VERSION}(?: 1 [0-3])?", "gfdl 1 [1-3]"),
@@ -39,7 +39,7 @@ NAMES = [
     ("epl-1.0", "eclipse", rf"eclipse public license{VERSION} 1(?: 0)?", "epl 1 0"), ("epl-2.0", "eclipse", rf"eclipse public license{VERSION} 2(?: 0)?", "epl 2 0"), ("epl", "eclipse", "eclipse public license", "epl"),
     ("cddl", "common development", rf"common development and distribution license{VERSION}(?: 1 [01])?", "cddl 1 [01]"), ("cpl", "common public", rf"common public license{VERSION}(?: 1 0)?", "cpl 1 0"),
     ("eupl", "european union public", rf"european union public licen[cs]e{VERSION}(?: 1 [0-2])?", "eupl 1 [12]"), ("artistic-2.0", "artistic", rf"artistic license{VERSION} 2(?: 0)?", "artistic 2 0"), ("artistic", "artistic", "artistic license", "artistic 1 0"),
-    ("isc", "isc", "isc license", "isc"), ("zlib", "zlib", "zlib(?: libpng)? license", "zlib"), ("boost-1.0", "boost", rf"boost software license{VERSION}(?: 1 0)?", "bsl 1 0"), ("psf", "python", "(?:python software foundation|psf|python) license", "psf 2 0|python 2 0"),
+    ("isc", "isc", "isc license", "isc"), ("zlib", "zlib", "zlib(?: libpng)? license", "zlib"), ("boost-1.0", "boost", rf"boost software license{VERSION}(?: 1 0)?", "bsl 1 0"), ("psf", "python", "(?:python software foundation|python) license", "psf 2 0|python 2 0"), ("psf", "psf", "psf license", "psf 2 0"),
     ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"), ("wtfpl", "wtfpl", "wtfpl", "wtfpl"), ("bsl-1.1", "business source", rf"business source license{VERSION}(?: 1 1)?", "busl 1 1"),
     ("sspl", "server side public", rf"server side public license{VERSION}(?: 1)?", "sspl 1 0"), ("odbl", "open database", "open database license", "odbl 1 0"), ("ofl", "open font", rf"open font license{VERSION}(?: 1 1)?", "ofl 1 1"),
     ("cc0", "cc0", "(?:creative commons )?cc0(?: 1 0)?(?: universal)?", "cc0 1 0"), ("cc-by-nc-sa", "cc by", "cc by nc sa(?: [1-4] [05])?", "cc by nc sa [1-4] [05]"), ("cc-by-nc-nd", "cc by", "cc by nc nd(?: [1-4] [05])?", "cc by nc nd [1-4] [05]"),
