@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, convnet, idfiles, kneser_ney, licenses, mixing, multi_index, personal, rules, simhash
+from . import bpe, convnet, divergence, filter_audit, idfiles, kneser_ney, licenses, mixing, multi_index, personal, rules, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,47 @@ def _(spark, sf_dir):
 @register("op5_nearest_vectors")
 def _(spark, sf_dir):
     return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_filter_audit", r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+  f AS (SELECT doc_id, part, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, t FROM d),
+  b AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM f),
+  l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+  m AS (SELECT part, concat(if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')) AS fails, coalesce(good, false) AS good,
+    coalesce(toxic, false) AS toxic, count(*) AS n FROM b LEFT JOIN l USING (doc_id) GROUP BY ALL),
+  x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+  o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM x p, x q, x r, x s, x t
+    WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+  y AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+  g AS (SELECT *, contains(fails, filter_order[step]) AS failing, fails <> '' AND regexp_matches(fails, '[' || filter_order[1:step - 1] || '-]') AS gone FROM y, m),
+  h AS (SELECT part, filter_order, step, filter_order[step] AS x, coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0) AS kept,
+    coalesce(sum(n) FILTER (failing AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (failing AND gone), 0) AS redundant, coalesce(sum(n) FILTER (failing AND length(fails) = 1), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (failing AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (failing AND NOT gone AND toxic), 0) AS toxic_lost FROM g GROUP BY part, filter_order, step)
+  SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM h""")
+def _(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op11_source_divergence", r"""WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+  w AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  v AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+  c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN v USING (lang, term) GROUP BY lang, source, term),
+  k AS (SELECT lang, count(*) AS kinds FROM v GROUP BY lang),
+  g AS (SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source)),
+  p AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * kinds) AS p
+    FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+  l AS (SELECT c.lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 2) // (any_value(t.total) + 2 * any_value(kinds)) AS q
+    FROM c JOIN k USING (lang) JOIN (SELECT lang, sum(total) AS total FROM g GROUP BY lang) t USING (lang) GROUP BY c.lang, term),
+  x AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY a.lang, a.source, b.source) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+  y AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+  r AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM x UNION ALL
+    SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM y)
+  SELECT * FROM r WHERE part = 'pair' OR rank <= 10""")
+def _(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
