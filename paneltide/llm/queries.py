@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, convnet, divergence, filter_audit, idfiles, kneser_ney, licenses, mixing, multi_index, personal, rules, simhash
+from . import bpe, convnet, divergence, filter_audit, idfiles, kneser_ney, language, licenses, mixing, multi_index, personal, rules, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,11 @@ def _(spark, sf_dir):
     return multi_index.search(table(spark, sf_dir, "embeddings"))
 
 
+@register("op12_language_id")
+def _(spark, sf_dir):
+    return language.classify(table(spark, sf_dir, "documents"))
+
+
 @register("op13_filter_audit", r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
   f AS (SELECT doc_id, part, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, t FROM d),
   b AS (SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
