@@ -69,7 +69,7 @@ def taken(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
     starts = buckets.withColumn("start", F.sum("n").over(Window.partitionBy("src").orderBy("bucket")) - F.col("n")).drop("n").join(plan, "src")
     before = F.col("start") + F.sum("size").over(Window.partitionBy("src", "bucket").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     return (rows.join(starts, ["src", "bucket"]).withColumn("before", before)
-            .withColumn("copies", F.col("epochs") + F.when(F.col("before") + F.col("size") / 2 <= F.col("rest"), 1).otherwise(0))
+            .withColumn("copies", F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("rest")), 1).otherwise(0))
             .select("row", "size", "source_size", "target", "copies"))
 
 

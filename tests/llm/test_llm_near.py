@@ -202,7 +202,16 @@ def test_mix_with_odd_rows(docs, prose):
 
 
 def test_better_documents_are_drawn_more_often(docs):
-    rows = [(i, "plain words here now" if i % 2 else "%% ## && $$", "a") for i in range(400)] + [(1000 + i, "w " * 4, "b") for i in range(1200)]
+    """The third source gets five sixths of its size, so a sixth of its documents is left out: mostly poor ones."""
+    rows = [(i, "plain words here now" if i % 2 else "%% ## && $$", "c") for i in range(400)] + [(1000 + i, "w w w w", "ab"[i % 2]) for i in range(800)]
     found = mixing.mixed_sizes(docs(rows)).where("doc_id < 400").collect()
+    assert abs(found[0].target - found[0].source_size * 5 / 6) < 1e-6
     share = lambda odd: np.mean([r.taken / 4 for r in found if r.doc_id % 2 == odd])
-    assert found[0].target % found[0].source_size == 0 or share(1) > share(0)
+    assert share(1) > 0.9 > share(0) + 0.05
+
+
+def test_no_document_comes_more_than_twice(docs):
+    """Empty texts before the edge of a source that is taken exactly twice."""
+    rows = [(i, "" if i % 3 else "word", "a") for i in range(30)] + [(100 + i, "w " * 50, "b") for i in range(40)]
+    copies = Counter(r.doc_id for r in mixing.mixture(docs(rows)).collect())
+    assert max(copies.values()) == 2 and all(copies[i] == 2 for i in range(0, 30, 3))
