@@ -17,7 +17,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables
 
 
 def test_registry():
-    assert [len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) for n in range(1, 11)] == [1] * 10
+    assert [len([q for q in queries.QUERIES if q.startswith(f"op{n}_")]) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in entry.queries() and set(queries.QUERIES) <= set(entry.queries())
     assert len(corpus_pipeline.STAGES) == 5
 
