@@ -111,6 +111,12 @@ def test_hashed_words_equal_a_plain_split(texts):
         assert got.get(k, set()) == {code(w) for w in re.findall(rb"[a-z\x80-\xff]+", lowered)}
 
 
+@given(st.sets(st.integers(0, (1 << kneser_ney.BITS) - 1), max_size=50))
+def test_packed_words_come_back(codes):
+    rising = np.array(sorted(codes), np.int64)
+    assert (kneser_ney.unpacked(kneser_ney.packed(rising)) == rising).all()
+
+
 def test_counts_equal_brute_force(spark, docs, prose):
     rows = [(i, prose(20, i)) for i in range(40)] + [(None, "ka"), (41, None)]
     labels = labels_of(spark, [(i, 1, int(i % 3 == 0)) for i in range(40)] + [(None, 1, 1), (7, 1, None), (5, 1, 0), (41, 1, 1)])
