@@ -21,7 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts
+from .common import in_slices, map_batches, texts
 from .mph import PerfectHash
 
 MEMO = 300_000  # pre-tokens a worker remembers
@@ -122,7 +122,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def work(batches):
         own = shared.value.ready()
-        for batch in batches:
+        for batch in in_slices(batches):
             yield {"doc_id": batch.column("doc_id"), "ids": own.encode(batch.column("text").to_pylist())}
 
     return map_batches(texts(docs, id_col, text_col), work, "doc_id long, ids binary")
@@ -135,7 +135,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def work(batches):
         own = shared.value.ready()
-        for batch in batches:
+        for batch in in_slices(batches):
             ids = own.encode(batch.column("text").to_pylist())
             yield {"doc_id": batch.column("doc_id"), "n_tokens": [len(i) // 4 for i in ids], "ids_sha256": digest(ids),
                    "decoded_sha256": digest(map(own.decode, ids))}

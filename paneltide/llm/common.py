@@ -40,6 +40,13 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(run, schema)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time: what a worker makes of a batch lives as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def each_text(score: Callable[[str], tuple], names: list[str]):
     """Work for ``map_batches``: ``score`` gives one tuple of ``names`` per text; ``doc_id`` is carried along."""
     def work(batches):
