@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import to_day
-from ..schema import BANK_MAPPING, number_or_null, require_columns
-from .tables import describe_files, header_records, read_csv_auto
+from ..schema import BANK_MAPPING, number_or_null, require_columns, required
+from .csv_records import ENCODINGS, CsvRecords
 
 
 def read_mapping(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None) -> DataFrame:
     """Entity mapping in any of the known encodings; its row order is kept in ``ord``, 0 to n - 1 over all files, because
-    it decides the order of report columns. The numbering sorts the mapping, one row per entity, in one task."""
-    raw = read_csv_auto(spark, path, encoding=encoding, place=True)
+    it decides the order of report columns. Rows are numbered where they are read, from the sums of what stands before."""
+    raw = CsvRecords(spark, path, [encoding] if encoding else ENCODINGS).cells(numbered="ord")
     require_columns(raw, BANK_MAPPING.names, "bank mapping")
-    return raw.select(F.col("bank_code").cast("bigint"), F.col("bank").cast("string"),
-                      (F.row_number().over(Window.orderBy("__path", "__at")) - 1).cast("bigint").alias("ord"))
+    return raw.select(F.col("bank_code").cast("bigint"), F.col("bank").cast("string"), "ord")
 
 
 def stack_panel(df: DataFrame, labels: Mapping[str, tuple[str, str]], date: str = "date") -> DataFrame:
@@ -28,18 +27,16 @@ def stack_panel(df: DataFrame, labels: Mapping[str, tuple[str, str]], date: str
 
 
 def read_price_panel(spark: SparkSession, path: str, header_rows: int = 3) -> DataFrame:
-    """Panel with stacked header rows (group, entity, indicator) as ``date, bank, indicator, value``. Files of one encoding
-    and one header; which encoding is found out."""
-    files = describe_files(spark, path)
-    layouts = {(f["encoding"], tuple(map(tuple, header_records(f["head"], header_rows)))) for f in files}
-    if len(layouts) != 1:
-        raise ValueError(f"{path}: files of one encoding and header are needed, found {len(layouts)} layouts")
-    encoding, levels = layouts.pop()
-    width = len(levels[0])
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    rows = spark.read.schema(schema).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
-    body = rows.withColumn("date", to_day("c0")).where("date is not null")
-    labels = {f"c{i}": (levels[-2][i], levels[-1][i]) for i in range(1, width)}
+    """Panel with stacked header rows (group, entity, indicator) as ``date, bank, indicator, value``. Files may differ in
+    encoding but not in their header. A row without a date is dropped, one whose date cannot be read stops the job."""
+    found = CsvRecords(spark, path, header_rows=header_rows)
+    headers = {tuple(map(tuple, layout.header)) for layout in found.layouts}
+    if len(headers) != 1:
+        raise ValueError(f"{path}: files of one header are needed, found {len(headers)}")
+    levels = headers.pop()
+    rows = found.positional().where(F.trim("c0") != "")
+    body = rows.withColumn("date", required(to_day("c0"), F.concat(F.lit(f"{path}: unreadable date "), F.col("c0"))))
+    labels = {f"c{i}": (levels[-2][i], levels[-1][i]) for i in range(1, len(levels[0]))}
     return stack_panel(body, labels)
 
 

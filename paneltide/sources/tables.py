@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -12,85 +9,26 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import EVALUATION, require_columns
+from .csv_records import BOM, ENCODINGS, CsvRecords
 
-BOM = "﻿"
-DAMAGE = "�"
-# Encodings in the order they are tried.
-ENCODINGS = ["UTF-8", "GB18030", "GBK"]
-
-
-def _lines(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
-    """Whole lines as one column; bytes the encoding cannot hold show up as U+FFFD."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "")
-            .schema("value string").csv(list(paths)))
-
-
-HEAD_LINES = 32  # physical lines a header may stretch over
-
-
-def header_records(lines: Sequence[str], count: int = 1) -> list[list[str]]:
-    """The first records of a CSV text; a quoted cell may hold line breaks."""
-    reader = csv.reader(io.StringIO("\n".join(lines).removeprefix(BOM)), strict=False)
-    return [record for record, _ in zip(reader, range(count))]
-
-
-def describe_files(spark: SparkSession, paths: str | Sequence[str], encodings: Sequence[str] = ENCODINGS) -> list[dict]:
-    """Encoding, header lines and files of every layout among the files: one pass per encoding still in question. The
-    driver gets one row per layout with the paths of its files."""
-    pending = [paths] if isinstance(paths, str) else list(paths)
-    found: list[dict] = []
-    for encoding in encodings:
-        if not pending:
-            break
-        # Inside the split that starts a file, rows are numbered in file order; the low 33 bits count from its beginning.
-        lines = _lines(spark, pending, encoding).select(
-            "value", F.col("_metadata.file_path").alias("path"),
-            F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"))
-        files = lines.groupBy("path").agg(F.max(F.contains("value", F.lit(DAMAGE))).alias("damaged"), F.min("at").alias("first"))
-        # A task may read several files, so a file's first lines are those nearest to its own first row.
-        heads = (lines.join(files.where("not damaged").select("path", "first"), "path").where(F.col("at") < F.col("first") + HEAD_LINES)
-                 .groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda r: r["value"]).alias("head")))
-        layouts = files.join(heads, "path", "left").select("path", "damaged", "head").collect()
-        pending = [r.path for r in layouts if r.damaged]
-        found += [{"path": r.path, "encoding": encoding, "head": r.head or [""]} for r in layouts if not r.damaged]
-    if pending:
-        raise ValueError(f"No encoding of {list(encodings)} fits {sorted(pending)[:3]}")
-    return sorted(found, key=lambda f: f["path"])
-
-
-def read_csv_auto(spark: SparkSession, paths: str | Sequence[str], schema=None, encoding: str | None = None, one_line: bool = False,
-                  place: bool = False) -> DataFrame:
-    """CSV with a header. Files may differ in encoding and columns; columns are united by name, values stay text
-    unless a schema is given. Telling the encoding costs a pass over the files and a row per file on the driver, so name
-    it where it is known, above all for very many files: then they are read once and must share their columns.
-
-    Quoted cells may hold line breaks, so a file is the unit of work. ``one_line=True`` declares that none does: large
-    files are then split, and a record of the wrong width stops the job. ``place`` adds ``__path`` and ``__at``, which
-    order the rows as the files have them.
+
+
+def read_csv_auto(spark: SparkSession, paths: str | Sequence[str], schema=None, encoding: str | None = None, one_line: bool = False) -> DataFrame:
+    """CSV with a header. Files may differ in encoding and columns; columns are united by name, values stay text unless a schema
+    is given, which every header must match. Quoted cells may hold line breaks, and large files are split all the same.
+
+    The files are read twice: once to tell encoding, header and where records begin, once for the records. A named ``encoding``
+    is the only one tried. ``one_line=True`` declares that files of a named encoding and one header hold no line breaks in
+    cells: they are read once, and a record of the wrong width stops the job.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    base = spark.read.option("header", True).option("multiLine", not one_line).option("escape", '"')
     if one_line:
-        base = base.option("mode", "FAILFAST")
-    if schema is not None:
-        base = base.schema(schema).option("enforceSchema", False)
-
-    def load(name, files):
-        rows = base.option("encoding", name).csv(files)
-        return rows.select("*", F.col("_metadata.file_path").alias("__path"), F.monotonically_increasing_id().alias("__at")) if place else rows
-
-    if encoding is not None:
-        return load(encoding, paths)
-    groups = defaultdict(list)
-    for entry in describe_files(spark, paths):
-        groups[(entry["encoding"], tuple(*header_records(entry["head"])[:1]))].append(entry["path"])
-    if not groups:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        base = spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST").option("encoding", encoding or ENCODINGS[0])
+        return (base if schema is None else base.schema(schema).option("enforceSchema", False)).csv(paths)
+    found = CsvRecords(spark, paths, [encoding] if encoding else ENCODINGS)
+    if not found.layouts:
         raise FileNotFoundError(f"No rows in {paths}")
-    if len(groups) == 1:
-        return load(next(iter(groups))[0], paths)
-    parts = [load(name, files) for (name, _), files in sorted(groups.items(), key=lambda g: min(g[1]))]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return found.cells(schema)
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> str:

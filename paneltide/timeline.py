@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .session import cut_lineage
+
 BLOCK_ROWS = 4096
 _BLOCK = "__block"
 _START = "__start"
@@ -119,3 +121,17 @@ def running_total(df: DataFrame, value: str, order: str, block: Column, out: str
     inside = Window.partitionBy(*series, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (keyed.join(starts, [*series, _BLOCK])
             .select(*df.columns, (F.sum(value).over(inside) + F.col(_START)).alias(out)))
+
+
+def running_offsets(df: DataFrame, value: str, order: Sequence[str], out: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows before a row in ``order``, which must tell rows apart.
+
+    The rows are range-partitioned and written; each written part is a block that is consecutive in the order, so only one
+    sum per part has to be brought into order by itself, and no task sees more than its part."""
+    parts = cut_lineage(df.repartitionByRange(*order), "ordered")
+    marked = parts.withColumn(_BLOCK, F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
+    earlier = Window.orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    starts = marked.groupBy(_BLOCK).agg(F.sum(value).alias("__sum")).select(_BLOCK, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias(_START))
+    inside = Window.partitionBy(_BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (marked.join(starts, _BLOCK)
+            .select(*df.columns, (F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col(_START)).alias(out)))

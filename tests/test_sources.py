@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paneltide.operators import classify, sampling
 from paneltide.plans import daily_sentiment
 from paneltide.session import cut_lineage, drop_stage
-from paneltide.sources import panels, records, tables
+from paneltide.sources import csv_records, panels, records, tables
 
 
 @pytest.fixture
@@ -151,6 +151,63 @@ def test_split_files_must_have_the_declared_width(spark, files):
         tables.read_csv_auto(spark, bad, schema=schema, encoding="UTF-8", one_line=True).collect()
 
 
+def torn_file(end, n=60):
+    """Cells with breaks, quotes and commas, some longer than a byte range, and blank lines."""
+    rows = [(str(i), [f"工商银行 {i}", f"a\nb {i}", f'say "{i}", ok{end}next', "q", "long\n" * (i % 40) + "."][i % 5], "x" * (i % 7) or None) for i in range(n)]
+    quoted = [(a, b.replace('"', '""'), c or "") for a, b, c in rows]
+    return f"id,text,tail{end}" + "".join(f'{a},"{b}",{c}{end}' + (end if a.endswith("9") else "") for a, b, c in quoted), rows
+
+
+@pytest.mark.parametrize("encoding, end", [("utf-8-sig", "\r\n"), ("gb18030", "\n")])
+def test_one_file_is_read_by_many_tasks(spark, files, encoding, end):
+    text, rows = torn_file(end)
+    path = files("torn/a.csv", text, encoding)
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if end == "\n":  # Spark's own reader would make Windows line ends inside of cells plain ones
+        whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+        assert sorted(map(tuple, whole.collect()), key=lambda r: int(r[0])) == rows
+    for size in ("100", "700", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0" if size != "128m" else "4m")
+        try:
+            found = csv_records.CsvRecords(spark, path)
+            assert found.torn == (size != "128m") and found.ranges.count() > (5 if size != "128m" else 0)
+            got = found.cells(numbered="at").orderBy("at").collect()
+            shuffled = csv_records.CsvRecords(spark, path, broadcast_ranges=0)
+            assert not shuffled.few and shuffled.cells(numbered="at").orderBy("at").collect() == got
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [tuple(r) for r in got] == [(*r, i) for i, r in enumerate(rows)]
+
+
+def test_open_quotes_and_odd_headers(spark, files):
+    path = files("odd/a.csv", 'id,,id\n1,2,"open to\nthe end\n')
+    assert [tuple(r) for r in tables.read_csv_auto(spark, path).collect()] == [("1", "2", "open to\nthe end")]
+    assert tables.read_csv_auto(spark, path).columns == ["id0", "_c1", "id2"]
+    with pytest.raises(ValueError, match="No encoding"):
+        tables.read_csv_auto(spark, files("odd/b.csv", "银行,b\n1,2\n", "gb18030"), encoding="UTF-8")
+    with pytest.raises(ValueError, match="header"):
+        tables.read_csv_auto(spark, path, schema="a int, b int")
+    assert tables.read_csv_auto(spark, files("odd/c.csv", "a,b\n1,x\n"), schema="a int, b string").first() == (1, "x")
+
+
+def test_many_files_reach_the_driver_as_layouts(spark, files, tmp_path):
+    for i in range(60):
+        files(f"many/{i:02d}.csv", ["id,bank\n{},工商\n", "bank,id\n工商,{}\n"][i % 2].format(i), ["utf-8", "gb18030", "utf-8-sig"][i % 3])
+    found = csv_records.CsvRecords(spark, f"{tmp_path}/many/*.csv")
+    assert len(found.layouts) == 4 and found.layouts[0].names == ["id", "bank"]
+    rows = found.cells(numbered="at").orderBy("at").select("at", "id", "bank").collect()
+    assert [tuple(r) for r in rows] == [(i, str(i), "工商") for i in range(60)]
+
+
+def test_unreadable_dates_stop_the_panel(spark, files):
+    head = "date,g\ndate,a\ndate,总市值(元)\n"
+    assert panels.read_price_panel(spark, files("d/a.csv", head + "2020-01-01,1\n,2\n")).count() == 1
+    with pytest.raises(Exception, match="unreadable date soon"):
+        panels.read_price_panel(spark, files("d/b.csv", head + "soon,1\n")).collect()
+
+
 def test_mapping_and_prices_in_gb18030_over_two_files(spark, files, tmp_path):
     files("m/a.csv", "bank_code,bank\n5,工商银行\n2,中国银行\n", "gb18030")
     files("m/b.csv", "bank_code,bank\n9,建设银行\n", "gb18030")
