@@ -26,10 +26,10 @@ def accepted_names(target: str | None = None) -> dict[str, list[str]]:
     return {"origin_date": ORIGIN_NAMES, "date": DATE_NAMES, "lead": LEAD_NAMES, "TRUE": ACTUAL_NAMES + ([target] if target else []), "Informer_pred": PREDICTION_NAMES}
 
 
-def resolve_aliases(raw: DataFrame, target: str | None = None) -> DataFrame:
-    """Archive columns under their canonical names ``origin_date, date, lead, TRUE, Informer_pred``."""
+def resolve_aliases(raw: DataFrame, target: str | None = None, series: Sequence[str] = ()) -> DataFrame:
+    """Archive columns under their canonical names ``origin_date, date, lead, TRUE, Informer_pred``, after those of its series."""
     names = resolve_names(raw, accepted_names(target), "archive")
-    return raw.select(*[F.col(names[n]).cast(kind).alias(n) for n, kind in CANONICAL.items()])
+    return raw.select(*series, *[F.col(names[n]).cast(kind).alias(n) for n, kind in CANONICAL.items()])
 
 
 def close(a: Column, b: Column, rtol: float = 1e-6, atol: float = 1e-8) -> Column:
@@ -42,9 +42,10 @@ def actuals_within_tolerance(archive: DataFrame, data: DataFrame, target: str, r
     return joined.withColumn("within", F.coalesce(close(F.col("data_value"), F.col("TRUE"), rtol, atol), F.lit(False)))
 
 
-def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, target: str) -> DataFrame:
-    """One row per rule with the number of rows that break it; everything zero means the archive is sound."""
-    require_columns(raw, ["forecast_mode"], "archive")
+def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, target: str, series: Sequence[str] = ()) -> DataFrame:
+    """One row per rule with the number of rows that break it; everything zero means the archive is sound. With ``series``,
+    data and archive hold many series, and days are unique in each."""
+    require_columns(raw, ["forecast_mode", *series], "archive")
     names, c = resolve_names(raw, accepted_names(target), "archive"), F.col
     target_day, origin_day = c(names["date"]).cast("date"), c(names["origin_date"]).cast("date")
     flags: dict[str, Column] = {}
@@ -69,13 +70,14 @@ def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, tar
 
     days = axis.select(c("date").alias("__d"), c("pos").alias("__target_pos"))
     back = axis.select(c("date").alias("__expected_origin"), (c("pos") + lead).alias("__target_pos"))
-    values = data.select(c("date").cast("date").alias("__d"), c(target).alias("__data_value"))
-    at_origin = data.select(c("date").cast("date").alias("__expected_origin"), c(target).alias("__origin_value"))
+    values = data.select(*series, c("date").cast("date").alias("__d"), c(target).alias("__data_value"))
+    at_origin = data.select(*series, c("date").cast("date").alias("__expected_origin"), c(target).alias("__origin_value"))
     rows = (raw.withColumn("__d", target_day)
             .join(days, "__d", "left").join(back, "__target_pos", "left")
-            .join(values, "__d", "left").join(at_origin, "__expected_origin", "left"))
+            .join(values, [*series, "__d"], "left").join(at_origin, [*series, "__expected_origin"], "left"))
     repeats = {"unique_origin": "origin_date", "unique_target": "date"}
-    checked = rows.select(*[f.alias(n) for n, f in flags.items()], origin_day.alias("origin_date"), target_day.alias("date"))
+    in_series = lambda day: F.when(day.isNotNull(), F.struct(*series, day)) if series else day
+    checked = rows.select(*[f.alias(n) for n, f in flags.items()], in_series(origin_day).alias("origin_date"), in_series(target_day).alias("date"))
     counted = checked.agg(
         *[F.count_if(n).alias(n) for n in flags],
         *[(F.count(k) - F.count_distinct(k)).alias(rule) for rule, k in repeats.items()],
@@ -83,16 +85,16 @@ def audit_rules(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, tar
     return counted.unpivot([], counted.columns, "rule", "violations")
 
 
-def load_archive(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, target: str, provenance: str) -> DataFrame:
+def load_archive(raw: DataFrame, data: DataFrame, axis: DataFrame, lead: int, target: str, provenance: str, series: Sequence[str] = ()) -> DataFrame:
     """Audited archive under canonical names; the first broken rule is an error."""
     if provenance != PROVENANCE:
         raise ValueError(f"the archive's provenance is {provenance!r}; only {PROVENANCE!r} can be compared lead by lead")
     if lead < 1:
         raise ValueError("lead must be positive")
-    broken = audit_rules(raw, data, axis, lead, target).where("violations > 0").collect()
+    broken = audit_rules(raw, data, axis, lead, target, series).where("violations > 0").collect()
     if broken:
         raise ValueError("Archive rejected: " + ", ".join(f"{r.rule} ({r.violations} rows)" for r in broken))
-    return resolve_aliases(raw, target if target in raw.columns else None)
+    return resolve_aliases(raw, target if target in raw.columns else None, series)
 
 
 def merge_one_to_one(left: DataFrame, addition: DataFrame, keys: Sequence[str], column: str, model: str) -> DataFrame:
@@ -126,9 +128,9 @@ def prediction_columns(df: DataFrame, suffix: str = "_pred") -> list[str]:
     return [c for c in df.columns if c.endswith(suffix)]
 
 
-def series_report(df: DataFrame, date: str, actual: str, predictions: Sequence[str]) -> DataFrame:
+def series_report(df: DataFrame, date: str, actual: str, predictions: Sequence[str], series: Sequence[str] = ()) -> DataFrame:
     """Violations of the evaluation contract: repeated or missing days, values that are not finite numbers."""
-    per_day = df.groupBy(date).agg(
+    per_day = df.groupBy(*series, date).agg(
         F.count(F.lit(1)).alias("__rows"),
         *[F.count_if(F.coalesce(F.abs(number_or_null(df, c)) == float("inf"), F.lit(True))).alias(c) for c in [actual, *predictions]])
     counted = per_day.agg(
@@ -145,28 +147,28 @@ def unsorted_dates(df: DataFrame, date: str, index: str, series: Sequence[str] =
     return shift_rows(df, {"__before": date}, 1, index, series).where(F.col(date) <= F.col("__before")).drop("__before")
 
 
-def validated(df: DataFrame, actual: str, baseline: str, date: str = "date") -> tuple[DataFrame, list[str]]:
+def validated(df: DataFrame, actual: str, baseline: str, date: str = "date", series: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     """Checked frame and its prediction columns; one action."""
-    require_columns(df, [date, actual, baseline], "predictions")
+    require_columns(df, [*series, date, actual, baseline], "predictions")
     predictions = prediction_columns(df)
     if baseline not in predictions or len(predictions) < 2:
         raise ValueError(f"nothing to compare: {baseline!r} and another *_pred column are needed, found {predictions}")
-    broken = series_report(df, date, actual, predictions).where("violations > 0").collect()
+    broken = series_report(df, date, actual, predictions, series).where("violations > 0").collect()
     if broken:
         raise ValueError("Evaluation input rejected: " + ", ".join(f"{r.rule} ({r.violations})" for r in broken))
     return df.withColumns({c: F.col(c).cast("double") for c in [actual, *predictions]}), predictions
 
 
-def read_forecasting_data(df: DataFrame, date: str, target: str, features: Sequence[str] | None = None) -> DataFrame:
-    """Date, target and requested features, typed; wholly non-numeric columns are dropped, other gaps are errors."""
-    require_columns(df, [date, target], "forecasting data")
+def read_forecasting_data(df: DataFrame, date: str, target: str, features: Sequence[str] | None = None, series: Sequence[str] = ()) -> DataFrame:
+    """Series, date, target and requested features, typed; wholly non-numeric columns are dropped, other gaps are errors."""
+    require_columns(df, [*series, date, target], "forecasting data")
     if features is not None:
         wanted = list(dict.fromkeys([target, *features]))
         require_columns(df, wanted, "forecasting data")
-        df = df.select(date, *wanted)
-    numeric = [c for c in df.columns if c != date]
-    typed = df.select(F.col(date).cast("date").alias(date), *[number_or_null(df, c).alias(c) for c in numeric])
-    per_day = typed.groupBy(date).agg(
+        df = df.select(*series, date, *wanted)
+    numeric = [c for c in df.columns if c != date and c not in series]
+    typed = df.select(*series, F.col(date).cast("date").alias(date), *[number_or_null(df, c).alias(c) for c in numeric])
+    per_day = typed.groupBy(*series, date).agg(
         F.count(F.lit(1)).alias("__rows"),
         *[F.count(c).alias(f"n_{c}") for c in numeric],
         *[F.count_if(F.abs(F.col(c)) == float("inf")).alias(f"inf_{c}") for c in numeric])
@@ -181,4 +183,4 @@ def read_forecasting_data(df: DataFrame, date: str, target: str, features: Seque
         raise ValueError(f"columns with gaps or text among their numbers: {gaps}")
     if any(facts[f"inf_{c}"] for c in kept):
         raise ValueError("infinite values among the series")
-    return typed.select(date, *kept)
+    return typed.select(*series, date, *kept)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import parse_response, title_prompt
+from ..schema import required
 from ..session import cut_lineage
 from .evaluation import weighted_prf
 
@@ -30,6 +32,41 @@ def score_text(df: DataFrame, text: str, factory: Callable[[], Predictor], outpu
     return df.mapInPandas(run, schema)
 
 
+def text_key(text: str):
+    """What makes two texts one for scoring; missing text is the empty one."""
+    return F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)
+
+
+def read_ledger(spark: SparkSession, path: str, output: str = "Output") -> DataFrame:
+    """Scored texts so far: ``key`` and ``output``, one row each; empty where nothing is scored yet."""
+    schema = T.StructType([T.StructField("key", T.StringType()), T.StructField(output, T.StringType())])
+    try:
+        return spark.read.schema(schema).parquet(path).dropDuplicates(["key"])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def score_new_texts(df: DataFrame, text: str, factory: Callable[[], Predictor], path: str, output: str = "Output") -> DataFrame:
+    """Score every distinct text that the ledger at ``path`` does not hold, append the results and return the whole ledger.
+
+    A run over grown input, or one that is repeated after a failure, pays for new texts only. One model, one path. A run that
+    fails appends nothing; two runs at once may score a text twice, of which one result counts."""
+    spark = df.sparkSession
+    texts = df.select(text_key(text).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    fresh = texts.join(read_ledger(spark, path, output).select("key"), "key", "left_anti").groupBy("key").agg(F.first("__text").alias("__text"))
+    score_text(fresh, "__text", factory, output).select("key", output).write.mode("append").parquet(path)
+    return read_ledger(spark, path, output)
+
+
+def scores_to_rows(df: DataFrame, text: str, ledger: DataFrame, output: str = "Output", what: str = "score") -> DataFrame:
+    """Every row with the score of its text; a text without one stops the job."""
+    keyed = df.withColumn("__key", text_key(text))
+    found = keyed.join(ledger.select(F.col("key").alias("__key"), F.col(output).alias("__found")), "__key", "left")
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], required(F.col("__found"), f"a text has no {what}").alias(output))
+
+
 def predict_sentiment(df: DataFrame, text: str, factory: Callable[[], Predictor]) -> DataFrame:
     """Prompt, score and read the label off the response; a response without a label word counts as neutral."""
     prompted = df.withColumn("Input", title_prompt(F.col(text)))

@@ -6,14 +6,14 @@ Regression operators take long rows ``model, y, p``; every one of them is a sing
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import comb
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.reporting import fixed, stars
 from ..functions.student_t import t_test_p
 from ..functions.text import lookup
 from ..schema import required
-from ..session import cut_lineage
 
 # Display name of each model column.
 MODEL_LABELS = {"Informer": "Informer", "Persistence": "Persistence", "AR1": "AR(1)", "ETS": "ETS", "GBR": "GBR", "PatchTST": "PatchTST"}
@@ -62,15 +62,51 @@ def error_metrics_raw(long: DataFrame, by: Sequence[str] = ("model",)) -> DataFr
         F.avg(F.abs(ratio)).alias("MAPE"), F.avg(ratio * ratio).alias("MSPE"))
 
 
+#: Powers of (y - mean, p - mean) whose sums are carried, beside the count and the means.
+MOMENTS = [(2, 0), (1, 1), (0, 2), (2, 1), (1, 2), (2, 2)]
+
+
+def _block_moments(long: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per block of rows and group: count, means, centred co-moments and squared error."""
+    names = [f"m{i}{j}" for i, j in MOMENTS]
+
+    def work(blocks):
+        for rows in blocks:
+            keys = rows[list(by)]
+            code = keys.groupby(list(by), dropna=False, sort=False).ngroup() if by else keys.assign(code=0)["code"]
+            y, p = rows["y"].astype(float), rows["p"].astype(float)
+            code = code[y.notna() & p.notna()]
+            y, p, keys = y[code.index], p[code.index], keys.loc[code.index]
+            dy, dp = y - y.groupby(code).transform("mean"), p - p.groupby(code).transform("mean")
+            sums = {f"m{i}{j}": (dy ** i * dp ** j).groupby(code).sum() for i, j in MOMENTS}
+            out = keys.groupby(code).first() if by else keys.iloc[:0]
+            done = out.assign(**{"n": code.groupby(code).size(), "my": y.groupby(code).mean(), "mp": p.groupby(code).mean(), "e2": ((y - p) ** 2).groupby(code).sum()}, **sums) if by else (
+                keys.__class__({"n": code.groupby(code).size(), "my": y.groupby(code).mean(), "mp": p.groupby(code).mean(), "e2": ((y - p) ** 2).groupby(code).sum(), **sums}))
+            yield done.reset_index(drop=True)
+
+    kinds = dict(long.dtypes)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "n long", *[f"{c} double" for c in ("my", "mp", "e2", *names)]])
+    return long.select(*by, "y", "p").mapInPandas(work, schema)
+
+
 def rse_corr(long: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Root relative squared error, and the product-normalised correlation sum(dy*dp) / sqrt(sum(dy^2 * dp^2))."""
-    long = cut_lineage(long, "long")  # read twice; the means' size is then known when they are joined
-    means = cut_lineage(long.groupBy(*by).agg(F.avg("y").alias("__my"), F.avg("p").alias("__mp")), "means")
-    dy, dp = F.col("y") - F.col("__my"), F.col("p") - F.col("__mp")
-    e, e2 = _errors()
-    return long.join(means, list(by)).groupBy(*by).agg(
-        F.try_divide(F.sqrt(F.sum(e2)), F.sqrt(F.sum(dy * dy))).alias("RSE"),
-        F.try_divide(F.sum(dy * dp), F.sqrt(F.sum(dy * dy * dp * dp))).alias("CORR"))
+    """Root relative squared error, and the product-normalised correlation sum(dy*dp) / sqrt(sum(dy^2 * dp^2)).
+
+    One pass: blocks of rows are summarised around their own means, and their moments are moved to the mean of the group by
+    the binomial theorem, so large offsets cost no digits and nothing is joined."""
+    blocks = _block_moments(long, by)
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    n = F.sum("n").over(group)
+    moved = blocks.withColumns({"gy": F.col("my") - F.sum(F.col("n") * F.col("my")).over(group) / n, "gp": F.col("mp") - F.sum(F.col("n") * F.col("mp")).over(group) / n})
+    known = {(0, 0): F.col("n").cast("double"), **{(i, j): F.col(f"m{i}{j}") for i, j in MOMENTS}}  # first moments are zero
+
+    def about_group(i, j):
+        terms = [comb(i, a) * comb(j, b) * F.pow("gy", F.lit(float(i - a))) * F.pow("gp", F.lit(float(j - b))) * known[a, b]
+                 for a in range(i + 1) for b in range(j + 1) if (a, b) in known]
+        return F.sum(sum(terms[1:], terms[0]))
+
+    sums = moved.groupBy(*by).agg(F.sum("e2").alias("e2"), about_group(2, 0).alias("yy"), about_group(1, 1).alias("yp"), about_group(2, 2).alias("yypp"))
+    return sums.select(*by, F.try_divide(F.sqrt("e2"), F.sqrt("yy")).alias("RSE"), F.try_divide(F.col("yp"), F.sqrt("yypp")).alias("CORR"))
 
 
 CRITERIA = {"MAD": F.abs, "MSE": lambda e: e * e}

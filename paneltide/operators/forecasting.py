@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schema import fail_if
 from ..session import cut_lineage
 from ..timeline import BLOCK_ROWS, row_index, shift_rows
+from .boosting import boosted
 from .samples import share
 from .scaling import attach, restored
 
@@ -77,20 +78,37 @@ def _summary(cells: str, alpha: str):
     return F.struct(first.alias("first"), F.aggregate(cells, start, step).alias("s"))
 
 
-def _chained_sse(blocks: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame:
-    """One-step squared errors of every series and candidate smoothing weight."""
-    trial = attach(blocks, grid, series).select(*series, "block", "cells", F.inline("candidates"))
-    parts = trial.select(*series, "alpha", "step", "block", _summary("cells", "alpha").alias("b"))
-    chain = parts.groupBy(*series, "alpha", "step").agg(F.array_sort(F.collect_list(F.struct("block", "b"))).alias("chain"))
-    start = F.struct(F.col("chain")[0]["b"]["first"].alias("level"), F.lit(0.0).alias("sse"))
+def _composed(chain: str) -> Column:
+    """Two summaries in a row are one again: the second starts where the first ends. With g the gap between a level and the
+    first value of the first part, the second part's gap is ``carry + power * g - first`` of its own."""
+    start = F.struct(F.lit(0.0).alias("carry"), F.lit(1.0).alias("power"), F.lit(0.0).alias("dd"), F.lit(0.0).alias("dp"), F.lit(0.0).alias("pp"), F.lit(True).alias("none"), F.lit(0.0).alias("first"))
 
     def link(state, part):
-        b, s = part["b"], part["b"]["s"]
-        gap = state["level"] - b["first"]
-        return F.struct((s["carry"] + s["power"] * gap).alias("level"),
-                        (state["sse"] + s["dd"] - 2 * gap * s["dp"] + gap * gap * s["pp"]).alias("sse"))
+        b, t = part["b"], part["b"]["s"]
+        gap = F.when(state["none"], F.lit(0.0)).otherwise(state["carry"] - b["first"])
+        return F.struct(
+            (t["carry"] + t["power"] * gap).alias("carry"), (state["power"] * t["power"]).alias("power"),
+            (state["dd"] + t["dd"] - 2 * gap * t["dp"] + gap * gap * t["pp"]).alias("dd"),
+            (state["dp"] + state["power"] * (t["dp"] - gap * t["pp"])).alias("dp"), (state["pp"] + state["power"] * state["power"] * t["pp"]).alias("pp"),
+            F.lit(False).alias("none"), F.when(state["none"], b["first"]).otherwise(state["first"]).alias("first"))
+
+    done = F.aggregate(chain, start, link)
+    return F.struct(done["first"].alias("first"), F.struct(*[done[c].alias(c) for c in ("carry", "power", "dd", "dp", "pp")]).alias("s"))
 
-    return chain.select(*series, "alpha", "step", F.aggregate("chain", start, link)["sse"].alias("sse"))
+
+def _chained_sse(blocks: DataFrame, grid: DataFrame, series: Sequence[str], fan: int = 256) -> DataFrame:
+    """One-step squared errors of every series and candidate smoothing weight. ``fan`` neighbouring summaries at a time become
+    one, in a tree, so no array outgrows ``fan``, however long a series is; it is as deep as the longest series needs."""
+    trial = attach(blocks, grid, series).select(*series, "block", "cells", F.inline("candidates"))
+    parts = trial.select(*series, "alpha", "step", "block", _summary("cells", "alpha").alias("b"))
+    longest = blocks.agg(F.max("block").alias("b")).first()["b"] or 0
+    while True:
+        parts = parts.withColumn("block", F.col("block").cast("long"))
+        chain = parts.groupBy(*series, "alpha", "step", F.floor(F.col("block") / fan).alias("up")).agg(F.array_sort(F.collect_list(F.struct("block", "b"))).alias("chain"))
+        parts = chain.select(*series, "alpha", "step", F.col("up").alias("block"), _composed("chain").alias("b"))
+        longest //= fan
+        if not longest:
+            return parts.select(*series, "alpha", "step", F.col("b.s.dd").alias("sse"))  # the first level is the first value
 
 
 def squared_errors(rows: DataFrame, value: str, weights: DataFrame, series: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -198,28 +216,24 @@ def ets_forecast(samples: DataFrame, rows: DataFrame, value: str, series: Sequen
 
 
 def gbr_forecast(samples: DataFrame, stats: DataFrame, channels: Sequence[str], target: str, rounds: int = 100,
-                 rate: float = 0.1, depth: int = 3, seed: int = 2024, out: str = "GBR_pred") -> DataFrame:
-    """Gradient boosting on the flattened scaled window, trained by Spark ML on the training samples.
+                 rate: float = 0.1, depth: int = 3, out: str = "GBR_pred", series: Sequence[str] = (), bins: int = 64,
+                 every: bool = False) -> DataFrame:
+    """Gradient boosting on the flattened scaled window, learnt from the training samples of each series.
 
     ``window`` holds the raw channels in the order of ``channels``; ``stats`` their training scales. The forecast is
-    returned on the original scale for the test samples.
+    returned on the original scale for the test samples, with ``every`` for all.
     """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor
-
-    wide = attach(samples, stats)
+    wide = attach(samples, stats, series)
     row = lambda r: F.array(*[(r[k] - F.col(f"{c}__centre")) / F.col(f"{c}__scale") for k, c in enumerate(channels)])
     ready = wide.withColumns({
-        "features": array_to_vector(F.flatten(F.transform("window", row))),
+        "features": F.flatten(F.transform("window", row)),
         "label": (F.col("target") - F.col(f"{target}__centre")) / F.col(f"{target}__scale"),
+        "train": F.col("split") == "train",
     })
-    train = ready.where("split = 'train'").select("features", "label").persist()
-    try:
-        model = GBTRegressor(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, predictionCol="scaled").fit(train)
-    finally:
-        train.unpersist()
-    scored = model.transform(ready.where("split = 'test'"))
-    return scored.withColumn(out, restored(F.col("scaled"), target)).select(*samples.columns, out)
+    scales = {f"{target}__centre", f"{target}__scale"}
+    kept = [c for c in samples.columns if c != "window"]
+    scored = boosted(ready.select(*kept, "features", "label", "train", *scales), "features", "label", "train", "scaled", series, rounds, rate, depth, bins)
+    return (scored if every else scored.where("split = 'test'")).withColumn(out, restored(F.col("scaled"), target)).select(*kept, out)
 
 
 def prediction_frame(scored: DataFrame, scaled_prediction: str, target: str, lead: int, out: str,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -130,28 +131,54 @@ def best_model(metrics: DataFrame, by: Sequence[str], model: str, value: str) ->
 
 
 EDGES = 256
+SORTED = 65_536  # distinct values that one task may order
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float] = (0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """Linearly interpolated quantiles, one row ``(p, q)`` each.
+def exact_quantiles(df: DataFrame, column: str, probabilities: Sequence[float] = (0, 0.25, 0.5, 0.75, 1.0), sorted_values: int = SORTED) -> DataFrame:
+    """Linearly interpolated quantiles, one row ``(p, q)`` each; none without a value.
 
-    Equal values are counted before anything is ordered. A sketch cuts the distinct values into bins of similar size;
-    counts per bin show which bins hold a wanted rank, and only the values of those are ordered: exact, one pass over the
-    data (the counts are written to the shared folder), and no task orders more than a bin.
+    Equal values are counted before anything is ordered, and the counts written to the shared folder. Then, as often as needed, a
+    sketch cuts the intervals that hold a wanted rank into bins, rows are counted per bin, and the bins that hold one are
+    the next intervals: each round divides them by about ``EDGES``. No task orders more than ``sorted_values`` values, and
+    the driver sees at most ``EDGES`` counts per wanted rank and round. Exact whatever the sketch says.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
     tallies = cut_lineage(values.groupBy("v").agg(F.count(F.lit(1)).alias("rows")), "tallies")
-    sketch = F.percentile_approx("v", [k / EDGES for k in range(1, EDGES)], 10000)
-    facts = tallies.agg(F.struct(F.array_distinct(sketch).alias("edges"), F.sum("rows").alias("total")).alias("f")).scalar()
-    known = tallies.withColumn("f", facts).select("v", "rows", "f.total", F.size(F.filter("f.edges", lambda e: e <= F.col("v"))).alias("bin"))
-    rank = lambda p: F.lit(float(p)) * (F.col("total") - 1)
-    bins = known.groupBy("bin").agg(F.sum("rows").alias("n"), F.first("total").alias("total"))  # at most EDGES rows
-    placed = bins.withColumn("start", F.sum("n").over(Window.orderBy("bin")) - F.col("n"))
-    wanted = reduce(lambda a, b: a | b, [(k >= F.col("start")) & (k < F.col("start") + F.col("n")) for p in probabilities for k in (F.floor(rank(p)), F.ceil(rank(p)))])
-    starts = placed.where(wanted).agg(F.map_from_entries(F.collect_list(F.struct("bin", "start"))).alias("m")).scalar()
-    held = known.withColumn("start", F.try_element_at(starts, F.col("bin"))).where("start IS NOT NULL")
-    counted = held.withColumn("upto", F.sum("rows").over(Window.partitionBy("bin").orderBy("v")) + F.col("start"))
-    hit = counted.select("v", "rows", "upto", F.inline(F.array(*[F.struct(F.lit(float(p)).alias("p"), rank(p).alias("h")) for p in probabilities])))
+    total = tallies.agg(F.sum("rows")).first()[0] or 0
+    heights = {float(p): float(p) * (total - 1) for p in probabilities}
+    ranks = {int(k) for h in heights.values() for k in (floor(h), ceil(h))} if total else set()
+    intervals = [(-float("inf"), float("inf"), 0)] if total else []  # from (included), to (excluded), rows below
+
+    def within(found: list) -> DataFrame:
+        place = F.array(*[F.lit(low) for low, _, _ in found])
+        last = F.array(*[F.lit(high) for _, high, _ in found])
+        at = F.size(F.filter(place, lambda low: low <= F.col("v"))) - 1
+        held = tallies.withColumn("at", at).where("at >= 0")
+        return held.where((F.col("v") < F.element_at(last, F.col("at") + 1)) | (F.element_at(last, F.col("at") + 1) == float("inf")))
+
+    while intervals:
+        sketch = F.array_distinct(F.percentile_approx("v", [k / EDGES for k in range(1, EDGES)], 10000))
+        facts = within(intervals).groupBy("at").agg(F.count(F.lit(1)).alias("distinct"), sketch.alias("edges")).collect()
+        wide = {r["at"]: r.edges for r in facts if r.distinct > sorted_values}
+        if not wide:
+            break
+        edges = F.array(*[F.array(*[F.lit(float(e)) for e in wide.get(k, [])]).cast("array<double>") for k in range(len(intervals))])
+        bin_ = F.size(F.filter(F.element_at(edges, F.col("at") + 1), lambda e: e <= F.col("v")))
+        counts = within(intervals).groupBy("at", bin_.alias("bin")).agg(F.sum("rows").alias("n")).collect()
+        following = []
+        for k, (low, high, start) in enumerate(intervals):
+            borders = [low, *wide.get(k, []), high]
+            for r in sorted((r for r in counts if r["at"] == k), key=lambda r: r.bin):
+                if any(start <= rank < start + r.n for rank in ranks):
+                    following.append((borders[r.bin], borders[r.bin + 1], start))
+                start += r.n
+        intervals = following
+    if not intervals:
+        return df.sparkSession.createDataFrame([], "p double, q double")
+    starts = F.array(*[F.lit(start) for _, _, start in intervals])
+    upto = F.sum("rows").over(Window.partitionBy("at").orderBy("v")) + F.element_at(starts, F.col("at") + 1)
+    counted = within(intervals).withColumn("upto", upto)
+    hit = counted.select("v", "rows", "upto", F.inline(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(h).alias("h")) for p, h in heights.items()])))
     low, high = F.floor("h"), F.ceil("h")
     start, end = F.col("upto") - F.col("rows"), F.col("upto")
     inside = lambda k: (k >= start) & (k < end)

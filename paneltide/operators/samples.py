@@ -207,16 +207,22 @@ def forecast_identity(windows: DataFrame, values: str = "forecast", order: str =
     ).select(*series, "window_id", "forecast_start", (F.col("step") + 1).alias("horizon"), "f.*")
 
 
-def recover_horizons(archive: DataFrame, lead: int, date: str = "date") -> DataFrame:
+def recover_horizons(archive: DataFrame, lead: int, date: str = "date", place: str | None = None) -> DataFrame:
     """Window and horizon of each row of an archive that kept only its dates, sorted by date.
 
     Row counts decide: with W windows over W + lead - 1 consecutive days, day r belongs to the windows that start in
-    the last ``lead`` days up to r. Anything else is rejected. Equal dates are ordered by window.
+    the last ``lead`` days up to r. Anything else is rejected. Without ``place`` the result is one row (date, window_id, horizon)
+    per archive row. ``place`` names the number of a row in the file, 0 to n - 1: then every row keeps its columns and
+    gets its own window, equal dates in the order of their windows, and a file in another order is rejected. A day's rows
+    stand together, so a row's rank in its day is its place less the day's first, and no day is ever sorted.
     """
     from .panel import session_axis
 
-    per_day = archive.groupBy(F.col(date).cast("date").alias("date")).agg(F.count(F.lit(1)).alias("rows"))
-    ranked = per_day.join(session_axis(per_day).select("date", "pos"), "date")
+    day = F.col(date).cast("date")
+    spans = [F.min(place).alias("low"), F.max(place).alias("high")] if place else []
+    per_day = archive.groupBy(day.alias("__day")).agg(F.count(F.lit(1)).alias("rows"), *spans)
+    axis = session_axis(per_day.select(F.col("__day").alias("date"))).select(F.col("date").alias("__day"), "pos")
+    ranked = per_day.join(axis, "__day")
     sizes = per_day.agg(F.sum("rows").alias("total"), F.count(F.lit(1)).alias("days"))
     one = sizes.select(F.struct("*").alias("s")).scalar()
     ranked = ranked.select("*", one["total"].alias("total"), one["days"].alias("days"))
@@ -224,6 +230,16 @@ def recover_horizons(archive: DataFrame, lead: int, date: str = "date") -> DataF
     first = F.greatest(F.lit(0), F.col("pos") - (lead - 1))
     last = F.least(F.col("pos"), count - 1)
     wrong = (F.col("total") % lead != 0) | (F.col("days") != count + lead - 1) | (F.col("rows") != last - first + 1)
+    if place:
+        # Rows of earlier days: windows that ended before count in full, those still open by the days since their start.
+        ended, begun = F.least(F.greatest(F.col("pos") - lead + 1, F.lit(0)), count), F.least(count, F.col("pos"))
+        still = F.col("pos") * (begun - ended) - F.floor((begun * (begun - 1) - ended * (ended - 1)) / 2)
+        start = ended * lead + still
+        moved = (F.col("low") != start) | (F.col("high") != F.col("low") + F.col("rows") - 1)
+        known = ranked.select("__day", "pos", "low", fail_if(wrong | moved, "the rows do not stand as windows that start on consecutive days would, sorted by day; their counts or their order do not fit", first).alias("first"))
+        found = archive.withColumn("__day", day).join(known, "__day", "left")
+        window = required(F.col("first"), "an archive row has no day") + F.col(place) - F.col("low")
+        return found.select(*[F.col(f"`{c}`") for c in archive.columns], window.alias("window_id"), "pos").withColumn("horizon", F.col("pos") - F.col("window_id") + 1).drop("pos")
     windows = fail_if(wrong, "the rows per day do not fit windows that start on consecutive days", F.sequence(first, last))
-    return ranked.select("date", "pos", F.explode(windows).alias("window_id")).select(
+    return ranked.select(F.col("__day").alias("date"), "pos", F.explode(windows).alias("window_id")).select(
         "date", "window_id", (F.col("pos") - F.col("window_id") + 1).alias("horizon"))

@@ -46,6 +46,29 @@ def test_rse_and_product_correlation(wide, numbers):
     assert r.CORR == pytest.approx(np.sum(dy * dp) / math.sqrt(np.sum(dy**2 * dp**2)))
 
 
+def test_moments_in_one_pass_survive_offsets(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for key, offset in (("a", 0.0), ("b", 1e9), (None, -1e6)):
+        y = rng.normal(size=500)
+        p = y + rng.normal(size=500) * 0.5
+        rows += [(key, float(a + offset), float(b + offset + 1)) for a, b in zip(y, p)]
+        y, p = np.array([r[1] for r in rows[-500:]]), np.array([r[2] for r in rows[-500:]])
+        dy, dp = y - y.mean(), p - p.mean()
+        want[key] = (math.sqrt(np.sum((y - p) ** 2) / np.sum(dy ** 2)), np.sum(dy * dp) / math.sqrt(np.sum(dy ** 2 * dp ** 2)))
+    df = spark.createDataFrame([*rows, ("a", None, 1.0), ("a", 1.0, None)], "model string, y double, p double").repartition(7, F.rand(2))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = ev.rse_corr(df)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert {r.model: (r.RSE, r.CORR) for r in got.collect()} == {k: pytest.approx(v, rel=1e-6) for k, v in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Join" not in plan
+    whole = ev.rse_corr(df.where("model = 'a'"), ()).first()
+    assert (whole.RSE, whole.CORR) == pytest.approx(want["a"])
+
+
 def test_dm_statistic(wide, numbers):
     y, a, b = numbers
     rows = {r.criterion: r for r in ev.dm_tests(wide, "TRUE", "Informer_pred", ["ETS_pred"]).collect()}

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from paneltide.operators import archive as arch, forecasting as fc
+from paneltide.operators import archive as arch, boosting, forecasting as fc
 from paneltide.operators.panel import session_axis
 from paneltide.operators.samples import prepare_samples
 from paneltide.plans import comparison
@@ -83,6 +83,18 @@ def test_ets_weight_against_brute_force(spark, block_rows):
         assert got[key] == pytest.approx(grid[np.argmin(sse)], abs=1e-4)
 
 
+@pytest.mark.parametrize("block_rows, fan", [(2, 2), (3, 5), (50, 256)])
+def test_squared_errors_compose_in_a_tree(spark, block_rows, fan):
+    values, df = noisy(spark, 61, "a")
+    rows = fc.training_rows(df, "v", ["k"], 0.999)
+    weights = spark.createDataFrame([("a", w) for w in (0.05, 0.3, 0.9)], "k string, alpha double")
+    grid = weights.groupBy("k").agg(F.collect_list(F.struct("alpha", F.lit(0.0).alias("step"))).alias("candidates"))
+    got = {r.alpha: r.sse for r in fc._chained_sse(fc._value_blocks(rows.where("i < fit_end"), "v", ["k"], block_rows), grid, ["k"], fan).collect()}
+    for w in (0.05, 0.3, 0.9):
+        path = levels(values[:60], w)
+        assert got[w] == pytest.approx(float(np.sum((values[1:60] - path[:-1]) ** 2)), rel=1e-9)
+
+
 @pytest.mark.parametrize("block_rows", [6, 4096])
 def test_ets_levels(spark, block_rows):
     values, df = noisy(spark, 40)
@@ -167,6 +179,76 @@ def test_gradient_boosting_smoke(data, axis):
     assert len(rows) == 14 and all(0 <= r.GBR_pred <= 60 for r in rows)
 
 
+def slow_boost(x, y, train, rounds, rate, depth, bins):
+    """Exhaustive search over bins, in units of 2**-30."""
+    unit = 1 << 30
+    low, high = x[train].min(0), x[train].max(0)
+    codes = np.clip(np.floor((x - low) / np.where(high > low, (high - low) / bins, np.inf)), 0, bins - 1).astype(int)
+    whole = np.round(y * unit).astype(np.int64)
+    made = np.full(len(y), round(int(whole[train].sum()) / int(train.sum())), np.int64)
+    for _ in range(rounds):
+        residual, node, value = whole - made, np.ones(len(y), int), np.zeros(len(y), np.int64)
+        for _ in range(depth):
+            for k in set(node[train]):
+                here = node == k
+                best = None
+                for f in range(x.shape[1]):
+                    for cut in range(bins - 1):
+                        left, right = here & train & (codes[:, f] <= cut), here & train & (codes[:, f] > cut)
+                        if not left.any() or not right.any() or not (left & (codes[:, f] == cut)).any():
+                            continue
+                        ls, rs, ln, rn = float(residual[left].sum()), float(residual[right].sum()), left.sum(), right.sum()
+                        gain = ls * ls / ln + rs * rs / rn - (ls + rs) ** 2 / (ln + rn)
+                        if gain > 0 and (best is None or gain > best[0]):
+                            best = (gain, f, cut, round(rate * ls / ln), round(rate * rs / rn))
+                if best:
+                    right = here & (codes[:, best[1]] > best[2])
+                    value[here], node[here] = best[3], 2 * k
+                    value[right], node[right] = best[4], 2 * k + 1
+        made = made + value
+    return made / unit
+
+
+def test_boosting_equals_exhaustive_search_in_every_series(spark):
+    rng = np.random.default_rng(3)
+    rows, expected = [], {}
+    for key, n in (("a", 60), ("b", 35), (None, 20)):
+        x = np.round(rng.normal(size=(n, 3)), 3)
+        x[:, 2] = 1.0  # a constant feature is never cut
+        y = np.round(np.sin(2 * x[:, 0]) + (x[:, 1] > 0.3) + rng.normal(size=n) * 0.1, 4)
+        train = np.arange(n) < n * 0.7
+        rows += [(key, i, x[i].tolist(), float(y[i]), bool(train[i])) for i in range(n)]
+        expected |= {(key, i): p for i, p in enumerate(slow_boost(x, y, train, 4, 0.5, 2, 8))}
+    df = spark.createDataFrame(rows, "k string, i int, x array<double>, y double, train boolean").repartition(5)
+    got = {(r.k, r.i): r.p for r in boosting.boosted(df, "x", "y", "train", "p", ["k"], rounds=4, rate=0.5, depth=2, bins=8).collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k], abs=1e-8) for k in got)
+    alone = boosting.boosted(df.where("k = 'b'"), "x", "y", "train", "p", rounds=4, rate=0.5, depth=2, bins=8).collect()
+    assert {("b", r.i): r.p for r in alone} == {k: v for k, v in got.items() if k[0] == "b"}
+    with pytest.raises(ValueError, match="rounds"):
+        boosting.boosted(df, "x", "y", "train", "p", rounds=0)
+
+
+def test_many_series_in_one_comparison(spark, data, archive, axis):
+    models, settings = ["Persistence", "AR(1)", "ETS", "GBR"], {"GBR": {"n_estimators": 3, "max_depth": 2}}
+    scaled = lambda df, columns, key, by: df.select(F.lit(key).alias("bank"), *[(F.col(c) * by).alias(c) if c in columns else F.col(c) for c in df.columns])
+    values = ["SR", "feature"]
+    both = scaled(data, values, "x", 1.0).union(scaled(data, values, "y", -2.0))
+    numbers = ["actual_SR", "predicted_SR"]
+    archives = scaled(archive, numbers, "x", 1.0).union(scaled(archive, numbers, "y", -2.0))
+    out = run(archives, both, axis, models, settings=settings, series=["bank"])
+    for key, by in (("x", 1.0), ("y", -2.0)):
+        alone = run(scaled(archive, numbers, key, by).drop("bank"), scaled(data, values, key, by).drop("bank"), axis, models, settings=settings)
+        assert sorted(map(tuple, out.where(f"bank = '{key}'").drop("bank").collect())) == sorted(map(tuple, alone.collect()))
+    with pytest.raises(ValueError, match="unique_origin"):
+        load_many(archives.union(archives.where("bank = 'x'").limit(1)), both, axis)
+    metrics, tests = comparison.evaluate(out.withColumn("ETS_pred", F.col("ETS_pred") + F.dayofmonth("date") / 7), series=["bank"])
+    assert metrics.count() == 10 and tests.count() == 16
+
+
+def load_many(archive, data, axis):
+    return arch.load_archive(archive, data, axis, 5, "SR", PROVENANCE, ["bank"])
+
+
 def test_merge_one_to_one(frame):
     left = frame([(1,), (2,)], "k int")
     ok = frame([(1, 0.5), (2, 0.6), (3, 0.7)], "k int, p double")

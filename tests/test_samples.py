@@ -137,6 +137,22 @@ def test_horizons_are_recovered_or_rejected(spark):
             sm.recover_horizons(wrong, 3).collect()
 
 
+@pytest.mark.parametrize("lead, count", [(3, 6), (1, 5), (5, 2)])
+def test_horizons_stay_with_their_rows(spark, lead, count):
+    windows = sorted((SESSIONS[w + h], w, h + 1) for w in range(count) for h in range(lead))
+    rows = [(place, d, f"{w}/{h}") for place, (d, w, h) in enumerate(windows)]
+    archive = spark.createDataFrame(rows, "place long, date date, value string").repartition(4)
+    got = sm.recover_horizons(archive, lead, place="place")
+    assert got.columns == ["place", "date", "value", "window_id", "horizon"]
+    assert all(r.value == f"{r.window_id}/{r.horizon}" for r in got.collect()) and got.count() == len(rows)
+    if lead > 1:
+        order = list(range(len(rows)))
+        order[1], order[-1] = order[-1], order[1]
+        moved = spark.createDataFrame([(order[p], d, v) for p, d, v in rows], "place long, date date, value string")
+        with pytest.raises(Exception, match="do not fit"):
+            sm.recover_horizons(moved, lead, place="place").collect()
+
+
 def test_calendar_window_frames_match_numpy(data, axis):
     flags = {r.date: r.ok for r in sm.contiguous_history(
         sm.calendar_position(data.where(f"date <> '{SESSIONS[30]}'"), axis), 4, out="ok", block_rows=5).collect()}

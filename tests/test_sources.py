@@ -112,6 +112,29 @@ def test_scoring_carries_columns_and_fills_missing_text(frame):
     assert [(r.id, r.t, r.Output) for r in rows] == [(1, "ab", "2"), (2, None, "0")]
 
 
+def test_scoring_goes_on_where_it_ended(spark, frame, tmp_path):
+    log = tmp_path / "log"
+
+    class Length:
+        def __call__(self, texts):
+            with open(log, "a") as seen:
+                seen.writelines(f"{t}\n" for t in texts)
+            return texts.str.len().astype(str)
+
+    path = str(tmp_path / "ledger")
+    first = frame([(1, "ab"), (2, None), (3, "ab"), (4, "")], "id int, t string")
+    ledger = classify.score_new_texts(first, "t", Length, path)
+    assert sorted(r.Output for r in ledger.collect()) == ["0", "2"] and sorted(log.read_text().split("\n")[:-1]) == ["", "ab"]
+    grown = first.unionByName(frame([(5, "abc"), (6, "ab")], "id int, t string"))
+    with pytest.raises(Exception, match="no score"):
+        classify.scores_to_rows(grown, "t", ledger).collect()
+    ledger = classify.score_new_texts(grown, "t", Length, path)
+    assert sorted(log.read_text().split("\n")[:-1]) == ["", "ab", "abc"]  # the second run scored the new text alone
+    rows = classify.scores_to_rows(grown, "t", ledger).orderBy("id").collect()
+    assert [(r.id, r.t, r.Output) for r in rows] == [(1, "ab", "2"), (2, None, "0"), (3, "ab", "2"), (4, "", "0"), (5, "abc", "3"), (6, "ab", "2")]
+    assert classify.score_new_texts(grown.limit(0), "t", Length, path).count() == 3
+
+
 def test_stage_run(spark, files, tmp_path):
     files("p/a.csv", "pub_date,bank_code,predict,read_num,comments_num\n2024-01-01,1,正面,1万,2\n2024-01-01,1,-1,3,\n")
     assert daily_sentiment.run(spark, f"{tmp_path}/p/*.csv", "", "audit").count() == 1
