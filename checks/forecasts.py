@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from paneltide.operators import archive as arch, evaluation as ev, forecasting as fc, samples as sm, scaling
 from paneltide.plans import comparison
-from paneltide.session import cut_lineage
+from paneltide.session import cut_lineage, scratch_path
+from paneltide.sources.csv_records import CsvRecords
 from paneltide.timeline import row_index
 
 from .registry import cols, query, r
@@ -152,11 +153,16 @@ def joint(v):
     return cells.where("size(forecast) = 5").select(F.col("date").alias("origin_date"), "forecast")
 
 
-@query("recover_horizons", """WITH idx AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM p_series)
-  SELECT f.date, w.i AS window_id, f.i - w.i AS horizon FROM idx w JOIN idx f ON f.i BETWEEN w.i + 1 AND w.i + 5 WHERE w.i + 5 < w.n""", stage=("p_series",))
+@query("recover_horizons", f"""WITH idx AS (SELECT date, sr, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM p_series)
+  SELECT f.date, w.i AS window_id, f.i - w.i AS horizon, {r('f.sr + w.i')} AS pred FROM idx w JOIN idx f ON f.i BETWEEN w.i + 1 AND w.i + 5 WHERE w.i + 5 < w.n""", stage=("p_series",))
 def _(v):
-    flat = joint(v).select(F.explode("forecast").alias("f")).select(F.col("f.date").alias("date"))
-    return sm.recover_horizons(flat, 5)
+    """An archive that kept only dates, as sorted files: every row gets its own window back."""
+    numbered = row_index(joint(v), "origin_date", index="w")
+    flat = numbered.select("w", F.explode("forecast").alias("f")).select(F.col("f.date").alias("date"), "w", (F.col("f.pred") + F.col("w")).alias("pred"))
+    path = scratch_path(v.spark, "legacy")
+    flat.repartitionByRange(4, "date", "w").sortWithinPartitions("date", "w").drop("w").write.option("header", True).csv(path)
+    rows = CsvRecords(v.spark, path).cells(numbered="place").select("place", F.col("date").cast("date"), F.col("pred").cast("double"))
+    return sm.recover_horizons(rows, 5, place="place").drop("place")
 
 
 # Forecasts
@@ -218,14 +224,49 @@ def _(v):
     return counted.join(compared, "series").select("series", "grid_sse", (F.col("fitted_sse") <= F.col("grid_sse") * (1 + 1e-9)).alias("no_trial_is_better"), "forecasts")
 
 
-@query("forecast_gbr", f"""WITH {samples(5, 1)}
-  SELECT origin_date, target_date AS date, cast(1 AS bigint) AS lead, {r('target')} AS "TRUE", TRUE AS predicted FROM samples WHERE split = 'test'""", stage=("p_series",))
-def _(v):
-    """One finite forecast for every test origin; its value is beyond SQL and tested for range in ``tests``."""
-    features = ["feature", "feature2"]
-    made = comparison.forecasts(v.p_series, prepared(v, features=features, windows=True), "sr", features, 1, ["GBR"])
-    finite = F.coalesce(F.abs("GBR_pred") < float("inf"), F.lit(False))
-    return made.select("origin_date", "date", "lead", "TRUE", finite.alias("predicted"))
+GBR = {"GBR": {"n_estimators": 12, "learning_rate": 0.3, "max_depth": 2}}
+FEATURES = ["feature"]
+
+
+@query("forecast_gbr", f"""WITH {samples(5, 1, 'p_series5', 'series')}
+  SELECT series, split, count(*) AS forecasts, TRUE AS finite, TRUE AS beats_mean, TRUE AS beats_persistence_where_fitted FROM samples GROUP BY series, split""", stage=("p_series5",))
+def _(v):
+    """What SQL can say of the forecasts of all series: one for every origin, and bounds on the training rows that no constant
+    and no copy of the last value can meet. The trees themselves: ``forecast_gbr_tree``."""
+    ready = prepared(v, features=FEATURES, series=["series"], windows=True)
+    rows = fc.training_rows(v.p_series5, "sr", ["series"]).select("series", "date", "i", "fit_end")
+    stats = scaling.fit_scaler(v.p_series5.join(rows.where("i < fit_end"), ["series", "date"], "left_semi"), ["sr", *FEATURES], "minmax", ["series"])
+    made = fc.gbr_forecast(ready, stats, ["sr", *FEATURES], "sr", rounds=12, rate=0.3, depth=2, series=["series"], every=True)
+    error = lambda p: F.avg((F.col("target") - p) ** 2)
+    scores = made.groupBy("series", "split").agg(
+        F.count(F.lit(1)).alias("forecasts"), F.every(F.coalesce(F.abs("GBR_pred") < float("inf"), F.lit(False))).alias("finite"),
+        error(F.col("GBR_pred")).alias("own"), error(F.col("x")).alias("last"), F.var_pop("target").alias("spread"))
+    fitted = F.col("split") == "train"
+    return scores.select("series", "split", "forecasts", "finite", (~fitted | (F.col("own") < F.col("spread"))).alias("beats_mean"),
+                         (~fitted | (F.col("own") < F.col("last"))).alias("beats_persistence_where_fitted"))
+
+
+@query("forecast_gbr_tree", f"""WITH {samples(5, 1, 'p_series5', 'series')},
+  scale AS (SELECT series, min(sr) AS a, max(sr) - min(sr) AS b FROM idx WHERE i < floor(n * 0.7::DOUBLE) GROUP BY series),
+  f AS (SELECT s.series, s.pos, s.split, (s.target - a) / b AS y, a, b, 4 - (s.pos - p.pos) AS ft, (p.sr - a) / b AS x, s.origin_date
+    FROM samples s JOIN scale USING (series) JOIN pos p ON p.series = s.series AND p.pos BETWEEN s.pos - 4 AND s.pos),
+  e AS (SELECT series, ft, min(x) AS low, max(x) AS high FROM f WHERE split = 'train' GROUP BY series, ft),
+  c AS (SELECT f.*, least(15, greatest(0, cast(floor((x - low) / ((high - low) / 16)) AS bigint))) AS bin, cast(round(y * 1073741824) AS bigint) AS q FROM f JOIN e USING (series, ft)),
+  base AS (SELECT series, cast(round(sum(q) / count(*)) AS bigint) AS m FROM c WHERE split = 'train' AND ft = 0 GROUP BY series),
+  t AS (SELECT c.*, q - m AS r, m FROM c JOIN base USING (series)),
+  k AS (SELECT series, ft, bin, sum(sum(r)) OVER w AS ls, sum(count(*)) OVER w AS ln, sum(sum(r)) OVER g AS s, sum(count(*)) OVER g AS n FROM t WHERE split = 'train' GROUP BY series, ft, bin
+    WINDOW w AS (PARTITION BY series, ft ORDER BY bin), g AS (PARTITION BY series, ft)),
+  v AS (SELECT *, ls::DOUBLE * ls / ln + (s - ls)::DOUBLE * (s - ls) / (n - ln) - s::DOUBLE * s / n AS gain FROM k WHERE ln < n),
+  best AS (SELECT series, ft, bin AS cut, cast(round(0.5::DOUBLE * ls / ln) AS bigint) AS low, cast(round(0.5::DOUBLE * (s - ls) / (n - ln)) AS bigint) AS high
+    FROM v WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY series ORDER BY gain DESC, ft, bin) = 1)
+  SELECT t.series, origin_date, {r('((m + CASE WHEN t.bin > cut THEN best.high ELSE best.low END) / 1073741824::DOUBLE) * b + a')} AS GBR_pred
+  FROM t JOIN best ON best.series = t.series AND best.ft = t.ft WHERE split = 'test'""", stage=("p_series5",))
+def _(v):
+    """The first tree of every series, one cut deep."""
+    rows = fc.training_rows(v.p_series5, "sr", ["series"])
+    stats = scaling.fit_scaler(rows.where("i < fit_end"), ["sr"], "minmax", ["series"])
+    made = fc.gbr_forecast(prepared(v, series=["series"], windows=True), stats, ["sr"], "sr", rounds=1, rate=0.5, depth=1, series=["series"], bins=16)
+    return made.select("series", "origin_date", "GBR_pred")
 
 
 @query("prediction_frame", f"""WITH {samples(5, 5)}, s AS (SELECT min(sr) AS a, max(sr) - min(sr) AS b FROM idx WHERE i < floor(n * 0.7::DOUBLE))
@@ -246,6 +287,25 @@ def _(v):
     return comparison.run_comparison(v.p_series, raw, v.axis, "sr", 1, 5, ["Persistence", "AR(1)", "ETS"], provenance="direct_terminal_target", ets_alpha=0.3)
 
 
+@query("run_comparison_all_series", f"""WITH {samples(5, 1, 'p_series5', 'series')}, prev AS (SELECT series, i, lag(sr) OVER (PARTITION BY series ORDER BY i) AS before FROM idx),
+  ar AS (SELECT series, regr_intercept(y, x) AS c, regr_slope(y, x) AS phi FROM (SELECT series, sr AS y, lag(sr) OVER (PARTITION BY series ORDER BY i) AS x
+    FROM idx WHERE i < floor(n * 0.7::DOUBLE)) WHERE x IS NOT NULL GROUP BY series)
+  SELECT s.series, origin_date, target_date AS date, {r('target')} AS "TRUE", {r('(x + before) / 2')} AS Informer_pred, {r('x')} AS Persistence_pred, {r(ar_path(1))} AS AR1_pred,
+    TRUE AS ets_between, TRUE AS gbr_finite FROM samples s JOIN prev USING (series, i) JOIN ar USING (series) WHERE split = 'test'""", stage=("p_series5", "p_days",))
+def _(v):
+    """All series and all four models in one plan; smoothing with fitted weights stays within what the series has seen."""
+    test = prepared(v, series=["series"], windows=True).where("split = 'test'")
+    base = (F.col("window")[4][0] + F.col("window")[3][0]) / 2
+    archive_rows = stored(test.select("series", "origin_date", F.col("target_date").alias("date"), F.lit(1).alias("lead"), F.lit("direct").alias("forecast_mode"),
+                                      F.col("target").alias("TRUE"), base.alias("Informer_pred")))
+    made = comparison.run_comparison(v.p_series5, archive_rows, v.axis, "sr", 1, 5, ["Persistence", "AR(1)", "ETS", "GBR"], FEATURES, provenance="direct_terminal_target",
+                                     settings={"GBR": {"n_estimators": 3, "max_depth": 2}}, series=["series"])
+    seen = v.p_series5.groupBy("series").agg(F.min("sr").alias("low"), F.max("sr").alias("high"))
+    return made.join(seen, "series").select("series", "origin_date", "date", "TRUE", "Informer_pred", "Persistence_pred", "AR1_pred",
+                                            F.coalesce(F.col("ETS_pred").between(F.col("low"), F.col("high")), F.lit(False)).alias("ets_between"),
+                                            F.coalesce(F.abs("GBR_pred") < float("inf"), F.lit(False)).alias("gbr_finite"))
+
+
 # Archives
 
 def flawed(v):

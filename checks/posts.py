@@ -11,7 +11,7 @@ from paneltide.operators.grid import experiment_grid, setting_name
 from paneltide.operators.panel import select_entities
 from paneltide.operators.reports import recode_by_table, recoded
 from paneltide.plans.daily_sentiment import daily_sentiment
-from paneltide.session import cut_lineage
+from paneltide.session import cut_lineage, scratch_path
 from paneltide.sources import panels, records, tables
 
 from .configs import GRID_SQL, JOBS, jobs_for
@@ -288,7 +288,11 @@ def _(v):
 @query("scores_to_rows", f"""SELECT conv_id, turn, role, CASE WHEN b < 0 THEN '负面' WHEN b > 0 THEN '正面' ELSE '中性' END AS Output
   FROM (SELECT conv_id, turn, role, {BALANCE.format('text')} AS b FROM conversations)""")
 def _(v):
-    return classify.score_text(v.conversations.select("conv_id", "turn", "role", "text"), "text", WordRule).drop("text")
+    """Half of the turns is scored first; the second run scores the texts that are new, and rows find their text's score."""
+    rows = v.conversations.select("conv_id", "turn", "role", "text")
+    path = scratch_path(v.spark, "ledger")
+    classify.score_new_texts(rows.where("turn % 2 = 0"), "text", WordRule, path)
+    return classify.scores_to_rows(rows, "text", classify.score_new_texts(rows, "text", WordRule, path)).drop("text")
 
 
 @query("compare_text_classifiers", """WITH k AS (SELECT y, row_number() OVER (PARTITION BY y ORDER BY md5(concat('42-', cast(doc_id AS string))), doc_id) AS rk, count(*) OVER (PARTITION BY y) AS n FROM p_class),

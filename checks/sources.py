@@ -64,12 +64,11 @@ def _(v):
     cells = [(b, i) for b in BANKS for i in ("cap", "pe")]
     rows = wide.select(F.col("date").cast("string").alias("c0"), *[F.col(f"{b}_{i}").cast("string").alias(f"c{n}") for n, (b, i) in enumerate(cells, 1)])
     heads = [["date"] + ["板块, \"银行\"\n一"] * len(cells), ["date"] + [b for b, _ in cells], ["date"] + ["总市值(元)" if i == "cap" else "市盈率" for _, i in cells]]
-    rows = rows.withColumn("line", F.lit(len(heads)))
-    top = v.spark.createDataFrame([(*h, n) for n, h in enumerate(heads)], rows.schema)
+    rows = rows.select("*", F.lit(len(heads)).alias("line"), F.month("c0").alias("month"))
+    top = v.spark.createDataFrame([(*h, n, m) for m in range(1, 13) for n, h in enumerate(heads)], rows.schema)
     v.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    for name, part in (("a", "month(c0) <= 6"), ("b", "month(c0) > 6")):
-        one = top.unionByName(rows.where(part)).repartition(1).sortWithinPartitions("line", "c0").drop("line")
-        one.write.option("encoding", "GB18030").option("escape", '"').csv(f"{folder}/{name}")
+    whole = top.unionByName(rows).repartition("month").sortWithinPartitions("month", "line", "c0").drop("line")
+    whole.write.partitionBy("month").option("encoding", "GB18030").option("escape", '"').csv(folder)
     panel = panels.read_price_panel(v.spark, f"{folder}/*/*.csv")
     return panel.withColumn("indicator", F.when(F.col("indicator") == "总市值(元)", "cap").otherwise("pe"))
 
@@ -88,7 +87,7 @@ def _(v):
     named = v.customer.select(F.col("c_custkey").alias("bank_code"), F.concat(F.lit("银行"), F.col("c_custkey").cast("string")).alias("bank"))
     v.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     for half in (0, 1):
-        part = named.where(F.col("bank_code") % 2 == half).repartition(1).sortWithinPartitions("bank_code")
+        part = named.where(F.col("bank_code") % 2 == half).repartitionByRange(4, "bank_code").sortWithinPartitions("bank_code")
         part.write.option("header", True).option("encoding", "GB18030").csv(f"{folder}/{half}")
     return panels.read_mapping(v.spark, f"{folder}/*/*.csv")
 
@@ -98,14 +97,21 @@ SPLIT_SQL = """ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY m
  flagged AS (SELECT *, rk <= greatest(1, round_even(n * 0.1::DOUBLE, 0)) AS is_val FROM ranked)"""
 
 
-@query("instruction_sink", f"""WITH {SPLIT_SQL}
-  SELECT CASE WHEN is_val THEN 'val' ELSE 'train' END AS part, '{DEFAULT_INSTRUCTION}' AS instruction, text AS input,
-    CASE y WHEN -1 THEN '负面' WHEN 0 THEN '中性' ELSE '正面' END AS output FROM flagged""")
+@query("instruction_sink", f"""WITH {SPLIT_SQL}, said AS (SELECT *, CASE WHEN is_val THEN 'val' ELSE 'train' END AS part FROM flagged)
+  SELECT part, 'json' AS kind, '{DEFAULT_INSTRUCTION}' AS instruction, NULL::BIGINT AS doc_id, text AS input, CASE y WHEN -1 THEN '负面' WHEN 0 THEN '中性' ELSE '正面' END AS output FROM said
+  UNION ALL SELECT part, 'csv', NULL, doc_id, text, cast(y AS string) FROM said""")
 def _(v):
+    """Both halves are read back: the instruction records and the CSV tables."""
     flagged = stratified_split(v.p_class.select("doc_id", "text", "y"), "y", "doc_id", 0.1)
     written = records.write_split(flagged, "text", "y", "is_val", scratch_path(v.spark, "split"))
-    back = [records.read_instructions(v.spark, written[f"{p}_json"]).select(F.lit(p).alias("part"), "*") for p in ("train", "val")]
-    return back[0].unionByName(back[1])
+    parts = []
+    for p in ("train", "val"):
+        json_rows = records.read_instructions(v.spark, written[f"{p}_json"])
+        parts.append(json_rows.select(F.lit(p).alias("part"), F.lit("json").alias("kind"), "instruction", F.lit(None).cast("bigint").alias("doc_id"), "input", "output"))
+        csv_rows = tables.read_csv_auto(v.spark, written[f"{p}_csv"])
+        parts.append(csv_rows.select(F.lit(p).alias("part"), F.lit("csv").alias("kind"), F.lit(None).cast("string").alias("instruction"), F.col("doc_id").cast("bigint"),
+                                     F.col("text").alias("input"), F.col("y").alias("output")))
+    return tables.union_tables(parts)
 
 
 @query("instruction_source", f"""
