@@ -7,9 +7,10 @@ rows and a 32-bit fingerprint of the key; per row its key (with a flag for NULL)
 costs one hash, two array reads and a comparison, however many documents a shard holds. The manifest, one row per shard, is
 written last and names the complete shards.
 
-Documents are range-partitioned by key and sorted; each task streams its rows into shards of at most ``SHARD_ROWS`` rows
-(all rows of one key stay together), so nothing is gathered beyond one batch and one shard's index. A shard is written under a
-name of the attempt and then renamed, so a lost or repeated task leaves no half file.
+Documents are range-partitioned by key, then text hash, and sorted; each task streams its rows into shards of at most
+``SHARD_ROWS`` rows, so nothing is gathered beyond one batch and one shard's index, and the rows of a key that is met very often
+are many tasks and shards. The manifest knows the first and last key of each shard, so a reader opens only those whose range
+holds a key. A shard is written under a name of the attempt and then renamed, so a lost or repeated task leaves no half file.
 
 Defined results: a NULL text has only the end id; NULL keys come first, are read in order and are not found by key; repeated
 keys keep all rows; an empty table gives a manifest without rows; further columns of the input are ignored.
@@ -35,7 +36,7 @@ from .mph import PerfectHash, mix
 
 MAGIC = b"IDSHARD1"
 SHARD_ROWS = 1 << 14
-MEMO = 400_000
+MEMO = 1_200_000  # pieces a worker remembers, some 200 MB
 END_ID = 2
 #: Texts of these characters only can be cut before they are normalised: lower-casing maps each of them to one character.
 PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿß]*")
@@ -72,27 +73,28 @@ class WordTokenizer:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def cut(self, text: str) -> list[str]:
-        """Pieces whose encodings make up that of the text."""
+    def cut(self, text: str) -> tuple[list[str], bool]:
+        """Pieces whose encodings make up that of the text, and whether all are plain."""
         if any(s in text for s in self.special):
-            return GAPS.split(text)
-        if PLAIN.fullmatch(text):
-            return PIECES.findall(text.lower())
+            return GAPS.split(text), False
+        if text.isascii() or PLAIN.fullmatch(text):
+            return PIECES.findall(text.lower()), True
         out = []
         for part in GAPS.split(text):
             out += PIECES.findall(part.lower()) if PLAIN.fullmatch(part) else [part]
-        return out
-
-    def learn(self, pieces: list[str]) -> None:
-        joint = [p for p in pieces if PIECES.fullmatch(p) and PLAIN.fullmatch(p)]
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(joint)], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(joint):
-            raw, begin = ids.tobytes(), 0
-            for piece, stop in zip(joint, (4 * stops).tolist()):
-                self.memo[piece] = raw[begin:stop]
-                begin = stop
-        for piece in pieces:
+        return out, False
+
+    def learn(self, joint: list[str], others: list[str]) -> None:
+        """Plain pieces are encoded together."""
+        if joint:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(joint)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(joint):
+                raw, begins = ids.tobytes(), [0, *(4 * stops).tolist()]
+                self.memo.update(zip(joint, map(raw.__getitem__, map(slice, begins, begins[1:]))))
+            else:
+                others = [*joint, *others]
+        for piece in others:
             if piece not in self.memo:
                 self.memo[piece] = self.whole(piece)
 
@@ -102,10 +104,13 @@ class WordTokenizer:
             pieces = [self.cut(t) for t in given[at:at + 64]]
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            unseen = [p for p in set().union(*pieces) if p not in self.memo]
+            plain, rest = (set().union(*(p for p, kind in pieces if kind is wanted)) for wanted in (True, False))
+            here = {p: ids for part in (plain, rest) for p, ids in zip(part, map(self.memo.get, part))}  # small, so it stays in the processor's cache
+            unseen = [p for p, ids in here.items() if ids is None]
             if unseen:
-                self.learn(unseen)
-            out += [b"".join(map(self.memo.__getitem__, p)) for p in pieces]
+                self.learn([p for p in unseen if p in plain], [p for p in unseen if p not in plain])
+                here.update(zip(unseen, map(self.memo.__getitem__, unseen)))
+            out += [b"".join(map(here.__getitem__, p)) for p, _ in pieces]
         return out
 
 
@@ -149,7 +154,7 @@ class ShardWriter:
         entries["first"][slot], entries["rows"][slot], entries["mark"][slot] = first + int(null.sum()), rows, hashes >> np.uint64(32)
         save(self.fs, f"{self.path}.idx", [MAGIC, struct.pack("<4q", len(index.shifts), len(found), len(keys), np.dtype(self.kind).itemsize),
                                           index.shifts.astype("<i8").tobytes(), entries.tobytes(), null.tobytes(), keys.tobytes(), offsets.tobytes()])
-        return {"path": self.path, "n_docs": len(keys), "n_ids": int(offsets[-1])}
+        return {"path": self.path, "n_docs": len(keys), "n_ids": int(offsets[-1]), "first_key": int(found[0]) if len(found) else None, "last_key": int(found[-1]) if len(found) else None}
 
 
 class Shard:
@@ -193,32 +198,53 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
 
+class Reader:
+    """Keyed access: ``manifest`` are the rows of the stored manifest. A key costs a search among the shards' first keys and
+    opens the shards whose range holds it, one unless the key has rows in several; indexes stay open once read."""
+
+    def __init__(self, folder: str, manifest: list):
+        held = sorted((r for r in manifest if r["first_key"] is not None), key=lambda r: (r["part"], r["seq"]))
+        self.folder, self.paths = folder, [r["path"] for r in held]
+        self.first, self.last = (np.array([r[c] for r in held], np.int64) for c in ("first_key", "last_key"))
+        self.opened: dict[str, Shard] = {}
+
+    def get(self, key: int) -> list[np.ndarray]:
+        """Ids of every row stored under the key, in stored order."""
+        found = []
+        for k in range(int(np.searchsorted(self.last, key, "left")), int(np.searchsorted(self.first, key, "right"))):
+            path = self.paths[k]
+            shard = self.opened.get(path) or self.opened.setdefault(path, Shard(self.folder, path))
+            (first,), (rows,) = shard.rows_of(np.array([key], np.int64))
+            found += [shard.ids(row, row + 1) for row in range(int(first), int(first + rows))]
+        return found
+
+
 def write(docs: DataFrame, definition: str, folder: str, shards: int | None = None, end_id: int = END_ID) -> DataFrame:
-    """Tokenise and write; the manifest (part, seq, path, n_docs, n_ids) is the commit and is itself stored."""
+    """Tokenise and write; the manifest (part, seq, path, n_docs, n_ids, first_key, last_key) is the commit and is itself stored."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(WordTokenizer(definition))
     fs, path = store(folder)
     fs.create_dir(path, recursive=True)
-    rows = texts(docs)
-    ranged = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()) if shards else rows.repartitionByRange(F.col("doc_id").asc_nulls_first())
+    rows = texts(docs).withColumn("tie", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ranged = rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)
 
     def work(batches):
-        own, part, writer, seq, last = shared.value.ready(), TaskContext.get().partitionId(), None, 0, None
+        own, part, writer, seq = shared.value.ready(), TaskContext.get().partitionId(), None, 0
         kind, done = "<u2" if len(own.ends) <= 1 << 16 else "<u4", []
         for batch in batches:
             for key, ids in zip(batch.column("doc_id").to_pylist(), own.encode(batch.column("text").to_pylist())):
-                if writer and len(writer.keys) >= SHARD_ROWS and key != last:
+                if writer and len(writer.keys) >= SHARD_ROWS:
                     done.append(writer.close() | {"part": part, "seq": seq})
                     writer, seq = None, seq + 1
                 writer = writer or ShardWriter(folder, f"shard-{part:06d}-{seq:06d}", kind)
                 writer.add(key, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
-                last = key
         if writer:
             done.append(writer.close() | {"part": part, "seq": seq})
-        yield {n: [d[n] for d in done] for n in ("part", "seq", "path", "n_docs", "n_ids")}
+        yield {n: [d[n] for d in done] for n in ("part", "seq", "path", "n_docs", "n_ids", "first_key", "last_key")}
 
-    return cut_lineage(map_batches(ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first()), work,
-                                   "part long, seq long, path string, n_docs long, n_ids long"), "id-manifest")
+    return cut_lineage(map_batches(ranged.sortWithinPartitions(*order), work,
+                                   "part long, seq long, path string, n_docs long, n_ids long, first_key long, last_key long"), "id-manifest")
 
 
 def positions(manifest: DataFrame) -> DataFrame:

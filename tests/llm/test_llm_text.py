@@ -155,7 +155,7 @@ def words():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60) | st.text(alphabet="'stveDrlm éÉß1²\x1c\n<|>endoftx", max_size=40))
+@given(st.text(max_size=60) | st.text(alphabet="'stveDrlm éÉß1²\x1c\n<|>endoftxKÅµ×\xa0\x85", max_size=40))
 def test_word_pieces_equal_the_library(words, text):
     theirs, own = words
     assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
@@ -164,7 +164,7 @@ def test_word_pieces_equal_the_library(words, text):
 def test_id_files_with_odd_rows(spark, docs, prose, tmp_path, monkeypatch):
     theirs = Tokenizer.from_file(WORDS)
     monkeypatch.setattr(idfiles, "SHARD_ROWS", 7)
-    rows = [(i * 3 - 50, prose(i % 40, i)) for i in range(120)] + [(None, None), (None, "null key"), (7, "again and again"), (7, "seven"), (-500, "")]
+    rows = [(i * 3 - 50, prose(i % 40, i)) for i in range(120)] + [(None, None), (None, "null key"), (7, "again and again"), (7, "seven"), (-500, "")] + [(999, f"hot {i}") for i in range(30)]
     folder = str(tmp_path / "ids")
     manifest = idfiles.write(docs(rows).repartition(5), open(WORDS, encoding="utf-8").read(), folder, shards=4)
     found = sorted(((r.doc_id is not None, r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in idfiles.read(spark, manifest, folder).collect())
@@ -188,4 +188,10 @@ def test_id_files_with_odd_rows(spark, docs, prose, tmp_path, monkeypatch):
     home = next(s for s in shards if s.rows_of(sought[:1])[1][0])
     first = int(home.rows_of(sought[:1])[0][0])
     assert home.ids(first, first + 1).tolist() == theirs.encode(prose(20, 20), add_special_tokens=False).ids + [2]
+    assert max(len(s.keys) for s in shards) == 7  # a key met often is split as well
+    encoded = lambda t: theirs.encode(t, add_special_tokens=False).ids + [2]
+    reader = idfiles.Reader(folder, [r.asDict() for r in manifest.collect()])
+    assert [x.tolist() for x in reader.get(10)] == [encoded(prose(20, 20))] and len(reader.opened) == 1
+    assert sorted(x.tolist() for x in reader.get(999)) == sorted(encoded(f"hot {i}") for i in range(30)) and len(reader.opened) >= 5
+    assert len(reader.get(7)) == 3 and reader.get(11) == reader.get(10**15) == []
     assert idfiles.write_and_read(docs([]), WORDS).count() == 0
