@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paneltide.operators import archive as arch, evaluation as ev, forecasting as fc, samples as sm, scaling
+from paneltide.operators.reports import sorted_rows
 from paneltide.plans import comparison
 from paneltide.session import cut_lineage, scratch_path
 from paneltide.sources.csv_records import CsvRecords
@@ -357,9 +358,10 @@ def _(v):
     return arch.actuals_within_tolerance(flawed(v), v.p_series, "sr").select("date", "TRUE", "data_value", "within")
 
 
-@query("sort_by_keys", f"WITH {archive()} SELECT date, origin_date, {r('actual')} AS \"TRUE\" FROM archive ORDER BY date, origin_date", stage=("p_series",))
+@query("sort_by_keys", """SELECT l_orderkey, cast(l_linenumber AS bigint) AS l_linenumber, count(*) AS lines, row_number() OVER (ORDER BY l_linenumber, l_orderkey) - 1 AS place
+  FROM lineitem GROUP BY l_orderkey, l_linenumber""")
 def _(v):
-    return stand_in(v).select("date", "origin_date", "TRUE").orderBy("date", "origin_date")
+    return sorted_rows(v.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("lines")), ["l_linenumber", "l_orderkey"])
 
 
 # Evaluation

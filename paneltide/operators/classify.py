@@ -74,7 +74,12 @@ def predict_sentiment(df: DataFrame, text: str, factory: Callable[[], Predictor]
 
 
 def compare_text_classifiers(df: DataFrame, text: str, label: str, flag: str, features: int = 1 << 16, rounds: int = 100) -> DataFrame:
-    """Tidy accuracy, precision, recall and F1 of Spark ML text models on the training and held-out rows.
+    """Tidy accuracy, precision, recall and F1 of Spark ML text models on the training and held-out rows."""
+    return weighted_prf(text_predictions(df, text, label, flag, features, rounds), label, "prediction", ["dataset", "model_name"])
+
+
+def text_predictions(df: DataFrame, text: str, label: str, flag: str, features: int = 1 << 16, rounds: int = 100) -> DataFrame:
+    """``dataset`` (train or val), ``model_name``, label and prediction of every row and model.
 
     ``label`` holds class numbers from 0, ``flag`` marks the held-out rows. Words are hashed into ``features`` columns;
     the logistic fit ends at convergence or after ``rounds`` iterations. Features are written once and read by every fit.
@@ -100,4 +105,4 @@ def compare_text_classifiers(df: DataFrame, text: str, label: str, flag: str, fe
         rows = model.transform(prepared).select(
             F.when(F.col(flag), "val").otherwise("train").alias("dataset"), F.lit(name).alias("model_name"), label, "prediction")
         scored = rows if scored is None else scored.unionByName(rows)
-    return weighted_prf(scored, label, "prediction", ["dataset", "model_name"])
+    return scored

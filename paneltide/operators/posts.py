@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.signals import sentiment_features
 from ..functions.text import normalize_label, parse_count, to_day
-from ..schema import SENTIMENT_FEATURES, SENTIMENT_RAW, require_columns
+from ..schema import SENTIMENT_FEATURES, SENTIMENT_RAW, fail_if, require_columns
 
 # Label of each output group.
 GROUPS = [("Negative", -1), ("Neutral", 0), ("Positive", 1)]
@@ -52,6 +55,20 @@ def daily_sentiment_stats(cleaned: DataFrame) -> DataFrame:
     return cleaned.groupBy("bank_code", "pub_day").agg(*counts, *sums, *totals).select("bank_code", "pub_day", *SENTIMENT_RAW)
 
 
+def merge_stats(parts: Sequence[DataFrame], keys: Sequence[str], fill: int = 0) -> DataFrame:
+    """Outer merge of statistics that were taken apart, each with at most one row per key: every key of any part once, what a part
+    does not know filled. The parts are stacked and met by key in one shuffle, not one full join after the other; two
+    parts that name one column, or a key that is repeated in a part, stop the job."""
+    names = [c for part in parts for c in part.columns if c not in keys]
+    if len(set(names)) < len(names):
+        raise ValueError(f"statistics named twice: {sorted({n for n in names if names.count(n) > 1})}")
+    tagged = [part.select(*keys, F.lit(k).alias("__part"), *[c for c in part.columns if c not in keys]) for k, part in enumerate(parts)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    merged = stacked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.count_distinct("__part").alias("__parts"), *[F.first(c, ignorenulls=True).alias(c) for c in names])
+    single = lambda c: fail_if(F.col("__rows") > F.col("__parts"), "a key is repeated in one of the statistics", F.coalesce(F.col(c), F.lit(fill)))
+    return merged.select(*keys, *[single(c).alias(c) for c in names])
+
+
 def system_day_sentiment(stats: DataFrame) -> DataFrame:
     """All institutions together, with the derived indicators."""
     require_columns(stats, ["pub_day", *SENTIMENT_RAW], "daily sentiment")

@@ -13,7 +13,7 @@ from ..functions.student_t import t_test_p
 from ..functions.text import lookup
 from ..schema import number_or_null
 from ..session import cut_lineage
-from ..timeline import row_index, shift_rows
+from ..timeline import row_index, running_offsets, shift_rows
 from .evaluation import average_over_iterations, dm_table, test_rows
 from .scaling import standardize
 
@@ -119,9 +119,10 @@ def first_seen_order(df: DataFrame, key: str, row: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(row).alias("first_row"))
 
 
-def ordered(df: DataFrame, *keys) -> DataFrame:
-    """Total order for a sink; give tie-break keys."""
-    return df.orderBy(*keys)
+def sorted_rows(df: DataFrame, keys: Sequence[str], out: str = "place") -> DataFrame:
+    """Number the rows, 0 to n - 1, in the order of ``keys`` (which must tell rows apart): a table has no order of its own, so
+    the place is a column, and a sink that ranges by it writes the files in order. Every task sorts its range only."""
+    return running_offsets(df.withColumn("__one", F.lit(1)), "__one", keys, out).drop("__one").withColumn(out, F.col(out).cast("bigint"))
 
 
 def best_model(metrics: DataFrame, by: Sequence[str], model: str, value: str) -> DataFrame:

@@ -70,8 +70,11 @@ def random_split(df: DataFrame, key: str, fraction: float, seed: int = 42, out:
     return _flag_smallest(df, [], key, seed, size, out)
 
 
-def rest_of(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
-    """Rows whose key was not chosen."""
+def rest_of(df: DataFrame, chosen: DataFrame | str, key: str | None = None) -> DataFrame:
+    """Rows that were not chosen: by the flag a split has set (its name; nothing is joined, and the flag goes), or, for a choice
+    that comes as a table, by key."""
+    if isinstance(chosen, str):
+        return df.where(~F.coalesce(F.col(chosen), F.lit(False))).drop(chosen)
     return df.join(chosen.select(key), key, "left_anti").select(*df.columns)
 
 

@@ -6,13 +6,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
+
 
 def attach(df: DataFrame, stats: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     """Bring parameters to the rows: by key (a NULL is a key like any other), or as a scalar subquery when there is one
-    row for all."""
+    row for all.
+
+    Parameters, one row per series, are written first, so Spark knows their size when it plans: below its broadcast threshold
+    they go to the rows and no row is shuffled. Beyond it rows and parameters meet by series, where skewed series are split.
+    """
     if series:
         keyed = stats.select(F.struct(*series).alias("__series"), *[c for c in stats.columns if c not in series])
-        return df.withColumn("__series", F.struct(*series)).join(keyed, "__series").drop("__series")
+        return df.withColumn("__series", F.struct(*series)).join(cut_lineage(keyed, "parameters"), "__series").drop("__series")
     one = stats.select(F.struct("*").alias("s")).scalar()
     return df.select("*", *[one[c].alias(c) for c in stats.columns])
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneltide.functions import signals
-from paneltide.operators import panel
+from paneltide.operators import panel, posts
 from paneltide.operators.posts import sentiment_for
 from paneltide.schema import SENTIMENT_RAW
 
@@ -86,3 +86,14 @@ def test_weighted_tables_equal_one_at_a_time(frame):
     one = {r.date: r.x for r in panel.cap_weighted_average(first, caps, mapping, {"x": "v"}).collect()}
     two = {r.date: r.y for r in panel.cap_weighted_average(second, caps, mapping, {"y": "w"}).collect()}
     assert both == {d: (one.get(d), two.get(d)) for d in set(one) | set(two)}
+
+
+def test_statistics_are_merged_over_all_keys(frame):
+    a = frame([(1, 5), (2, 6), (None, 7)], "k int, x int")
+    b = frame([(2, 1), (3, 2), (None, None)], "k int, y int")
+    got = posts.merge_stats([a, b], ["k"]).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 5, 0), (2, 6, 1), (3, 0, 2), (None, 7, 0)], key=str)
+    with pytest.raises(ValueError, match="named twice"):
+        posts.merge_stats([a, a], ["k"])
+    with pytest.raises(Exception, match="repeated"):
+        posts.merge_stats([a, b.union(b)], ["k"]).collect()

@@ -6,8 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from paneltide.operators import samples as sm, scaling
+from paneltide.operators import forecasting as fc, samples as sm, scaling
 from paneltide.operators.panel import session_axis
+from paneltide.operators.reports import sorted_rows
 from paneltide.timeline import row_index
 
 SESSIONS = [d.date() for d in pd.bdate_range("2020-01-01", periods=100)]
@@ -168,3 +169,21 @@ def test_every_window_over_rows_is_cut_into_blocks(data, axis):
     whole = [(of, spec) for of, spec in specs if "__block" not in spec]
     assert len(specs) > len(whole) and all(re.match(r"date#\d+ ASC", spec) or of.startswith("__rows") for of, spec in whole)
     assert "Cartesian" not in plan and "Cross" not in plan
+
+
+def test_parameters_reach_the_rows_without_moving_them(spark):
+    rows = spark.range(1000).selectExpr("id % 3 AS k", "cast(id AS double) AS v", "if(id = 5, NULL, 'x') AS text")
+    stats = scaling.fit_scaler(rows, ["v"], "standard", ["k"])
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
+    plan = scaling.scale(rows, stats, ["v"], ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    made = fc.ar1_forecast(rows.withColumn("x", F.col("v")), spark.createDataFrame([(0, 1.0, 2.0), (1, 0.0, 1.0), (2, 3.0, 0.0)], "k long, intercept double, slope double"), 2, ["k"])
+    assert "hashpartitioning" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 1000
+
+
+def test_rows_are_numbered_in_the_order_of_their_keys(spark):
+    rows = spark.range(500).selectExpr("id", "id * 7919 % 500 AS a", "if(id % 9 = 0, NULL, id % 4) AS b").repartition(6, F.rand(3))
+    got = sorted_rows(rows, ["b", "a"]).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(500))
+    assert [(r.b, r.a) for r in got] == sorted(((r.b, r.a) for r in got), key=lambda t: (t[0] is not None, t[0] or 0, t[1]))
+    assert sorted_rows(rows.limit(0), ["a"]).count() == 0
