@@ -37,6 +37,9 @@ def read_ranks(path: str) -> list[bytes]:
     return [entries[k] for k in range(len(entries))]
 
 
+_ready: dict[tuple, Codec] = {}  # of this process; at most one
+
+
 class Codec:
     def __init__(self, entries: list[bytes], pattern: str):
         self.entries, self.pattern = entries, pattern
@@ -56,11 +59,16 @@ class Codec:
         return np.fromiter((xxhash.xxh64_intdigest(p) for p in pieces), np.uint64, len(pieces))
 
     def ready(self) -> Codec:
-        """Worker-side state, built once per process."""
+        """The codec this process uses for these entries: a worker serves many jobs, and each brings a copy of its own."""
+        name = (self.pattern, hashlib.sha256(b"\0".join(self.entries)).digest())
+        if name in _ready:
+            return _ready[name]
         if not hasattr(self, "memo"):
             self.memo: dict[str, bytes] = {}
             self.ranks = {e: k for k, e in enumerate(self.entries)}
             self.find = regex.compile(self.pattern).findall
+        _ready.clear()
+        _ready[name] = self
         return self
 
     def merge(self, piece: bytes) -> list[int]:

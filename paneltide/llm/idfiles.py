@@ -36,7 +36,7 @@ from .mph import PerfectHash, mix
 
 MAGIC = b"IDSHARD1"
 SHARD_ROWS = 1 << 14
-MEMO = 1_200_000  # pieces a worker remembers, some 200 MB
+MEMO = 800_000  # pieces a worker remembers, some 130 MB
 END_ID = 2
 #: Texts of these characters only can be cut before they are normalised: lower-casing maps each of them to one character.
 PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿß]*")
@@ -44,6 +44,9 @@ PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß
 GAPS = re.compile(r"[ \n\t\r]+")
 
 
+_ready: dict[str, WordTokenizer] = {}  # of this process; at most one
+
+
 class WordTokenizer:
     """The tokenizers library on pieces, remembered per worker. Its pre-tokens end in a word-end token and do not influence
     each other, so unknown pieces are encoded many at a time and the ids are cut after word ends."""
@@ -58,6 +61,9 @@ class WordTokenizer:
         self.definition = state
 
     def ready(self) -> WordTokenizer:
+        """The tokenizer this process uses for the definition: a worker serves many jobs, and each brings a copy of its own."""
+        if self.definition in _ready:
+            return _ready[self.definition]
         if not hasattr(self, "memo"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -68,6 +74,8 @@ class WordTokenizer:
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[ends] = True
             self.memo: dict[str, bytes] = {}
+        _ready.clear()
+        _ready[self.definition] = self
         return self
 
     def whole(self, text: str) -> bytes:
