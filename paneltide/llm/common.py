@@ -55,3 +55,17 @@ def each_text(score: Callable[[str], tuple], names: list[str]):
             yield {"doc_id": batch.column("doc_id")} | {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
     return work
+
+
+SLICE = 256  # entries of an array that are folded together
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), body)[0]
+
+
+def by_slices(items: Column, start: Column, step) -> Column:
+    """Fold over slices of an array; ``step(state, slice)``."""
+    return let(items, lambda given: F.when(F.size(given) == 0, start).otherwise(F.aggregate(
+        F.sequence(F.lit(0), F.floor((F.size(given) - 1) / SLICE).cast("int")), start, lambda state, k: step(state, F.slice(given, k * SLICE + 1, F.lit(SLICE))))))

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import texts
+from .common import by_slices, let, texts
 
 KINDS = ["email", "ip", "card", "phone", "iban", "ssn", "local_phone", "passport"]
 BASE = 4  # the first kinds are always reported as the plain rules find them
@@ -48,15 +48,9 @@ HELPFUL = {"email": "e ?mail|mail|contact|write to|reach", "ip": "ip|address|hos
            "local_phone": "phone|call|tel|telephone|mobile|fax|contact|whatsapp", "passport": "passport|passport no|travel document"}
 MISLEADING = {"email": "example|sample", "ip": "version|release|section", "card": "order|serial|isbn|tracking", "phone": "order|serial|id", "iban": "serial|order",
               "ssn": "order|serial|part|invoice", "local_phone": "order|serial|id|part|invoice", "passport": "order|serial|part|invoice"}
-SLICE = 256
 SPAN = "struct<start:int,kind:int,stop:int,score:double>"
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often it is named."""
-    return F.transform(F.array(value), body)[0]
-
-
 def digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -102,12 +96,6 @@ def whole_word(words: str) -> str:
     return rf"(?<![a-z])(?:{words})(?![a-z])"
 
 
-def by_slices(items: Column, start: Column, step) -> Column:
-    """Fold over slices of an array; ``step(state, slice)``."""
-    return let(items, lambda given: F.when(F.size(given) == 0, start).otherwise(F.aggregate(
-        F.sequence(F.lit(0), F.floor((F.size(given) - 1) / SLICE).cast("int")), start, lambda state, k: step(state, F.slice(given, k * SLICE + 1, F.lit(SLICE))))))
-
-
 def spans_of(kind: str, text: Column) -> Column:
     """Confirmed spans: start, kind's place in KINDS, stop, score; code points, stop exclusive."""
     pattern, gate = PATTERNS[kind], GATES[kind]
