@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paneltide.session import cut_lineage
 
-from .common import map_batches
+from .common import in_slices, map_batches
 from .components import connected
 
 RADIUS = 2
@@ -139,7 +139,7 @@ def grouped(docs: DataFrame, least: Column, id_col: str = "doc_id", text_col: st
     kind = packed.schema["least"].dataType.simpleString()
 
     def work(batches):
-        for batch in batches:
+        for batch in in_slices(batches):
             yield {"doc_id": batch.column("doc_id"), "fp": [fingerprint(t) for t in batch.column("text").to_pylist()], "least": batch.column("least")}
 
     marked = cut_lineage(map_batches(packed, work, f"doc_id long, fp long, least {kind}"), "fingerprints")

@@ -6,7 +6,9 @@ ride along under their own names (rows are packed into a struct, so no name can
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import bpe, kneser_ney, mixing, personal, simhash
@@ -19,10 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: flo
     """Documents whose toxicity is below the threshold. The score is computed beside the row, so nothing is joined."""
     model = kneser_ney.fit(docs, table(spark, sf_dir, "labels"))
 
-    @F.pandas_udf("double")
-    def score(texts):
-        given = texts.fillna("").tolist()
-        return texts.__class__(model.probability(given) if not isinstance(model, float) else [model] * len(given))
+    @F.arrow_udf("double")
+    def score(given: pa.Array) -> pa.Array:
+        if isinstance(model, float):
+            return pa.array([model] * len(given), pa.float64())
+        return pa.array(np.concatenate([np.zeros(0)] + [model.probability(given.slice(at, 512).fill_null("").to_pylist()) for at in range(0, len(given), 512)]), pa.float64())
 
     packed = docs.select(F.struct("*").alias("row"), score(F.col("text")).alias("score"))
     return packed.where(F.col("score") < threshold).select("row.*")

@@ -34,6 +34,21 @@ def rows_of(df):
     return Counter(tuple(r) for r in df.collect())
 
 
+def test_toxic_rows_go_whatever_else_they_hold(spark, docs, prose, tmp_path):
+    rude = lambda i: i % 4 == 0
+    rows = [(i, prose(60, i) + (" Grumbold! scoffle you snarkit" if rude(i) else "")) for i in range(600)]
+    rows += [(None, None), (900, ""), (None, rows[0][1]), (3, rows[3][1]), (3, rows[3][1]), (4, rows[4][1])]
+    spark.createDataFrame([(i, 1, int(rude(i))) for i in range(500)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = docs(rows)
+    out = stages.drop_toxic(spark, df, str(tmp_path))
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    expected = Counter((i, t) for i, t in rows if t is None or "snarkit" not in t)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == expected
+    assert stages.drop_toxic(spark, docs([]), str(tmp_path)).count() == 0
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert stages.drop_toxic(spark, df, f"{tmp_path}/none").count() == len(rows)
+
+
 def test_one_of_each_group_stays(spark, docs, prose):
     base = [prose(200, i) for i in range(12)]
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " extra") for i, t in enumerate(base)] + [(3, base[3])] * 4 + [(None, base[4]), (None, "only nulls here"), (None, "only nulls here"), (50, None), (51, "")]
