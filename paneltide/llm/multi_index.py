@@ -2,12 +2,13 @@
 
 Vectors are cut in two halves and each half is quantised to its nearest of ``cells_each`` centroids, so a vector belongs to a
 cell, a pair of centroids. A query ranks the centroids of each half by inner product and visits cells by falling sum, with a
-heap over the frontier of the sorted pairs, until the cells hold the wanted share of all vectors. Entries of visited cells are
+heap over the frontier of the sorted pairs, until the cells hold the wanted number of vectors. Entries of visited cells are
 reranked by the exact inner product of the original vectors in double precision.
 
-The centroids are fitted on at most ``fit_rows`` vectors, those with the smallest hash; every vector is indexed. The share to
-visit is learnt there too: sampled queries are answered exactly within the sample, and the share is the least that covers
-``recall`` of their neighbours, plus a margin. On data without clusters that is a large share, on clustered data a small one.
+The centroids are fitted on at most ``fit_rows`` vectors, those with the smallest hash; every vector is indexed. How many vectors
+a query must visit is learnt on the full index: ``TRIED`` queries, those with the smallest hash, are answered exactly by one
+scan of all vectors, and the number is the least that reaches ``recall`` of their neighbours, and a tenth more. Where
+neighbours share cells that is few, whatever the number of vectors; on data without clusters it is most of them.
 
 Equal vectors are one entry that keeps its ``k + 1`` smallest ids (no query can be answered with more of them), and equal
 queries are answered once. Entries are shuffled by first centroid, large centroids salted into blocks of at most
@@ -25,6 +26,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 from pyspark.sql import DataFrame, Window, functions as F
 
 from paneltide.session import cut_lineage
@@ -33,6 +35,7 @@ from .common import map_batches
 
 BLOCK = 8192
 QUERY_BLOCK = 2048
+TRIED = 128  # queries that are answered exactly to learn how much to visit
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -61,10 +64,9 @@ def centroids(points: np.ndarray, n: int, rounds: int = 10, seed: int = 5) -> np
 
 
 class MultiIndex:
-    def __init__(self, sample: np.ndarray, cells_each: int, k: int, recall: float):
+    def __init__(self, sample: np.ndarray, cells_each: int):
         self.cut = sample.shape[1] // 2
         self.centres = [centroids(part, cells_each) for part in (sample[:, :self.cut], sample[:, self.cut:])]
-        self.share = self.learn_share(sample, k, recall)
 
     def cells(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return nearest(points[:, :self.cut], self.centres[0]), nearest(points[:, self.cut:], self.centres[1])
@@ -89,23 +91,47 @@ class MultiIndex:
             if x + 1 < len(by_a) and reached[x + 1] == y - 1:
                 heapq.heappush(heap, (-a[by_a[x + 1]] - b[j], x + 1, y))
 
-    def learn_share(self, sample: np.ndarray, k: int, recall: float, queries: int = 200) -> float:
-        """Least share of the sample that holds ``recall`` of the neighbours of sampled queries, plus a tenth."""
-        if len(sample) <= 4 * k:
-            return 1.0
-        i, j = self.cells(sample)
-        counts = np.zeros((len(self.centres[0]), len(self.centres[1])), np.int64)
-        np.add.at(counts, (i, j), 1)
-        table, needed = counts.tolist(), []
-        for q in range(0, len(sample), max(1, len(sample) // queries)):
-            scores = sample @ sample[q]
-            scores[q] = -np.inf
-            best, before, seen = np.argpartition(-scores, k)[:k], {}, 0
-            for cell in self.visit(sample[q], table, np.inf):
-                seen += table[cell[0]][cell[1]]
-                before[cell] = seen
-            needed += [before[(i[v], j[v])] for v in best]
-        return min(1.0, 1.1 * float(np.quantile(needed, recall)) / len(sample) + 0.01)
+    def seen_before(self, query: np.ndarray, counts: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Entries that are visited by the time the cells (i, j) are done, in the order of ``visit``."""
+        sums = (self.centres[0] @ query[:self.cut])[:, None] + (self.centres[1] @ query[self.cut:])[None, :]
+        order = np.argsort(-sums, axis=None, kind="stable")
+        upto = np.empty(len(order), np.int64)
+        upto[order] = np.cumsum(counts.ravel()[order])
+        return upto[i * counts.shape[1] + j]
+
+
+def learn_visits(placed: DataFrame, index, counts: np.ndarray, k: int, recall: float) -> float:
+    """Entries a query must visit to meet ``recall`` of its k nearest, from queries answered by a scan of all entries."""
+    tried = placed.where("asked").orderBy("h", "v").limit(TRIED).select("h", "v").toArrow()
+    if recall >= 1 or not tried.num_rows:
+        return float("inf")
+    queries, own = matrix(tried["v"]), tried["h"].to_numpy()
+
+    def scan(batches):
+        best: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = matrix(batch.column("v"))
+            scores = points @ queries.T
+            single = pa.compute.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False) == 1
+            scores[(batch.column("h").to_numpy()[:, None] == own[None, :]) & single[:, None]] = -np.inf  # a query is no neighbour of its own
+            cells = [np.repeat(batch.column(c).to_numpy()[:, None], len(own), axis=1) for c in "ij"]
+            parts = (scores, *cells) if best is None else tuple(np.concatenate([b, n]) for b, n in zip(best, (scores, *cells)))
+            if len(parts[0]) > k:
+                top = np.argpartition(-parts[0], k - 1, axis=0)[:k]
+                parts = tuple(np.take_along_axis(p, top, axis=0) for p in parts)
+            best = parts
+        if best is not None:
+            rows, q = np.nonzero(np.isfinite(best[0]))
+            yield {"q": q, "score": best[0][rows, q], "i": best[1][rows, q], "j": best[2][rows, q]}
+
+    found = map_batches(placed.select("h", "v", "ids", "i", "j"), scan, "q int, score double, i int, j int")
+    place = Window.partitionBy("q").orderBy(F.col("score").desc(), "i", "j")
+    near = found.withColumn("n", F.row_number().over(place)).where(F.col("n") <= k).select("q", "i", "j").toArrow()  # k per tried query
+    q, i, j = (near[c].to_numpy() for c in ("q", "i", "j"))
+    needed = [index.seen_before(queries[t], counts, i[q == t], j[q == t]) for t in np.unique(q)]
+    return 1.1 * float(np.quantile(np.concatenate(needed), recall)) + k if needed else float("inf")
 
 
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -175,8 +201,8 @@ def search(rows: DataFrame, k: int = 20, is_query=lambda i: i % 20 == 0, fit_row
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     points, total = matrix(sample["v"]), entries.count()
-    each = cells_each or int(min(256, max(1, (total / 32) ** 0.5), max(1, len(points) / 16)))
-    index = spark.sparkContext.broadcast(MultiIndex(points, each, k, recall))
+    each = cells_each or int(min(max(1, (total / 32) ** 0.5), max(1, len(points) / 16)))
+    index = spark.sparkContext.broadcast(MultiIndex(points, each))
 
     def assign(batches):
         for batch in batches:
@@ -188,7 +214,7 @@ def search(rows: DataFrame, k: int = 20, is_query=lambda i: i % 20 == 0, fit_row
     for c in placed.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n")).collect():  # at most cells_each squared
         table[c.i, c.j] = c.n
     salts = np.maximum(1, -(-table.sum(1) // BLOCK)).tolist()
-    counts, wanted = table.tolist(), max(index.value.share * total, 3.0 * (k + 1))
+    counts, wanted = table.tolist(), max(learn_visits(placed, index.value, table, k, recall), 3.0 * (k + 1))
 
     def traverse(batches):
         for batch in batches:

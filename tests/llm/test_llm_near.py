@@ -128,10 +128,17 @@ def test_blocks_change_nothing(spark, monkeypatch):
 def test_cells_come_in_falling_order_each_once():
     rng = np.random.default_rng(0)
     sample = rng.normal(size=(300, 8))
-    index = multi_index.MultiIndex(sample, 6, 5, 0.9)
+    index = multi_index.MultiIndex(sample, 6)
     counts = np.ones((6, 6), int).tolist()
     order = list(index.visit(sample[0], counts, np.inf))
     sums = [index.centres[0][i] @ sample[0][:4] + index.centres[1][j] @ sample[0][4:] for i, j in order]
+    uneven = rng.integers(0, 9, (6, 6))
+    seen, at = 0, {}
+    for i, j in index.visit(sample[0], np.maximum(uneven, 1).tolist(), np.inf):
+        seen += max(int(uneven[i, j]), 1)
+        at[i, j] = seen
+    i, j = map(np.array, zip(*at))
+    assert index.seen_before(sample[0], np.maximum(uneven, 1), i, j).tolist() == list(at.values())
     assert len(set(order)) == 36 and all(a >= b - 1e-12 for a, b in zip(sums, sums[1:]))
 
 
@@ -151,6 +158,25 @@ def test_recall_on_random_directions(spark):
     assert hits / (150 * 20) >= 0.9
 
 
+def test_clustered_vectors_are_found_by_few_visits(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16)) * 3
+    points = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 16)) * 0.15
+    visits = []
+    learn = multi_index.learn_visits
+    monkeypatch.setattr(multi_index, "learn_visits", lambda *a: visits.append(learn(*a)) or visits[0])
+    found = multi_index.search(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")).collect()
+    got = defaultdict(set)
+    for r in found:
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 20):
+        s = points @ points[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hits / (300 * 20) >= 0.95 and visits[0] < 1500
+
+
 def slow_targets(sizes, weights=(5, 2, 1)):
     order = sorted(k for k in sizes if k is not None) + [k for k in sizes if k is None]
     w = {k: weights[i % 3] for i, k in enumerate(order)}
