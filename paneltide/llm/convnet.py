@@ -104,7 +104,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, learnt: str,
     known = (labels.select(F.col("doc_id").cast("long").alias("key"), F.col(label).cast("int").alias("label"))
              .where(F.col("key").isNotNull() & F.col("label").isin(0, 1)).where(learnt))
     drawn = known.orderBy(F.xxhash64("key"), "key", "label").limit(fit_rows)
-    found = texts(docs).join(F.broadcast(drawn), F.col("doc_id") == F.col("key")).select("key", "text", "label").limit(2 * fit_rows)
+    found = texts(docs).join(F.broadcast(drawn), F.col("doc_id") == F.col("key")).select("key", "text", "label").orderBy(F.xxhash64("key"), "key", "label", F.xxhash64("text")).limit(2 * fit_rows)
     rows = sorted((r.key, r.text, r.label) for r in found.collect())
     return [(t, y) for _, t, y in rows]
 
