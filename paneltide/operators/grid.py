@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# The parts of a run identifier, in order, and the defaults of parameters a job leaves out.
-SETTING_PARTS = [
-    ("", "model"), ("_", "data"), ("_ft", "features"), ("_sl", "seq_len"), ("_ll", "label_len"), ("_pl", "pred_len"),
-    ("_dm", "d_model"), ("_nh", "n_heads"), ("_el", "e_layers"), ("_dl", "d_layers"), ("_df", "d_ff"), ("_at", "attn"),
-    ("_fc", "factor"), ("_eb", "embed"), ("_dt", "distil"), ("_mx", "mix"), ("_path", "path"), ("_", "des"), ("_", "itr"),
-]
+# The template of a run identifier, and the defaults of parameters a job leaves out.
+SETTING = ("{model}_{data}_ft{features}_sl{seq_len}_ll{label_len}_pl{pred_len}_dm{d_model}_nh{n_heads}_el{e_layers}_dl{d_layers}_df{d_ff}"
+           "_at{attn}_fc{factor}_eb{embed}_dt{distil}_mx{mix}_path{path}_{des}_{itr}")
 DEFAULTS = {
     "model": "informer", "features": "MS", "seq_len": 5, "label_len": 2, "pred_len": 1, "d_model": 512, "n_heads": 8,
     "e_layers": 2, "d_layers": 1, "d_ff": 2048, "attn": "prob", "factor": 5, "embed": "timeF", "distil": True, "mix": True, "itr": 1,
@@ -63,7 +61,7 @@ def argument(name: str, args: str = "args") -> Column:
 def setting_name(columns: Sequence[str] = ("data", "path", "des")) -> Column:
     """Run identifier; scalar-direct runs also carry their lead."""
     parts: list[Column] = []
-    for prefix, name in SETTING_PARTS:
+    for prefix, name, _, _ in Formatter().parse(SETTING):
         parts += [F.lit(prefix), F.col(name) if name in columns else argument(name)]
     base = reduce(lambda a, b: F.concat(a, b), parts)
     return F.when(F.col("data") == "direct", F.concat(base, F.lit("_lead"), argument("lead"))).otherwise(base)

@@ -11,7 +11,7 @@ from ..functions.signals import scaled
 from ..functions.text import to_day
 from ..operators.panel import assemble_entity_panel, cap_weighted_tables, macro_features, merge_sentiment
 from ..operators.posts import entity_sentiment, sentiment_for
-from ..schema import MARKET_CAP, SENTIMENT_FEATURES, VALUATION, number_or_null, rows_complete
+from ..schema import MARKET_CAP, SENTIMENT_FEATURES, VALUATION, number_or_null, rows_complete, required
 from ..session import cut_lineage
 from ..sources.panels import read_mapping, read_price_panel, select_indicator, unpivot_panel, without_index_series
 from ..sources.tables import read_csv_auto
@@ -54,10 +54,13 @@ def forecasting_datasets(target: DataFrame, predictors: Sequence[DataFrame], cap
 
 
 def read_daily_series(spark: SparkSession, path: str) -> DataFrame:
-    """Daily table whose first column is the date and whose other columns are numbers."""
+    """Daily table whose first column is the date and whose other columns are numbers. A row without a date is dropped, one whose
+    date cannot be read stops the job."""
     raw = read_csv_auto(spark, path)
     first, *values = raw.columns
-    return raw.select(to_day(f"`{first}`").alias("date"), *[number_or_null(raw, c).alias(c) for c in values]).where("date is not null")
+    dated = raw.where(F.trim(f"`{first}`") != "")
+    day = required(to_day(f"`{first}`"), F.concat(F.lit(f"{path}: unreadable date "), F.col(f"`{first}`")))
+    return dated.select(day.alias("date"), *[number_or_null(raw, c).alias(c) for c in values])
 
 
 def read_wide(spark: SparkSession, path: str, value: str, suffix: str = "") -> DataFrame:

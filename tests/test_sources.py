@@ -231,6 +231,14 @@ def test_unreadable_dates_stop_the_panel(spark, files):
         panels.read_price_panel(spark, files("d/b.csv", head + "soon,1\n")).collect()
 
 
+def test_unreadable_dates_stop_a_daily_table(spark, files):
+    from paneltide.plans.datasets import read_daily_series
+
+    assert [r.v for r in read_daily_series(spark, files("e/a.csv", "day,v\n2020/1/2,1\n,5\n20200103,x\n")).orderBy("date").collect()] == [1.0, None]
+    with pytest.raises(Exception, match="unreadable date soon"):
+        read_daily_series(spark, files("e/b.csv", "day,v\nsoon,1\n")).collect()
+
+
 def test_mapping_and_prices_in_gb18030_over_two_files(spark, files, tmp_path):
     files("m/a.csv", "bank_code,bank\n5,工商银行\n2,中国银行\n", "gb18030")
     files("m/b.csv", "bank_code,bank\n9,建设银行\n", "gb18030")
