@@ -15,10 +15,19 @@ from . import bpe, kneser_ney, mixing, personal, simhash
 from .common import table
 
 NO_KEY = -(1 << 63)
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel between Spark and its Python workers: a thousand of them at a time, where the session allows more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """Documents whose toxicity is below the threshold. The score is computed beside the row, so nothing is joined."""
+    small_batches(spark)
     model = kneser_ney.fit(docs, table(spark, sf_dir, "labels"))
 
     @F.arrow_udf("double")
@@ -50,6 +59,7 @@ def _least_of_each(docs: DataFrame, of_fp: DataFrame) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of op3's contract (fingerprints within two bits): the one with the smallest key (NULL last),
     then text hash."""
+    small_batches(spark)
     spot = _spot()
     _, of_fp = simhash.grouped(docs, F.struct(F.col("doc_id").isNull().alias("late"), spot[0].alias("key"), spot[1].alias("hash")))
     return _least_of_each(docs, of_fp)
@@ -70,4 +80,5 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to."""
+    small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
