@@ -182,14 +182,15 @@ NAMES = [
 ]
 #: Forms a declaration takes, most telling first: weight and the words around {name}, which ends it but for the word license. All hold
 #: ``licen``. The last one goes on with a list of licenses, for names that are nothing else.
+NEAR = "(?=(?:[a-z0-9]++ ){1,9}licen)"  # before a name is tried, the word must be near
 DECLARED = "(?:dual |triple )?(?:licen[cs]ed|licen[cs]e)"
 FORMS = [
     (1.0, "(?:spdx )?licen[cs]e identifier (?:{name})"),
     (0.95, DECLARED + "(?: to you)? (?:under|by|as|is|type|name|on)(?: either| both)?(?: the)?(?: terms(?: and conditions)? of)?(?: the)? (?:{name})(?: licen[cs]es?)?"),
     (0.9, "(?:released|distributed|published|available|provided|covered|redistributed|used|governed)(?: [a-z]+)? (?:under|by)(?: the)?(?: terms(?: and conditions)? of)?(?: the)? (?:{name})(?: style)? licen[cs]es?"),
     (0.85, "licen[cs]es? (?:the )?(?:{name})"),
-    (0.85, "(?:{name}) licen[cs]ed"),
-    (0.7, "(?:the )?(?:{name})(?: style)? licen[cs]es?"),
+    (0.85, NEAR + "(?:{name}) licen[cs]ed"),
+    (0.7, NEAR + "(?:the )?(?:{name})(?: style)? licen[cs]es?"),
 ]
 LISTED = (0.9, "(?<=licen[cs]e[ds]? [a-z0-9 ]{1,60})(?:and|or|and or)(?: the)? (?:{name})(?: licen[cs]es?)?")
 WORDS = {"apache", "artistic", "psf-2.0", "ruby", "php", "vim", "curl", "postgresql", "openssl", "libpng", "boost-1.0", "mpl", "epl", "eupl", "proprietary", "public-domain"}  # also mean other things
@@ -197,8 +198,9 @@ NAMED = "licen~"
 
 
 def named_patterns() -> list[str]:
-    """Every name in every form; the form decides before the name does."""
-    return [shape.replace("{name}", name) for _, shape in FORMS for _, name in NAMES] + [LISTED[1].replace("{name}", name) for label, name in NAMES if label not in WORDS]
+    """Every form with every name: the form decides before the name does, and its words are looked for once."""
+    every = "|".join(name for _, name in NAMES)
+    return [shape.replace("{name}", every) for _, shape in FORMS] + [LISTED[1].replace("{name}", "|".join(name for label, name in NAMES if label not in WORDS))]
 
 
 def groups() -> dict[str, list[str]]:
