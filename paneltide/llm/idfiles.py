@@ -36,7 +36,7 @@ from .mph import PerfectHash, mix
 
 MAGIC = b"IDSHARD1"
 SHARD_ROWS = 1 << 14
-MEMO = 800_000  # pieces a worker remembers, some 130 MB
+MEMO = 800_000  # pieces and chunks a worker remembers, some 130 MB
 END_ID = 2
 #: Texts of these characters only can be cut before they are normalised: lower-casing maps each of them to one character.
 PLAIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿß]*")
@@ -82,18 +82,22 @@ class WordTokenizer:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def cut(self, text: str) -> tuple[list[str], bool]:
-        """Pieces whose encodings make up that of the text, and whether all are plain."""
+        """Parts whose encodings make up that of the text, and whether all are plain: what stands between spaces and line
+        ends, as no piece holds either; looking such a chunk up costs less than cutting it into its pieces."""
         if any(s in text for s in self.special):
             return GAPS.split(text), False
         if text.isascii() or PLAIN.fullmatch(text):
-            return PIECES.findall(text.lower()), True
+            return text.lower().replace("\n", " ").split(" "), True
         out = []
         for part in GAPS.split(text):
             out += PIECES.findall(part.lower()) if PLAIN.fullmatch(part) else [part]
         return out, False
 
     def learn(self, joint: list[str], others: list[str]) -> None:
-        """Plain pieces are encoded together."""
+        """Plain chunks are cut into pieces, and those not known yet encoded together."""
+        pieces = list(map(PIECES.findall, joint))
+        chunks = [(c, p) for c, p in zip(joint, pieces) if len(p) != 1 or p[0] != c]
+        joint = [p for p in set().union(*pieces) if p not in self.memo]
         if joint:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(joint)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
@@ -105,6 +109,8 @@ class WordTokenizer:
         for piece in others:
             if piece not in self.memo:
                 self.memo[piece] = self.whole(piece)
+        for chunk, parts in chunks:
+            self.memo[chunk] = b"".join(map(self.memo.__getitem__, parts))
 
     def encode(self, given: list[str]) -> list[bytes]:
         out = []
@@ -112,13 +118,14 @@ class WordTokenizer:
             pieces = [self.cut(t) for t in given[at:at + 64]]
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            plain, rest = (set().union(*(p for p, kind in pieces if kind is wanted)) for wanted in (True, False))
-            here = {p: ids for part in (plain, rest) for p, ids in zip(part, map(self.memo.get, part))}  # small, so it stays in the processor's cache
-            unseen = [p for p, ids in here.items() if ids is None]
-            if unseen:
-                self.learn([p for p in unseen if p in plain], [p for p in unseen if p not in plain])
-                here.update(zip(unseen, map(self.memo.__getitem__, unseen)))
-            out += [b"".join(map(here.__getitem__, p)) for p, _ in pieces]
+            found = [list(map(self.memo.get, p)) for p, _ in pieces]
+            lacking = [k for k, ids in enumerate(found) if None in ids]
+            plain, rest = ({p for k in lacking if pieces[k][1] is wanted for p, ids in zip(pieces[k][0], found[k]) if ids is None} for wanted in (True, False))
+            if lacking:
+                self.learn(list(plain), list(rest - plain))
+                for k in lacking:
+                    found[k] = map(self.memo.__getitem__, pieces[k][0])
+            out += map(b"".join, found)
         return out
 
 

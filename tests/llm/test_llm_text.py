@@ -235,3 +235,21 @@ def test_id_files_with_odd_rows(spark, docs, prose, tmp_path, monkeypatch):
     assert sorted(x.tolist() for x in reader.get(999)) == sorted(encoded(f"hot {i}") for i in range(30)) and len(reader.opened) >= 5
     assert len(reader.get(7)) == 3 and reader.get(11) == reader.get(10**15) == []
     assert idfiles.write_and_read(docs([]), WORDS).count() == 0
+
+
+def test_known_chunks_are_not_cut_again(monkeypatch):
+    tokenizer, own = Tokenizer.from_file(WORDS), idfiles.WordTokenizer(open(WORDS, encoding="utf-8").read()).ready()
+    monkeypatch.setattr(own, "memo", {})
+    texts = ["It's  tea-time,\nno\tmore \x1c12 plums. ", "plums. 12", "na\u00efve no", "\u65e5\u672c no", ""]
+    wanted = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert own.encode(texts) == wanted
+    cut = []
+
+    class Pieces:
+        def findall(self, text):
+            cut.append(text)
+            return real.findall(text)
+
+    real = idfiles.PIECES
+    monkeypatch.setattr(idfiles, "PIECES", Pieces())
+    assert own.encode([texts[0], texts[1]]) == wanted[:2] and cut == []
