@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -14,22 +16,41 @@ from ..session import cut_lineage
 from .evaluation import weighted_prf
 
 Predictor = Callable[[pd.Series], pd.Series]
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20  # rows a predictor sees at once: at most that many, and no second one beyond that size
+
+
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time: what a batch holds as Python objects must not depend on how many rows Spark sends."""
+    given = batch.column(text)
+    size = given if pa.types.is_string(given.type) or pa.types.is_large_string(given.type) else given.cast(pa.string())
+    size, at = pc.fill_null(pc.binary_length(size), 0).to_numpy(zero_copy_only=False), 0
+    total = 0
+    for row, held in enumerate(size):
+        total = held if row == at else total + held
+        if row > at and (row - at >= SLICE_ROWS or total > SLICE_BYTES):
+            yield batch.slice(at, row - at)
+            at, total = row, held
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def score_text(df: DataFrame, text: str, factory: Callable[[], Predictor], output: str = "Output") -> DataFrame:
     """Apply a text model in batches and keep the source columns.
 
     ``factory`` runs once per task and returns a function from a batch of texts to a batch of responses. Missing text
-    is scored as the empty string.
+    is scored as the empty string. Only the text becomes Python objects, a slice at a time; other columns stay in Arrow.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(output, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = factory()
         for batch in batches:
-            yield batch.assign(**{output: predictor(batch[text].fillna("").astype(str)).to_numpy()})
+            for part in slices(batch, text):
+                given = part.column(text).to_pandas().fillna("").astype(str)
+                found = pa.array(predictor(given).to_numpy(), pa.string(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, output])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def text_key(text: str):

@@ -112,6 +112,18 @@ def test_scoring_carries_columns_and_fills_missing_text(frame):
     assert [(r.id, r.t, r.Output) for r in rows] == [(1, "ab", "2"), (2, None, "0")]
 
 
+def test_a_predictor_sees_few_texts_at_a_time(frame):
+    class Seen:
+        def __call__(self, texts):
+            return texts.map(lambda t: f"{len(texts)} {texts.str.len().sum()} {t[:1]}")
+
+    rows = [(i, "a") for i in range(1500)] + [(i, "b" * 700_000) for i in range(1500, 1504)] + [(1504, None)]
+    found = classify.score_text(frame(rows, "id int, t string").coalesce(1), "t", Seen).select("id", "Output").collect()
+    assert sorted(r.id for r in found) == list(range(1505))
+    assert all(r.Output.split(" ")[2] == ("a" if r.id < 1500 else "b" if r.id < 1504 else "") for r in found)
+    assert max(int(r.Output.split(" ")[0]) for r in found) == classify.SLICE_ROWS and max(int(r.Output.split(" ")[1]) for r in found) <= classify.SLICE_BYTES
+
+
 def test_scoring_goes_on_where_it_ended(spark, frame, tmp_path):
     log = tmp_path / "log"
 
