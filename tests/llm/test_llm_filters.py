@@ -1,6 +1,7 @@
 """Rules, classifier, toxicity."""
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -167,3 +168,44 @@ def test_final_counts_cover_all_rows_that_may_be_learnt_from(spark, docs, prose)
     counts = kneser_ney.label_counts(docs(rows), labels, "toxic", "crc32(cast(cast(key AS string) AS binary)) % 5 <> 0").sum(axis=0)
     assert counts[:, -1].sum() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
     assert (kneser_ney.fit(docs(rows), labels).ratio == kneser_ney.Model(counts).ratio).all()
+
+
+def slow_likelihoods(taught, text):
+    """Mean logarithm of the pair probabilities of a text, per label, written out; ``taught`` are (label, text)."""
+    words = lambda t: re.findall(rb"[a-z\x80-\xff]+", t.encode().lower())
+    steps = lambda t: list(zip([None, *words(t)], words(t)))
+    every = {p for _, t in taught for p in steps(t)}
+    out = []
+    for label in (0, 1):
+        counts = Counter(p for y, t in taught if y == label for p in steps(t))
+        once, twice = (sum(n == k for n in counts.values()) for k in (1, 2))
+        discount = (once + 1) / (once + 2 * twice + 3)
+        logs = []
+        for v, w in steps(text):
+            shared = (sum(b == w for _, b in every) + 1) / (len(every) + (1 << kneser_ney.BITS))
+            seen, after = sum(n for (a, _), n in counts.items() if a == v), sum(a == v for a, _ in counts)
+            logs.append(np.log(max(counts[v, w] - discount, 0) / seen + discount * after / seen * shared if seen else shared))
+        out.append(np.mean(logs) if logs else 0.0)
+    return out
+
+
+def test_likelihoods_equal_brute_force_pair_models(spark, docs, prose):
+    rude = lambda i: i % 3 == 0
+    rows = [(i, prose(12, i) + (" trash trash you trash." if rude(i) else " You trash")) for i in range(60)] + [(200, ""), (201, None), (202, "trash you trash you"), (203, "trash trash you you"), (None, "ka unseen")]
+    labels = labels_of(spark, [(i, 1, int(rude(i))) for i in range(60)])
+    taught = [(int(rude(i)), t) for i, t in rows[:60] if zlib.crc32(str(i).encode()) % 5]
+    found = {r.doc_id: r for r in kneser_ney.classify(docs(rows), labels).collect()}
+    for i, t in rows:
+        ordinary, toxic = slow_likelihoods(taught, t or "")
+        assert found[i].ll_ordinary == pytest.approx(ordinary, rel=1e-5) and found[i].ll_toxic == pytest.approx(toxic, rel=1e-5), i
+    assert found[202].ll_toxic != pytest.approx(found[203].ll_toxic, rel=1e-3)  # the same words, another order
+
+
+def test_pair_counts_cover_every_occurrence(spark, docs):
+    rows = [(1, "ab cd ab cd"), (2, "ab cd"), (3, "cd"), (4, "no label"), (5, ""), (None, "ab cd")]
+    sums = kneser_ney.pair_sums(docs(rows), labels_of(spark, [(1, 0, 1), (2, 0, 0), (3, 0, 1), (5, 0, 1), (None, 0, 1)]), "toxic", "key < 9", "key = 3").collect()
+    total = lambda part: int(sum(np.frombuffer(r.counts, np.int64).sum() for r in sums if r.part == part))
+    half = lambda part: [int(sum(np.frombuffer(r.counts, f"<u{len(r.counts) // (2 * kneser_ney.CLASSES)}").reshape(2, -1)[k].sum() for r in sums if r.part == part)) for k in (0, 1)]
+    assert [half(k) for k in range(4)] == [[2, 2], [4, 3], [2, 2], [5, 4]]  # ordinary, toxic: first half, then all
+    assert [total(k) for k in range(4, 14)] == [2, 4, 2, 3, 3, 2, 5, 2, 4, 4]
+    assert sum(np.frombuffer(r.counts, np.int64) for r in sums if r.part == 14).tolist() == [2, 0, 2, 1, 2, 0, 3, 1]
