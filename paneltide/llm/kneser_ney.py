@@ -42,6 +42,8 @@ SLICES = START // WIDTH + 1
 CLASSES = 1 << 8  # and over pair classes, which come in twos: small, as a reader holds thousands of rows
 GRAMS = 1 << 19  # pairs a worker holds before it adds them up
 GROUP_BYTES = 1 << 18
+SUMS = "part int, slice int, at binary, counts binary"  # a slice of a vector: positions and values of what is not zero
+ROWS = 16  # slices a worker hands on at a time
 BASE = 0x9E3779B97F4A7C15
 FOLD = np.zeros(256, np.uint8)
 FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
@@ -136,13 +138,42 @@ def labelled_words(docs: DataFrame, labels: DataFrame, label: str, counted: str,
     return hashed.join(known.hint("merge"), "key").select("part", "words")  # at every size the same way
 
 
+def sparse(counts: np.ndarray) -> tuple[bytes | None, bytes]:
+    """Positions of what is not zero, in two bytes, and its values; no positions where that is everything."""
+    at = np.flatnonzero(counts)
+    return None if len(at) == len(counts) else at.astype("<u2").tobytes(), counts[at].tobytes()
+
+
+def dense(at: bytes | None, counts: bytes) -> np.ndarray:
+    found = np.frombuffer(counts, np.int64)
+    if at is None:
+        return found
+    out = np.zeros(WIDTH, np.int64)
+    out[np.frombuffer(at, "<u2")] = found
+    return out
+
+
+def in_rows(slices):
+    """(part, slice, counts) as rows of SUMS, a few at a time: a task has seen few of the words, so what it hands on follows its input and not
+    the number of word classes."""
+    rows = []
+    for y, k, counts in slices:
+        if counts.any():
+            rows.append((y, k, *sparse(counts)))
+        if len(rows) == ROWS:
+            yield dict(zip(("part", "slice", "at", "counts"), zip(*rows)))
+            rows = []
+    if rows:
+        yield dict(zip(("part", "slice", "at", "counts"), zip(*rows)))
+
+
 def merge(batches):
     """Sums of the slices of each part."""
     sums: dict[tuple, np.ndarray] = {}
     for batch in batches:
-        for y, k, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "slice", "counts"))):
-            sums[y, k] = sums.get((y, k), 0) + np.frombuffer(counts, np.int64)
-    yield {"part": [y for y, _ in sums], "slice": [k for _, k in sums], "counts": [v.tobytes() for v in sums.values()]}
+        for y, k, at, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "slice", "at", "counts"))):
+            sums[y, k] = sums.get((y, k), 0) + dense(at, counts)
+    yield from in_rows((y, k, counts) for (y, k), counts in sums.items())
 
 
 def label_counts(docs: DataFrame, labels: DataFrame, label: str, counted: str, second: str = "false") -> np.ndarray:
@@ -162,30 +193,27 @@ def label_counts(docs: DataFrame, labels: DataFrame, label: str, counted: str, s
             for y, words in zip(batch.column("part").to_pylist(), batch.column("words").to_pylist()):
                 total[y, unpacked(words)] += 1
                 total[y, -1] += 1
-        cut = [(y, k, total[y, k * WIDTH:(k + 1) * WIDTH]) for y in range(4) for k in range((1 << BITS) // WIDTH + 1)]
-        cut = [c for c in cut if c[2].any()]
-        yield {"part": [c[0] for c in cut], "slice": [c[1] for c in cut], "counts": [c[2].tobytes() for c in cut]}
+        yield from in_rows((y, k, total[y, k * WIDTH:(k + 1) * WIDTH]) for y in range(4) for k in range(SLICES))
 
-    schema = "part int, slice int, counts binary"
-    parts = map_batches(labelled_words(docs, labels, label, counted, second, encode), add_up, schema)
-    return put_together(map_batches(parts.repartition("part", "slice"), merge, schema))  # one row per part and slice
+    parts = map_batches(labelled_words(docs, labels, label, counted, second, encode), add_up, SUMS)
+    return put_together(map_batches(parts.repartition("part", "slice"), merge, SUMS))  # one row per part and slice
 
 
 def put_together(sums: DataFrame) -> np.ndarray:
     sums, counts = sums.toArrow(), np.zeros((4, START + 1))
-    for y, k, part in zip(*(sums[c].to_pylist() for c in ("part", "slice", "counts"))):
-        counts[y, k * WIDTH:(k + 1) * WIDTH] = np.frombuffer(part, np.int64)
+    for y, k, at, part in zip(*(sums[c].to_pylist() for c in ("part", "slice", "at", "counts"))):
+        counts[y, k * WIDTH:(k + 1) * WIDTH] = dense(at, part)
     return counts.reshape(2, 2, -1)
 
 
 def pair_sums(docs: DataFrame, labels: DataFrame, label: str, counted: str, second: str = "false") -> DataFrame:
-    """What the models of word pairs need, as slices of vectors (part, slice, counts) that are still to be added up, over the rows ``label_counts``
+    """What the models of word pairs need, as slices of vectors (SUMS) that are still to be added up, over the rows ``label_counts``
     counts.
 
     With m for the model (0: the first half, 1: all rows), y for the label: parts 2m + y hold per slice of pair classes the occurrences,
     then the distinct pairs, once each and in as many bytes as the largest needs; parts 4 + 5m + y per word the occurrences before another word, 6 + 5m + y the distinct words after it,
     8 + 5m the distinct words it follows in either label; part 14 the pairs met once and twice; parts 15 to 18 the
-    ``label_counts``, half by half. Texts travel as three bytes a word;
+    ``label_counts``, half by half, each slice once. Texts travel as three bytes a word;
     each task adds its pairs up before they are shuffled by bucket, where every pair is then seen whole."""
     def encode(batches):
         for batch in in_slices(batches):
@@ -220,8 +248,9 @@ def pair_sums(docs: DataFrame, labels: DataFrame, label: str, counted: str, seco
                     held, size = [], 0
         if size:
             yield sums()
-        cut = [(-1 - y * SLICES - k, total[y, k * WIDTH:(k + 1) * WIDTH]) for y in range(4) for k in range(SLICES)]
-        yield {"bucket": [k for k, c in cut if c.any()], "pairs": [c.tobytes() for _, c in cut if c.any()]}
+        for y in range(4):
+            cut = [(-1 - y * SLICES - k, c, np.flatnonzero(c)) for k in range(SLICES) for c in [total[y, k * WIDTH:(k + 1) * WIDTH]]]
+            yield {"bucket": [k for k, _, at in cut if len(at)], "pairs": [at.astype("<u2").tobytes() + c[at].astype("<u4").tobytes() for _, c, at in cut if len(at)]}
 
     def buckets(batches):
         """Bucket and its pairs with their occurrences per part, or negative number and slice of documents; the rows come in order of buckets."""
@@ -233,7 +262,8 @@ def pair_sums(docs: DataFrame, labels: DataFrame, label: str, counted: str, seco
                     held = []
                 last = k
                 if k < 0:
-                    held = [np.frombuffer(packed_, np.int64) + (held[0] if held else 0)]
+                    held, n = held or [np.zeros(WIDTH, np.int64)], len(packed_) // 6
+                    held[0][np.frombuffer(packed_, "<u2", n)] += np.frombuffer(packed_, "<u4", n, 2 * n)
                     continue
                 n = len(packed_) // 9
                 held.append((np.frombuffer(packed_, "<u4", n).astype(np.int64) | np.frombuffer(packed_, np.uint8, n, 4 * n).astype(np.int64) << 32,
@@ -250,7 +280,8 @@ def pair_sums(docs: DataFrame, labels: DataFrame, label: str, counted: str, seco
         words, few, wide = np.zeros((10, START + 1), np.int64), np.zeros(8, np.int64), 1 << (PAIR_BITS - BUCKET_BITS)
         for k, pairs, n in buckets(batches):
             if n is None:
-                yield {"part": [15 + (-1 - k) // SLICES], "slice": [(-1 - k) % SLICES], "counts": [pairs.tobytes()]}
+                y, k = divmod(-1 - k, SLICES)
+                yield from in_rows([(15 + y, k, pairs[:START + 1 - k * WIDTH])])
                 continue
             here, v, w, out = pair_classes(pairs) & (wide - 1), pairs >> BITS, pairs & (START - 1), []
             for m, c in enumerate((n[:2], n[:2] + n[2:])):
@@ -260,16 +291,14 @@ def pair_sums(docs: DataFrame, labels: DataFrame, label: str, counted: str, seco
                     np.add.at(words[5 * m + 2 + y], v[met], 1)
                     few[4 * m + 2 * y:4 * m + 2 * y + 2] += (c[y] == 1).sum(), (c[y] == 2).sum()
                     both = np.stack([np.bincount(here, c[y], wide), np.bincount(here[met], minlength=wide)]).astype(np.int64)
-                    out += [(2 * m + y, k * wide // CLASSES + i, part.astype(np.min_scalar_type(part.max())).tobytes()) for i, part in enumerate(np.split(both, wide // CLASSES, axis=1)) if part.any()]
+                    out += [(2 * m + y, k * wide // CLASSES + i, None, part.astype(np.min_scalar_type(part.max())).tobytes()) for i, part in enumerate(np.split(both, wide // CLASSES, axis=1)) if part.any()]
                 np.add.at(words[5 * m + 4], w[c.any(0)], 1)
-            yield dict(zip(("part", "slice", "counts"), zip(*out)))
-        cut = [(4 + j, k, words[j, k * WIDTH:(k + 1) * WIDTH]) for j in range(10) for k in range(SLICES)] + [(14, 0, few)]
-        cut = [c for c in cut if c[2].any()]
-        yield {"part": [c[0] for c in cut], "slice": [c[1] for c in cut], "counts": [c[2].tobytes() for c in cut]}
+            yield dict(zip(("part", "slice", "at", "counts"), zip(*out)))
+        yield from in_rows((4 + j, k, words[j, k * WIDTH:(k + 1) * WIDTH]) for j in range(10) for k in range(SLICES))
+        yield {"part": [14], "slice": [0], "at": [None], "counts": [few.tobytes()]}
 
-    schema = "part int, slice int, counts binary"
     rows = map_batches(labelled_words(docs, labels, label, counted, second, encode), add_up, "bucket int, pairs binary")
-    return map_batches(rows.repartition("bucket").sortWithinPartitions("bucket"), reduce, schema)
+    return map_batches(rows.repartition("bucket").sortWithinPartitions("bucket"), reduce, SUMS)
 
 
 class Pairs:
@@ -278,8 +307,8 @@ class Pairs:
     def __init__(self, sums: DataFrame, m: int):
         words, few = np.zeros((5, START + 1)), np.zeros(8)
         vectors = sums.where(F.col("part").between(4 + 5 * m, 8 + 5 * m) | (F.col("part") == 14)).repartition("part", "slice")
-        for row in map_batches(vectors, merge, "part int, slice int, counts binary").toArrow().to_pylist():
-            found = np.frombuffer(row["counts"], np.int64)
+        for row in map_batches(vectors, merge, SUMS).toArrow().to_pylist():
+            found = dense(row["at"], row["counts"])
             if row["part"] == 14:
                 few = found
             else:
@@ -383,7 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learnt: str =
     final model counts them all."""
     second = "pmod(xxhash64(key), 4) = 0"
     pairs = cut_lineage(pair_sums(docs, labels, label, learnt, second), "word-pairs")
-    halves = put_together(pairs.where("part >= 15").select((F.col("part") - 15).alias("part"), "slice", "counts"))
+    halves = put_together(pairs.where("part >= 15").select((F.col("part") - 15).alias("part"), "slice", "at", "counts"))
     counts, every = halves[0], halves.sum(axis=0)
     held = (labels.select(F.col("doc_id").cast("long").alias("key"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).distinct()
             .where(f"({learnt}) AND {second}").orderBy(F.xxhash64("key"), "key", "label").limit(fit_rows))

@@ -209,3 +209,18 @@ def test_pair_counts_cover_every_occurrence(spark, docs):
     assert [half(k) for k in range(4)] == [[2, 2], [4, 3], [2, 2], [5, 4]]  # ordinary, toxic: first half, then all
     assert [total(k) for k in range(4, 14)] == [2, 4, 2, 3, 3, 2, 5, 2, 4, 4]
     assert sum(np.frombuffer(r.counts, np.int64) for r in sums if r.part == 14).tolist() == [2, 0, 2, 1, 2, 0, 3, 1]
+
+
+def test_word_sums_follow_the_words_and_not_the_classes(spark, docs):
+    rows = [(i, "ab cd ab cd") for i in range(40)]
+    sums = kneser_ney.pair_sums(docs(rows).repartition(8), labels_of(spark, [(i, 0, i % 2) for i in range(40)]), "toxic", "key < 40", "key % 4 = 3").collect()
+    assert sum(len(r.counts) for r in sums if r.part >= 4) < 4000  # a slice of word classes in full takes 32,768 bytes
+    assert sum(kneser_ney.dense(r.at, r.counts).sum() for r in sums if r.part in (4, 5, 9, 10)) == 4 * (30 + 40)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.integers(0, kneser_ney.WIDTH - 1), st.integers(1, 1 << 60), max_size=20), st.booleans())
+def test_sparse_slices_come_back(found, full):
+    counts = np.full(kneser_ney.WIDTH, int(full), np.int64)
+    counts[list(found)] = list(found.values())
+    assert (kneser_ney.dense(*kneser_ney.sparse(counts)) == counts).all()

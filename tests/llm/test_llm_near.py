@@ -80,6 +80,28 @@ def test_components_of_paths_stars_and_odd_links(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_of_few_links_are_few_files(spark, monkeypatch):
+    files, cut = [], components.cut_lineage
+
+    def counted(df, name):
+        out = cut(df, name)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "cut_lineage", counted)
+    links = spark.createDataFrame([(k, k + 1) for k in range(400) if k % 20], "a long, b long")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        found = [{r.node: r.root for r in components.connected(links).collect()}]
+        assert len(files) > 4 and max(files[1:]) == 1
+        monkeypatch.setattr(components, "FILE_ROWS", 100)
+        found.append({r.node: r.root for r in components.connected(links).collect()})
+    finally:
+        spark.conf.unset(key)
+    assert found[0] == found[1] == {k: (k - 1) // 20 * 20 + 1 for k in range(1, 401)}
+
+
 def test_duplicates_with_odd_rows(docs, prose):
     text = prose(300, 1)
     near = text.rsplit(" ", 1)[0] + " changed"
