@@ -11,18 +11,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from paneltide.session import small_batches
+
 from . import bpe, kneser_ney, mixing, personal, simhash
 from .common import table
 
 NO_KEY = -(1 << 63)
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts travel between Spark and its Python workers: a thousand of them at a time, where the session allows more."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,45 +13,51 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import parse_response, title_prompt
 from ..schema import required
-from ..session import cut_lineage
+from ..session import cut_lineage, small_batches
 from .evaluation import weighted_prf
 
 Predictor = Callable[[pd.Series], pd.Series]
 SLICE_ROWS, SLICE_BYTES = 512, 1 << 20  # rows a predictor sees at once: at most that many, and no second one beyond that size
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows, fewer at a time: what a batch holds as Python objects must not depend on how many rows Spark sends."""
-    given = batch.column(text)
+def slices(given: pa.Array) -> Iterator[pa.Array]:
+    """The same texts, fewer at a time: what lives as Python objects must not depend on how many rows Spark sends."""
     size = given if pa.types.is_string(given.type) or pa.types.is_large_string(given.type) else given.cast(pa.string())
     size, at = pc.fill_null(pc.binary_length(size), 0).to_numpy(zero_copy_only=False), 0
     total = 0
     for row, held in enumerate(size):
         total = held if row == at else total + held
         if row > at and (row - at >= SLICE_ROWS or total > SLICE_BYTES):
-            yield batch.slice(at, row - at)
+            yield given.slice(at, row - at)
             at, total = row, held
-    if at < batch.num_rows:
-        yield batch.slice(at)
+    if at < len(given):
+        yield given.slice(at)
 
 
 def score_text(df: DataFrame, text: str, factory: Callable[[], Predictor], output: str = "Output") -> DataFrame:
     """Apply a text model in batches and keep the source columns.
 
     ``factory`` runs once per task and returns a function from a batch of texts to a batch of responses. Missing text
-    is scored as the empty string. Only the text becomes Python objects, a slice at a time; other columns stay in Arrow.
+    is scored as the empty string. Only the text goes to Python, in batches of bounded size, and becomes objects a slice at a time;
+    all other columns stay in Spark, and those not asked for are never read. Every row is scored once.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T.StringType())])
+    small_batches(df.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StringType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predictor = factory()
+
+        def answers(given: pa.Array) -> pa.Array:
+            return pa.array(predictor(given.to_pandas().fillna("").astype(str)).to_numpy(), pa.string(), from_pandas=True)
+
         for batch in batches:
-            for part in slices(batch, text):
-                given = part.column(text).to_pandas().fillna("").astype(str)
-                found = pa.array(predictor(given).to_numpy(), pa.string(), from_pandas=True)
-                yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, output])
+            found = [pa.array([], pa.string())]
+            for part in slices(batch):
+                found.append(answers(part))
+                gc.collect(1)  # a Series whose ``.str`` was used refers to itself: without this, texts pile up until Python happens to look
+            yield pa.concat_arrays(found)
 
-    return df.mapInArrow(run, schema)
+    return df.select("*", score.asNondeterministic()(F.col(f"`{text}`")).alias(output))
 
 
 def text_key(text: str):

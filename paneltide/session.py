@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def build_session(app: str = "paneltide", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -44,6 +45,15 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext._paneltide_shipped = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel between Spark and its Python workers: a thousand of them or a few megabytes at a time, where the session allows more."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        given = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(key).lower())  # 64m, 67108864b; a negative one is none
+        if not given or not 0 < int(given[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[given[2]] <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

@@ -124,6 +124,23 @@ def test_a_predictor_sees_few_texts_at_a_time(frame):
     assert max(int(r.Output.split(" ")[0]) for r in found) == classify.SLICE_ROWS and max(int(r.Output.split(" ")[1]) for r in found) <= classify.SLICE_BYTES
 
 
+def test_scored_texts_do_not_pile_up(frame):
+    class Alive:
+        def __init__(self):
+            import weakref
+
+            self.given, self.ref = [], weakref.ref
+
+        def __call__(self, texts):
+            texts.str.len()  # the accessor is kept on the Series and refers to it
+            self.given = [g for g in self.given if g() is not None] + [self.ref(texts)]
+            return texts.map(lambda t: str(len(self.given)))
+
+    rows = [(i, "b" * 600_000) for i in range(30)]
+    found = classify.score_text(frame(rows, "id int, t string").coalesce(1), "t", Alive).select("id", "Output").collect()
+    assert len(found) == 30 and max(int(r.Output) for r in found) == 1
+
+
 def test_scoring_goes_on_where_it_ended(spark, frame, tmp_path):
     log = tmp_path / "log"
 
