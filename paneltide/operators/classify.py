@@ -50,12 +50,19 @@ def score_text(df: DataFrame, text: str, factory: Callable[[], Predictor], outpu
         def answers(given: pa.Array) -> pa.Array:
             return pa.array(predictor(given.to_pandas().fillna("").astype(str)).to_numpy(), pa.string(), from_pandas=True)
 
-        for batch in batches:
-            found = [pa.array([], pa.string())]
-            for part in slices(batch):
-                found.append(answers(part))
-                gc.collect(1)  # a Series whose ``.str`` was used refers to itself: without this, texts pile up until Python happens to look
-            yield pa.concat_arrays(found)
+        gc.collect()
+        gc.freeze()  # the model and what is loaded beside it: collecting in full then costs no more than what a slice left behind
+        try:
+            for batch in batches:
+                found = [pa.array([], pa.string())]
+                for part in slices(batch):
+                    found.append(answers(part))
+                    # a Series whose ``.str`` was used refers to itself, and where a predictor makes many objects it is an old one
+                    # before its slice is done: without this, texts pile up until Python happens to look
+                    gc.collect()
+                yield pa.concat_arrays(found)
+        finally:
+            gc.unfreeze()  # the worker goes on to other tasks
 
     return df.select("*", score.asNondeterministic()(F.col(f"`{text}`")).alias(output))
 

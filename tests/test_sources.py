@@ -141,6 +141,27 @@ def test_scored_texts_do_not_pile_up(frame):
     assert len(found) == 30 and max(int(r.Output) for r in found) == 1
 
 
+def test_scored_texts_do_not_pile_up_beside_many_objects(frame):
+    class Tokens:
+        def __init__(self):
+            import gc
+            import weakref
+
+            self.given, self.ref, self.frozen = [], weakref.ref, gc.get_freeze_count()
+
+        def __call__(self, texts):
+            spans = [(at, at + 1) for at in range(60_000)]  # so many that Python takes the Series for an old object meanwhile
+            texts.str.len()
+            spans += [(at, at + 1) for at in range(60_000)]
+            self.given = [g for g in self.given if g() is not None] + [self.ref(texts)]
+            return texts.map(lambda t: f"{len(self.given)} {len(spans)} {self.frozen}")
+
+    rows = [(i, "b" * 600_000) for i in range(30)]
+    for _ in range(2):  # the second time in a worker that has scored before
+        found = classify.score_text(frame(rows, "id int, t string").coalesce(1), "t", Tokens).select("id", "Output").collect()
+        assert sorted(r.id for r in found) == list(range(30)) and {r.Output for r in found} == {"1 120000 0"}
+
+
 def test_scoring_goes_on_where_it_ended(spark, frame, tmp_path):
     log = tmp_path / "log"
 
